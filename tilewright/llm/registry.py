@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tilewright.llm import exact_dedup, mixing
+from tilewright.llm import exact_dedup, mixing, packing
 
 
 def queries():
     return {
         "op2_mixing": mixing.op2_mixing,
+        "op4_packing": packing.op4_packing,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
 
