@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tilewright.llm import exact_dedup, mixing, packing
+from tilewright.llm import exact_dedup, mixing, ngram_join, packing
 
 
 def queries():
     return {
         "op2_mixing": mixing.op2_mixing,
+        "op3_ngram_join": ngram_join.op3_ngram_join,
         "op4_packing": packing.op4_packing,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
