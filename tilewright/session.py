@@ -15,6 +15,8 @@ TABLES = (
 
 def local_session(cpus: int | str = "*", **conf: str) -> SparkSession:
     """A local session with the settings the tests and the bench rely on."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [root, os.environ.get("PYTHONPATH")]))  # for Spark's Python workers
     base = {
         "spark.sql.shuffle.partitions": "8",
         "spark.sql.adaptive.enabled": "true",
