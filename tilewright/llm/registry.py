@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from tilewright.llm import exact_dedup, mixing, ngram_join, packing
+from tilewright.llm import exact_dedup, mixing, ngram_join, packing, toxicity
+
+
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries():
@@ -10,7 +16,9 @@ def queries():
         "op2_mixing": mixing.op2_mixing,
         "op3_ngram_join": ngram_join.op3_ngram_join,
         "op4_packing": packing.op4_packing,
+        "op7_toxicity": toxicity.op7_toxicity,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+        "pipeline": pipeline,
     }
 
 
