@@ -35,9 +35,9 @@ w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WH
 o AS (
   SELECT *, coalesce(sum(3 * source_size) OVER (ORDER BY 3.0 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped,
          sum(weight) OVER (ORDER BY 3.0 * source_size / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights,
-         sum(source_size) OVER () AS total FROM w),
+         row_number() OVER (ORDER BY 3.0 * source_size / weight, source NULLS LAST) AS place, sum(source_size) OVER () AS total FROM w),
 l AS (SELECT *, CAST(total - capped AS DOUBLE) / CAST(weights AS DOUBLE) AS level FROM o),
-m AS (SELECT min(level) FILTER (WHERE level * weight <= 3.0 * source_size) AS level FROM l),
+m AS (SELECT arg_min(level, place) FILTER (WHERE level * weight <= 3.0 * source_size) AS level FROM l),
 t AS (SELECT l.source, source_size, least(m.level * weight, CAST(3 * source_size AS DOUBLE)) AS target FROM l CROSS JOIN m),
 b AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE CAST(floor(target / source_size) AS BIGINT) END AS whole FROM t),
 r AS (SELECT *, target - CAST(whole AS DOUBLE) * CAST(source_size AS DOUBLE) AS rest FROM b),
@@ -65,10 +65,12 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
         F.coalesce(F.sum(most * F.col("source_size")).over(upto), F.lit(0)).alias("_capped"),
         F.sum("_w").over(after).alias("_weights"),
         F.sum("source_size").over(Window.partitionBy()).alias("_total"),
+        F.row_number().over(order).alias("_place"),
     )
     ranked = ranked.withColumn("_level", (F.col("_total") - F.col("_capped")).cast("double") / F.col("_weights").cast("double"))
     fits = F.col("_level") * F.col("_w") <= F.lit(float(most)) * F.col("source_size")
-    ranked = ranked.withColumn("_level", F.min(F.when(fits, F.col("_level"))).over(Window.partitionBy()))
+    # the first that does not stop; further on, more would be held back than there is
+    ranked = ranked.withColumn("_level", F.min(F.when(fits, F.struct("_place", "_level"))).over(Window.partitionBy())["_level"])
     target = F.least(F.col("_level") * F.col("_w"), (most * F.col("source_size")).cast("double"))
     return ranked.select("source", "source_size", target.alias("target"))
 
