@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tilewright.llm import exact_dedup, mixing, ngram_join, packing, toxicity
+from tilewright.llm import exact_dedup, language_id, mixing, ngram_join, packing, toxicity
 
 
 def pipeline(spark, sf_dir):
@@ -13,6 +13,7 @@ def pipeline(spark, sf_dir):
 
 def queries():
     return {
+        "op1_language_id": language_id.op1_language_id,
         "op2_mixing": mixing.op2_mixing,
         "op3_ngram_join": ngram_join.op3_ngram_join,
         "op4_packing": packing.op4_packing,
