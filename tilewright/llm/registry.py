@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tilewright.llm import exact_dedup, language_id, mixing, ngram_join, packing, toxicity
+from tilewright.llm import chat, exact_dedup, language_id, mixing, ngram_join, packing, token_counts, toxicity
 
 
 def pipeline(spark, sf_dir):
@@ -17,11 +17,17 @@ def queries():
         "op2_mixing": mixing.op2_mixing,
         "op3_ngram_join": ngram_join.op3_ngram_join,
         "op4_packing": packing.op4_packing,
+        "op5_token_counts": token_counts.op5_token_counts,
         "op7_toxicity": toxicity.op7_toxicity,
+        "op9_chat": chat.op9_chat,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql():
-    return {"op2_mixing": mixing.ORACLE_SQL, "op10_exact_dedup": exact_dedup.ORACLE_SQL}
+    return {
+        "op2_mixing": mixing.ORACLE_SQL,
+        "op9_chat": chat.ORACLE_SQL,
+        "op10_exact_dedup": exact_dedup.ORACLE_SQL,
+    }
