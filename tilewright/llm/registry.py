@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tilewright.llm import chat, exact_dedup, language_id, mixing, ngram_join, packing, token_counts, toxicity
+from tilewright.llm import chat, exact_dedup, jpeg, language_id, mixing, ngram_join, packing, token_counts, toxicity
 
 
 def pipeline(spark, sf_dir):
@@ -19,6 +19,7 @@ def queries():
         "op4_packing": packing.op4_packing,
         "op5_token_counts": token_counts.op5_token_counts,
         "op7_toxicity": toxicity.op7_toxicity,
+        "op8_jpeg": jpeg.op8_jpeg,
         "op9_chat": chat.op9_chat,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
         "pipeline": pipeline,
