@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tilewright.llm import chat, exact_dedup, jpeg, language_id, mixing, ngram_join, packing, token_counts, toxicity
+from tilewright.llm import chat, exact_dedup, jpeg, language_id, mixing, ngram_join, packing, token_counts, toxicity, warc
 
 
 def pipeline(spark, sf_dir):
@@ -18,6 +18,7 @@ def queries():
         "op3_ngram_join": ngram_join.op3_ngram_join,
         "op4_packing": packing.op4_packing,
         "op5_token_counts": token_counts.op5_token_counts,
+        "op6_warc": warc.op6_warc,
         "op7_toxicity": toxicity.op7_toxicity,
         "op8_jpeg": jpeg.op8_jpeg,
         "op9_chat": chat.op9_chat,
@@ -29,6 +30,7 @@ def queries():
 def oracle_sql():
     return {
         "op2_mixing": mixing.ORACLE_SQL,
+        "op6_warc": warc.ORACLE_SQL,
         "op9_chat": chat.ORACLE_SQL,
         "op10_exact_dedup": exact_dedup.ORACLE_SQL,
     }
