@@ -216,7 +216,7 @@ ORACLE_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 g AS (SELECT html, max(page_id) AS best FROM p GROUP BY html)
 SELECT page_id, CAST(strlen(p.html) AS BIGINT) AS payload_bytes,
-       array_to_string(list_transform(range(0, 32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(
+       array_to_string(list_transform(range(0, 32), lambda i : substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(
          (CAST('0x' || substr(sha1(p.html), CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest,
        CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id <> best THEN best END AS refers_to
