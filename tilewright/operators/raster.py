@@ -5,7 +5,7 @@ For small tiles and tests; operators.blocks holds the same kernels over whole ti
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -68,7 +68,7 @@ def runs(pixels: DataFrame, mask: str) -> DataFrame:
     return t.groupBy("y", "_g").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("_g")
 
 
-def bc1_blocks(pixels: DataFrame, pack: Column) -> DataFrame:
+def bc1_blocks(pixels: DataFrame) -> DataFrame:
     """4 x 4 blocks: by, bx, c0, c1 (565 of the maxima and minima, the larger first) and 32 bits of indices.
 
     One pass: a block is a group whose sixteen pixels are collected, a bounded array, and coded there.
