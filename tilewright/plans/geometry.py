@@ -1 +1,135 @@
-"""Queries."""
+"""Queries of the geometry operators, with the flagship: verdicts of squares against a coast."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from tilewright.functions import grid
+from tilewright.operators import lines, strokes
+from tilewright.plans.joins import DIST, KX
+from tilewright.plans.registry import query
+from tilewright.plans.scalars import gx, gy
+from tilewright.plans.sets import SIDES
+from tilewright.plans.views import get
+
+SEG = "(SELECT a_lon, a_lat, b_lon, b_lat FROM coast_segment UNION ALL SELECT a_lon, a_lat, b_lon, b_lat FROM ring_segment)"
+ALL_DIST = DIST.replace("coast_segment", f"{SEG} g")
+SIGNED = f"(SELECT event_id, CASE WHEN coast OR ring THEN -least(km, 12.112::DOUBLE) ELSE least(km, 12.112::DOUBLE) END AS km FROM {SIDES} JOIN {ALL_DIST} USING (event_id))"
+
+
+def _signed(spark, d):
+    cols = ["a_lon", "a_lat", "b_lon", "b_lat"]
+    return lines.signed(get(spark, d, "probe"), ["event_id"], get(spark, d, "coast_segment").select(*cols), get(spark, d, "ring_segment").select(*cols), 2 * lines.MARGIN_KM + 1)
+
+
+@query("geo_parity", "event_id b, coast l, ring l", f"SELECT * FROM {SIDES}")
+def geo_parity(spark, d):
+    from tilewright.plans.sets import _sides
+
+    return _sides(spark, d)
+
+
+@query("geo_signed_field", "event_id b, km d", f"SELECT * FROM {SIGNED}")
+def geo_signed_field(spark, d):
+    return _signed(spark, d)
+
+
+@query("geo_is_covered", "event_id b, covered l", f"SELECT event_id, km <= 5.556::DOUBLE AS covered FROM {SIGNED}")
+def geo_is_covered(spark, d):
+    return _signed(spark, d).withColumn("covered", F.col("km") <= lines.MARGIN_KM)
+
+
+@query("classify_squares", "verdict v, squares b", f"""SELECT verdict, count(*) AS squares FROM (SELECT CASE WHEN max(km) <= 5.556::DOUBLE THEN 'LAND' WHEN min(km) > 5.556::DOUBLE THEN 'SEA' ELSE 'CUT' END AS verdict FROM (SELECT CAST(floor({gx('lon', 13)}) AS BIGINT) AS tx, CAST(floor({gy('lat', 13)}) AS BIGINT) AS ty, km FROM probe JOIN {SIGNED} USING (event_id)) GROUP BY tx, ty) GROUP BY verdict""")
+def classify_squares(spark, d):
+    t = get(spark, d, "probe").join(_signed(spark, d), "event_id").select(grid.tile_x("lon", 13).alias("tx"), grid.tile_y("lat", 13).alias("ty"), "km")
+    t = t.groupBy("tx", "ty").agg(lines.verdict(F.min("km"), F.max("km"), lines.MARGIN_KM).alias("verdict"))
+    return t.groupBy("verdict").agg(F.count(F.lit(1)).alias("squares"))
+
+
+@query("agg_classify", "tx b, ty b, verdict v, n b", f"""SELECT tx, ty, CASE WHEN max(km) <= 5.556::DOUBLE THEN 'LAND' WHEN min(km) > 5.556::DOUBLE THEN 'SEA' ELSE 'CUT' END AS verdict, count(*) AS n FROM (SELECT CAST(floor({gx('lon', 12)}) AS BIGINT) AS tx, CAST(floor({gy('lat', 12)}) AS BIGINT) AS ty, km FROM probe JOIN {SIGNED} USING (event_id)) GROUP BY tx, ty""")
+def agg_classify(spark, d):
+    t = get(spark, d, "probe").join(_signed(spark, d), "event_id").select(grid.tile_x("lon", 12).alias("tx"), grid.tile_y("lat", 12).alias("ty"), "km")
+    return t.groupBy("tx", "ty").agg(lines.verdict(F.min("km"), F.max("km"), lines.MARGIN_KM).alias("verdict"), F.count(F.lit(1)).alias("n"))
+
+
+@query("geo_ring_hand", "clockwise l, area d", "SELECT sum(a_lon*b_lat - b_lon*a_lat) < 0 AS clockwise, abs(sum(a_lon*b_lat - b_lon*a_lat))/2 AS area FROM ring_segment")
+def geo_ring_hand(spark, d):
+    twice = F.sum(F.col("a_lon") * F.col("b_lat") - F.col("b_lon") * F.col("a_lat"))
+    return get(spark, d, "ring_segment").agg((twice < 0).alias("clockwise"), (F.abs(twice) / 2).alias("area"))
+
+
+@query("geo_sea_hand", "hand v", "SELECT CASE WHEN arg_max(lat, seq) > arg_min(lat, seq) THEN 'left' ELSE 'right' END AS hand FROM coast_point")
+def geo_sea_hand(spark, d):
+    # land to the east: going north, the sea lies to the left
+    return get(spark, d, "coast_point").agg(F.when(F.max_by("lat", "seq") > F.min_by("lat", "seq"), "left").otherwise("right").alias("hand"))
+
+
+@query("geo_open_island", "island b, gap d, open l", "SELECT island, gap, gap > 0.5 AS open FROM (SELECT stroke % 7 AS island, abs(arg_max(lat, stroke*100 + seq) - arg_min(lat, stroke*100 + seq))*110.9::DOUBLE AS gap FROM stroke_point GROUP BY 1)")
+def geo_open_island(spark, d):
+    t = get(spark, d, "stroke_point").withColumn("o", F.col("stroke") * 100 + F.col("seq"))
+    t = t.groupBy((F.col("stroke") % 7).alias("island")).agg((F.abs(F.max_by("lat", "o") - F.min_by("lat", "o")) * 110.9).alias("gap"))
+    return t.withColumn("open", F.col("gap") > 0.5)
+
+
+@query("geo_stretch", "land v, lo d, hi d", "SELECT v.land, CASE WHEN v.land IN ('E', 'W') THEN min(lat) ELSE min(lon) END AS lo, CASE WHEN v.land IN ('E', 'W') THEN max(lat) ELSE max(lon) END AS hi FROM coast_point CROSS JOIN (VALUES ('E'), ('N')) v(land) GROUP BY v.land")
+def geo_stretch(spark, d):
+    t = get(spark, d, "coast_point").agg(*[f(c).alias(f"{n}{c}") for c in ("lat", "lon") for n, f in (("lo_", F.min), ("hi_", F.max))])
+    t = t.withColumn("land", F.explode(F.array(F.lit("E"), F.lit("N"))))
+    along = F.col("land").isin("E", "W")
+    return t.select("land", F.when(along, F.col("lo_lat")).otherwise(F.col("lo_lon")).alias("lo"), F.when(along, F.col("hi_lat")).otherwise(F.col("hi_lon")).alias("hi"))
+
+
+@query("geo_winding", "event_id b, inside l", "SELECT event_id, abs(sum(d)) > pi() AS inside FROM (SELECT event_id, atan2(sin(t), cos(t)) AS d FROM (SELECT event_id, atan2(b_lat - lat, b_lon - lon) - atan2(a_lat - lat, a_lon - lon) AS t FROM probe CROSS JOIN ring_segment)) GROUP BY event_id")
+def geo_winding(spark, d):
+    ring = F.broadcast(get(spark, d, "ring_segment"))  # a ring of 24 points
+    p = get(spark, d, "probe").crossJoin(ring)
+    t = F.atan2(F.col("b_lat") - F.col("lat"), F.col("b_lon") - F.col("lon")) - F.atan2(F.col("a_lat") - F.col("lat"), F.col("a_lon") - F.col("lon"))
+    return p.groupBy("event_id").agg((F.abs(F.sum(F.atan2(F.sin(t), F.cos(t)))) > F.pi()).alias("inside"))
+
+
+CELLS = "(SELECT x, y FROM range(12) a(x) CROSS JOIN range(12) b(y) WHERE (x*7 + y*5) % 11 = 0)"
+
+
+@query("geo_edge_alpha", "i b, j b, alpha d", f"SELECT i, j, CASE WHEN km < 8 THEN round_even(least(greatest(km/8, 0), 1)*4, 0)/4 END AS alpha FROM (SELECT i, j, min(sqrt(pow(greatest(x - px, 0, px - x - 1)*111.32::DOUBLE*0.1, 2) + pow(greatest(y - py, 0, py - y - 1)*110.57::DOUBLE*0.1, 2))) AS km FROM (SELECT i, j, i*0.25::DOUBLE AS px, j*0.25::DOUBLE AS py FROM range(48) a(i) CROSS JOIN range(48) b(j)) CROSS JOIN {CELLS} GROUP BY i, j)")
+def geo_edge_alpha(spark, d):
+    from tilewright.operators.edges import edge_alpha
+
+    t = spark.range(48 * 48).selectExpr("id div 48 AS i", "id % 48 AS j", "(id div 48)*0.25D AS px", "(id % 48)*0.25D AS py")
+    cells = spark.range(144).selectExpr("id div 12 AS x", "id % 12 AS y").where("(x*7 + y*5) % 11 = 0")
+    return edge_alpha(t, ["i", "j"], cells, 111.32 * 0.1, 110.57 * 0.1, 8.0, 4)
+
+
+@query("geo_place_filter", "place_id b, height d", "SELECT place_id, CASE WHEN kind = 1 THEN population/10.0::DOUBLE WHEN lat*20 BETWEEN -400 AND 7000 THEN lat*20 ELSE 0 END + 50 AS height FROM place WHERE kind = 0 OR population > 500")
+def geo_place_filter(spark, d):
+    from tilewright.operators.places import filtered
+
+    t = get(spark, d, "place").select("place_id", F.when(F.col("kind") == 0, "A").otherwise("P").alias("feature_class"), F.when(F.col("kind") == 0, "ADM3").otherwise("PPL").alias("feature_code"), "population", F.when(F.col("kind") == 1, F.col("population") / 10.0).cast("string").alias("elevation"), (F.col("lat") * 20).cast("string").alias("dem"))
+    return filtered(t, 500).select("place_id", "height")
+
+
+@query("geo_chain", "line b, place b, stroke b, flipped l, seq b, lat d, lon d")
+def geo_chain(spark, d):
+    return strokes.chain(get(spark, d, "stroke_point").where("stroke < 60").withColumn("line", F.col("stroke") % 5))
+
+
+@query("geo_simplify", "stroke b, seq b, lat d, lon d")
+def geo_simplify(spark, d):
+    return strokes.simplify(get(spark, d, "stroke_point"), 30.0, ["stroke"])
+
+
+@query("geo_cut_line", "line b, lat d, lon d")
+def geo_cut_line(spark, d):
+    return strokes.offset_points(get(spark, d, "coast_segment").withColumn("line", F.lit(0)), lines.MARGIN_KM, ["line"])
+
+
+@query("geo_capture", "stroke b, seq b, x d, y d", """SELECT stroke, seq, x, y FROM c WHERE took""", """RECURSIVE p AS (SELECT stroke, seq, CAST(floor((lon + 72)*10) AS DOUBLE) AS x, CAST(floor((lat + 34)*10) AS DOUBLE) AS y FROM stroke_point), c AS (SELECT stroke, seq, x, y, true AS took, x AS lx, y AS ly FROM p WHERE seq = 0 UNION ALL
+ SELECT p.stroke, p.seq, p.x, p.y, sqrt((p.x - lx)*(p.x - lx) + (p.y - ly)*(p.y - ly)) >= 4, CASE WHEN sqrt((p.x - lx)*(p.x - lx) + (p.y - ly)*(p.y - ly)) >= 4 THEN p.x ELSE lx END, CASE WHEN sqrt((p.x - lx)*(p.x - lx) + (p.y - ly)*(p.y - ly)) >= 4 THEN p.y ELSE ly END FROM c JOIN p ON p.stroke = c.stroke AND p.seq = c.seq + 1)""")
+def geo_capture(spark, d):
+    t = get(spark, d, "stroke_point").select("stroke", "seq", F.floor((F.col("lon") + 72) * 10).alias("x"), F.floor((F.col("lat") + 34) * 10).alias("y"))
+    return strokes.capture(t, ["stroke"], 4.0)
+
+
+@query("geo_dedupe_places", "place_id b, name v, population b")
+def geo_dedupe_places(spark, d):
+    return strokes.dedupe_places(get(spark, d, "place"), 800.0)

@@ -55,8 +55,9 @@ def query(name: str, schema: str, duck: str | None = None, ctes: str = ""):
         _QUERIES[name] = run
         if duck:
             value = lambda c, t: f"round(CAST({c} AS DOUBLE), 6) + 0.0::DOUBLE AS {c}" if t == "d" else f"CAST({c} AS {_DUCK_TYPES[t]}) AS {c}"
-            named = ", ".join(filter(None, [_with_views(f"{ctes} {duck}"), ctes]))
-            _SQL[name] = (f"WITH {named} " if named else "") + f"SELECT {', '.join(value(c, t) for c, t in fields)} FROM ({duck})"
+            word = "WITH RECURSIVE" if ctes.startswith("RECURSIVE ") else "WITH"
+            named = ", ".join(filter(None, [_with_views(f"{ctes} {duck}"), ctes.removeprefix("RECURSIVE ")]))
+            _SQL[name] = (f"{word} {named} " if named else "") + f"SELECT {', '.join(value(c, t) for c, t in fields)} FROM ({duck})"
         return f
 
     return put
