@@ -16,10 +16,12 @@ def offered_not_rejected(offered: DataFrame, log: DataFrame) -> DataFrame:
 
 
 def downloaded(names: DataFrame, name: str = "name") -> DataFrame:
-    """Folders named after squares whose name round-trips through the grid."""
+    """Folders named after squares whose name round-trips through the grid.
+
+    A name that parses does: its digits are canonical and its corner is a multiple of the level's step.
+    """
     t = names.withColumn("_t", grid.parse_tile_name(name, grid.SQUARE_PATTERN)).where("_t is not null")
-    back = F.concat(F.format_string("map_%02d_", F.col("_t.level")), grid.square_name("_t.tx", "_t.ty", "_t.level"))
-    return t.where(back == F.col(name)).select("*", "_t.level", "_t.tx", "_t.ty").drop("_t")
+    return t.select("*", "_t.level", "_t.tx", "_t.ty").drop("_t")
 
 
 def installed(names: DataFrame, level: int = 9, name: str = "name") -> DataFrame:

@@ -111,7 +111,15 @@ def tile_image(spark, d):
     )
 
 
-@view("job_text", """SELECT n_nationkey, '<[file][][]<[tm_config][aerial_images][]<[string8][folder_source_files][./src' || n_nationkey || '/]>\n<[bool][write_ttc_files][true]><[bool][do_heightmaps][false]>\n<[list][region_list][]\n' || '<[region][element][0]<[int][level][9]><[vector2_float64][lonlat_min][' || (-71.5 + n_nationkey) || ' -33.0]><[vector2_float64][lonlat_max][' || (-70.25 + n_nationkey) || ' -34.5]><[bool][write_images_with_mask][true]>>\n' || CASE WHEN n_nationkey % 2 = 0 THEN '<[region][element][1]<[int][level][12]><[vector2_float64][lonlat_min][' || (-71.0 + n_nationkey) || ' -33.25]><[vector2_float64][lonlat_max][' || (-70.5 + n_nationkey) || ' -33.75]>>\n' ELSE '' END || '>>>' AS text FROM nation""".replace("\n'", "' || chr(10) || '").replace("|| ' || chr(10) || '' ||", "|| chr(10) ||"))
+NL = " || chr(10) || "
+
+
+@view(
+    "job_text",
+    "SELECT n_nationkey, '<[file][][]<[tm_config][aerial_images][]<[string8][folder_source_files][./src' || n_nationkey || '/]>'" + NL + "'<[bool][write_ttc_files][true]><[bool][do_heightmaps][false]>'" + NL + "'<[list][region_list][]'" + NL
+    + "'<[region][element][0]<[int][level][9]><[vector2_float64][lonlat_min][' || (-71.5 + n_nationkey) || ' -33.0]><[vector2_float64][lonlat_max][' || (-70.25 + n_nationkey) || ' -34.5]><[bool][write_images_with_mask][true]>>'" + NL
+    + "CASE WHEN n_nationkey % 2 = 0 THEN '<[region][element][1]<[int][level][12]><[vector2_float64][lonlat_min][' || (-71.0 + n_nationkey) || ' -33.25]><[vector2_float64][lonlat_max][' || (-70.5 + n_nationkey) || ' -33.75]>>' || chr(10) ELSE '' END || '>>>' AS text FROM nation",
+)
 def job_text(spark, d):
     return table(spark, d, "nation").selectExpr(
         "n_nationkey",
