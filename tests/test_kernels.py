@@ -32,9 +32,16 @@ def test_sweref(spark):
     n, e = mercator.sweref99tm(F.lit(0.0), F.lit(15.0))
     r = spark.range(1).select(n.alias("n"), e.alias("e")).first()
     assert abs(r["n"]) < 1e-6 and abs(r["e"] - 500000) < 1e-6
-    n, e = mercator.sweref99tm(F.lit(59.3293), F.lit(18.0686))
+    # on the central meridian northing is the scaled arc of the ellipse; beside it a degree is that of the parallel
+    f, a = 1 / 298.257222101, 6378137.0
+    e2, phi = f * (2 - f), np.linspace(0, np.radians(60), 200_001)
+    arc = np.trapezoid(a * (1 - e2) / (1 - e2 * np.sin(phi) ** 2) ** 1.5, phi)
+    n, _ = mercator.sweref99tm(F.lit(60.0), F.lit(15.0))
+    _, e = mercator.sweref99tm(F.lit(60.0), F.lit(15.01))
     r = spark.range(1).select(n.alias("n"), e.alias("e")).first()
-    assert abs(r["n"] - 6580822) < 100 and abs(r["e"] - 674032) < 400
+    assert abs(r["n"] - 0.9996 * arc) < 1e-3
+    parallel = a / np.sqrt(1 - e2 * np.sin(phi[-1]) ** 2) * np.cos(phi[-1]) * np.radians(0.01)
+    assert abs(r["e"] - 500000 - 0.9996 * parallel) < 1e-2
 
 
 def test_block_tier_equals_pixel_tier(spark, sf_dir):
