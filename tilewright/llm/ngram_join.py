@@ -40,7 +40,9 @@ from tilewright.llm.components import components
 
 WORDS, PERCENT = 5, 80
 #: Size of the table of frequent shingles, and the shingles a task counts at once.
-FREQUENT, COUNTED = 1 << 16, 3_000_000
+FREQUENT, COUNTED = 1 << 19, 3_000_000
+#: Rows (of 16 bytes) that may be broadcast.
+BROADCAST = 1 << 20
 #: Candidates that are inverted together, and members of a list that are paired in one block.
 BLOCK, LIST_BLOCK = 64, 256
 #: Weighs a probe by bisection against a step of the heap.
@@ -129,10 +131,18 @@ def _frequent(docs: DataFrame, seed: int) -> tuple[np.ndarray, np.ndarray]:
             yield told()
 
     counts = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "token").limit(FREQUENT).collect()
-    token = np.array([r["token"] for r in top], np.int64).view(np.uint64)
+    counts = written(counts, "join-counts")
+    # the least count that at most FREQUENT shingles reach: counts by count are few
+    least, rows = 1 << 62, 0
+    for r in counts.groupBy("n").count().orderBy(F.desc("n")).toLocalIterator():
+        rows += r["count"]
+        if rows > FREQUENT:
+            break
+        least = r["n"]
+    top = counts.where(F.col("n") >= least).toArrow()
+    token, times = top["token"].to_numpy().view(np.uint64), top["n"].to_numpy()
     order = np.argsort(token)
-    return token[order], np.array([r["n"] for r in top], np.int64)[order]
+    return token[order], times[order]
 
 
 def _prefixes(docs: DataFrame, seed: int, frequent, percent: int) -> DataFrame:
@@ -246,7 +256,7 @@ def _search(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
-    """(sid, items) of the wanted (sid, doc_id)."""
+    """(sid, items) of the wanted (sid, doc_id); rows that repeat a document give a set again."""
 
     def run(batches):
         import pyarrow as pa
@@ -256,9 +266,10 @@ def _sets(docs: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
             cols = list(zip(*got, strict=True)) or [[], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary())], names=["sid", "items"])
 
+    if wanted.count() <= BROADCAST:
+        wanted = F.broadcast(wanted)
     rows = docs.alias("d").join(wanted.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))).select("w.sid", "d.text")
-    found = rows.mapInArrow(run, "sid long, items binary")
-    return found.dropDuplicates(["sid"])
+    return rows.mapInArrow(run, "sid long, items binary")
 
 
 def _across(shared: DataFrame, classes: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
@@ -311,10 +322,11 @@ def classes(docs: DataFrame, percent: int = PERCENT, seed: int = 0) -> DataFrame
     postings = first.where("first is not null").select(F.explode("first").alias("token"), "sid", "n")
     shared = postings.repartition("token").sortWithinPartitions("token", "n", "sid").mapInArrow(_neighbours, "token long, sid long, n long, prev long")
     shared = written(shared, "join-lists")
-    wanted = shared.select("sid").distinct().join(named, "sid")
-    sets = written(_sets(docs, wanted, seed), "join-sets")
-
     near = written(shared.where("prev is not null").select(F.least("sid", "prev").alias("a"), F.greatest("sid", "prev").alias("b")).distinct(), "join-pairs")
+    # a set whose size fits some other of a list fits its neighbour there: no other set is asked for later
+    wanted = near.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(named, "sid")
+    sets = written(_sets(docs, written(wanted, "join-wanted"), seed), "join-sets")
+
     links = written(_search(near, sets, percent), "join-links")
     linked = written(components(links), "join-classes")
     more = written(_search(written(_across(shared, linked, near, percent), "join-pairs"), sets, percent), "join-links")
