@@ -73,6 +73,12 @@ def shingles(text: str | None, seed: int = 0, words: int = WORDS) -> np.ndarray:
     return np.unique(out)
 
 
+def name_of(s: np.ndarray, seed: int = 0) -> tuple[int, int]:
+    """A set's name and a second hash of it."""
+    digest = hashlib.blake2b(s.tobytes(), digest_size=16, salt=seed.to_bytes(8, "little")).digest()
+    return tuple(int.from_bytes(digest[k : k + 8], "little", signed=True) for k in (0, 8))
+
+
 def required(n: int, m: int, percent: int = PERCENT) -> int:
     """The least overlap of sets of n and m that makes percent of their union."""
     return -(-percent * (n + m) // (100 + percent))
@@ -158,8 +164,7 @@ def _prefixes(docs: DataFrame, seed: int, frequent, percent: int) -> DataFrame:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 s = shingles(text, seed)
                 n = len(s)
-                digest = hashlib.blake2b(s.tobytes(), digest_size=16, salt=seed.to_bytes(8, "little")).digest()
-                sid, check = (int.from_bytes(digest[k : k + 8], "little", signed=True) for k in (0, 8))
+                sid, check = name_of(s, seed)
                 first = None
                 if n and sid not in seen:
                     if len(seen) > 200_000:
@@ -214,10 +219,33 @@ def _neighbours(batches):
         yield told(t, s, n, len(t))
 
 
-def _search(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link. sets: (sid, items), items the sorted hashes as bytes."""
-    asked = pairs.select(F.col("a").alias("sid")).distinct().join(sets, "sid").select(F.col("sid").alias("a"), F.lit(None).cast("long").alias("b"), "items")
-    held = pairs.join(sets.withColumnRenamed("sid", "b"), "b").select("a", "b", "items")
+def _search(pairs: DataFrame, docs: DataFrame, named: DataFrame, percent: int, seed: int) -> DataFrame:
+    """The pairs (a, b) that link. Sets are made again from the texts of those documents that pairs name.
+
+    A set is sent to each query that it is held against (and its own), never twice on the way: what
+    it is needed for travels to the text, if that is of a size that can be broadcast.
+    """
+    asked = pairs.select(F.col("a").alias("sid"), "a", F.lit(None).cast("long").alias("b")).distinct()
+    roles = asked.unionByName(pairs.select(F.col("b").alias("sid"), "a", "b"))
+    wanted = roles.groupBy("sid").agg(F.collect_list(F.struct("a", "b")).alias("roles")).join(named, "sid")
+    wanted = written(wanted, "join-wanted")
+    if (wanted.agg(F.sum(F.size("roles") + 2)).first()[0] or 0) <= BROADCAST:
+        wanted = F.broadcast(wanted)
+
+    def send(batches):
+        import pyarrow as pa
+
+        for batch in slices(batches, "text", 4 << 20):
+            out = []
+            for sid, roles, text in zip(*(batch.column(c).to_pylist() for c in ("sid", "roles", "text")), strict=True):
+                s = shingles(text, seed)
+                if name_of(s, seed)[0] == sid:  # else another text under the same id
+                    out += [(r["a"], r["b"], s.tobytes()) for r in roles]
+            cols = list(zip(*out, strict=True)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["a", "b", "items"])
+
+    rows = docs.alias("d").join(wanted.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))).select("w.sid", "w.roles", "d.text")
+    sent = rows.mapInArrow(send, "a long, b long, items binary")
 
     def run(batches):
         import pyarrow as pa
@@ -251,27 +279,10 @@ def _search(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         flush()
         yield told()
 
-    dealt = asked.unionByName(held).repartition("a").sortWithinPartitions("a", F.col("b").asc_nulls_first())
+    dealt = sent.repartition("a").sortWithinPartitions("a", F.col("b").asc_nulls_first())
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
-    """(sid, items) of the wanted (sid, doc_id); rows that repeat a document give a set again."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in slices(batches, "text"):
-            got = [(sid, s.tobytes()) for sid, text in zip(batch.column("sid").to_pylist(), batch.column("text").to_pylist(), strict=True) for s in [shingles(text, seed)] if int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=16, salt=seed.to_bytes(8, "little")).digest()[:8], "little", signed=True) == sid]
-            cols = list(zip(*got, strict=True)) or [[], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary())], names=["sid", "items"])
-
-    if wanted.count() <= BROADCAST:
-        wanted = F.broadcast(wanted)
-    rows = docs.alias("d").join(wanted.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))).select("w.sid", "d.text")
-    return rows.mapInArrow(run, "sid long, items binary")
-
-
 def _across(shared: DataFrame, classes: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
     """Pairs of different classes that lists still hold: (a, b)."""
     named = shared.join(classes, shared["sid"] == classes["node"], "left").select("token", "sid", "n", F.coalesce("root", "sid").alias("root"))
@@ -323,13 +334,9 @@ def classes(docs: DataFrame, percent: int = PERCENT, seed: int = 0) -> DataFrame
     shared = postings.repartition("token").sortWithinPartitions("token", "n", "sid").mapInArrow(_neighbours, "token long, sid long, n long, prev long")
     shared = written(shared, "join-lists")
     near = written(shared.where("prev is not null").select(F.least("sid", "prev").alias("a"), F.greatest("sid", "prev").alias("b")).distinct(), "join-pairs")
-    # a set whose size fits some other of a list fits its neighbour there: no other set is asked for later
-    wanted = near.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(named, "sid")
-    sets = written(_sets(docs, written(wanted, "join-wanted"), seed), "join-sets")
-
-    links = written(_search(near, sets, percent), "join-links")
+    links = written(_search(near, docs, named, percent, seed), "join-links")
     linked = written(components(links), "join-classes")
-    more = written(_search(written(_across(shared, linked, near, percent), "join-pairs"), sets, percent), "join-links")
+    more = written(_search(written(_across(shared, linked, near, percent), "join-pairs"), docs, named, percent, seed), "join-links")
     stars = linked.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
     linked = components(stars.unionByName(more))
 
