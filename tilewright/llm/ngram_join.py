@@ -10,7 +10,9 @@ order, never the result). Two sets that link must share one of their first n - c
 shingles. Postings of these are sorted by shingle and size in one pass that holds one row; it pairs
 neighbours of a list only. Pairs are verified and linked sets form classes. A list whose members
 are all of one class is done, however long. What lists still hold of different classes, blocks of
-bounded size pair exhaustively, without the pairs that sizes or earlier tests rule out. So no link
+bounded size pair exhaustively, without the pairs that sizes, earlier tests or parities rule out (a
+set of n has some n parity bits, and those of two sets differ in no more bits than the sets in members,
+so the rule is exact; it leaves little but true neighbours). So no link
 between different classes is lost and no group of copies is ever expanded into all its pairs.
 
 Verification is a T-occurrence search. The candidates of a set, in blocks, are inverted: a list of
@@ -40,7 +42,7 @@ from tilewright.llm.components import components
 
 WORDS, PERCENT = 5, 80
 #: Size of the table of frequent shingles, and the shingles a task counts at once.
-FREQUENT, COUNTED = 1 << 19, 3_000_000
+FREQUENT, COUNTED = 1 << 20, 3_000_000
 #: Rows (of 16 bytes) that may be broadcast.
 BROADCAST = 1 << 20
 #: Candidates that are inverted together, and members of a list that are paired in one block.
@@ -79,6 +81,46 @@ def name_of(s: np.ndarray, seed: int = 0) -> tuple[int, int]:
     return tuple(int.from_bytes(digest[k : k + 8], "little", signed=True) for k in (0, 8))
 
 
+def parity_bits(s: np.ndarray) -> bytes:
+    """A set as parities: bit k is the number of its hashes that are k modulo a power of two from its size on.
+
+    Two sets' parities differ in no more bits than their symmetric difference has members. A longer
+    one folds to half its length by exclusive or.
+    """
+    size = max(64, 1 << (max(1, len(s)) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(bits: np.ndarray) -> np.ndarray:
+    half = bits.shape[-1] // 2
+    return bits[..., :half] ^ bits[..., half:]
+
+
+def may_link(n: np.ndarray, bits: list[bytes], percent: int = PERCENT, apart=None) -> list[tuple[int, int]]:
+    """Pairs of members whose sizes and parities do not rule a link out. apart(k, others): a further condition."""
+    length = np.array([len(b) for b in bits])
+    out = []
+    by = {int(x): np.flatnonzero(length == x) for x in np.unique(length)}
+    words = {x: np.stack([np.frombuffer(bits[k], np.uint64) for k in at]) for x, at in by.items()}
+    for x, at in by.items():
+        parts = [(at, words[x], True)]
+        if 2 * x in by:
+            parts.append((by[2 * x], _folded(words[2 * x]), False))
+        for row, k in enumerate(at):
+            for others, held, same in parts:
+                ids, w = (others[row + 1 :], held[row + 1 :]) if same else (others, held)
+                if not len(ids):
+                    continue
+                total = n[ids] + n[k]
+                need = -(-percent * total // (100 + percent))
+                ok = (100 * np.minimum(n[ids], n[k]) >= percent * np.maximum(n[ids], n[k])) & (np.bitwise_count(w ^ words[x][row]).sum(1) <= total - 2 * need)
+                if apart is not None:
+                    ok &= apart(k, ids)
+                out += [(int(k), int(j)) for j in ids[ok]]
+    return out
+
+
 def required(n: int, m: int, percent: int = PERCENT) -> int:
     """The least overlap of sets of n and m that makes percent of their union."""
     return -(-percent * (n + m) // (100 + percent))
@@ -152,7 +194,7 @@ def _frequent(docs: DataFrame, seed: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(docs: DataFrame, seed: int, frequent, percent: int) -> DataFrame:
-    """doc_id, sid (the set's name), check, n and the first shingles of sets that the task meets first."""
+    """doc_id, sid (the set's name), check, n; of sets that the task meets first also parities and first shingles."""
 
     def run(batches):
         import pyarrow as pa
@@ -165,22 +207,23 @@ def _prefixes(docs: DataFrame, seed: int, frequent, percent: int) -> DataFrame:
                 s = shingles(text, seed)
                 n = len(s)
                 sid, check = name_of(s, seed)
-                first = None
+                first = bits = None
                 if n and sid not in seen:
                     if len(seen) > 200_000:
                         seen.clear()
                     seen.add(sid)
+                    bits = parity_bits(s)
                     if len(common):
                         at = np.minimum(np.searchsorted(common, s), len(common) - 1)
                         rank = np.where(common[at] == s, times[at], 0)
                         s = s[np.argsort(rank, kind="stable")]
                     first = s[: n + (-percent * n // 100) + 1].view(np.int64)
-                rows.append((doc_id, sid, check, n, first))
-            cols = list(zip(*rows, strict=True)) or [[]] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "sid", "check", "n", "first"])
+                rows.append((doc_id, sid, check, n, bits, first))
+            cols = list(zip(*rows, strict=True)) or [[]] * 6
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "sid", "check", "n", "bits", "first"])
 
-    return docs.mapInArrow(run, "doc_id long, sid long, check long, n long, first array<long>")
+    return docs.mapInArrow(run, "doc_id long, sid long, check long, n long, bits binary, first array<long>")
 
 
 def _neighbours(batches):
@@ -227,7 +270,7 @@ def _search(pairs: DataFrame, docs: DataFrame, named: DataFrame, percent: int, s
     """
     asked = pairs.select(F.col("a").alias("sid"), "a", F.lit(None).cast("long").alias("b")).distinct()
     roles = asked.unionByName(pairs.select(F.col("b").alias("sid"), "a", "b"))
-    wanted = roles.groupBy("sid").agg(F.collect_list(F.struct("a", "b")).alias("roles")).join(named, "sid")
+    wanted = roles.groupBy("sid").agg(F.collect_list(F.struct("a", "b")).alias("roles")).join(named.select("sid", "doc_id"), "sid")
     wanted = written(wanted, "join-wanted")
     if (wanted.agg(F.sum(F.size("roles") + 2)).first()[0] or 0) <= BROADCAST:
         wanted = F.broadcast(wanted)
@@ -283,15 +326,30 @@ def _search(pairs: DataFrame, docs: DataFrame, named: DataFrame, percent: int, s
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def _across(shared: DataFrame, classes: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different classes that lists still hold: (a, b)."""
-    named = shared.join(classes, shared["sid"] == classes["node"], "left").select("token", "sid", "n", F.coalesce("root", "sid").alias("root"))
-    mixed = named.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
+def _plausible(pairs: DataFrame, named: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and parities do not rule out."""
+    side = lambda c: named.select(F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
+
+    @F.pandas_udf("boolean")
+    def near(n_a, bits_a, n_b, bits_b):
+        import pandas as pd
+
+        return pd.Series([bool(may_link(np.array([n, m]), [x, y], percent)) for n, x, m, y in zip(n_a, bits_a, n_b, bits_b, strict=True)], dtype=bool)
+
+    t = pairs.join(side("a"), "a").join(side("b"), "b")
+    return t.where(near("n_a", "bits_a", "n_b", "bits_b")).select("a", "b")
+
+
+def _across(shared: DataFrame, classes: DataFrame, named: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different classes that lists still hold and that sizes and parities do not rule out: (a, b)."""
+    rooted = shared.join(classes, shared["sid"] == classes["node"], "left").select("token", "sid", F.coalesce("root", "sid").alias("root"))
+    mixed = rooted.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
     blocks = F.ceil(F.col("m") / LIST_BLOCK).cast("int")
-    rows = named.join(mixed.select("token", blocks.alias("k")), "token").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("k")).cast("int"))
+    rows = rooted.join(mixed.select("token", blocks.alias("k")), "token").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("k")).cast("int"))
+    rows = rows.join(named.select("sid", "n", "bits"), "sid")
     # a member of block i meets those of blocks 0 to k - 1: the pair of blocks (i, j), i <= j, is a group
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    member = F.struct("sid", "n", "root", "own")
+    member = F.struct("sid", "n", "root", "own", "bits")
     groups = rows.groupBy("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(member).alias("members"))
 
     def run(batches):
@@ -302,19 +360,19 @@ def _across(shared: DataFrame, classes: DataFrame, tested: DataFrame, percent: i
             i, j = batch.column("i").to_numpy(), batch.column("j").to_numpy()
             offsets = column.offsets.to_numpy()
             sid, n, root, own = (column.values.field(k).to_numpy() for k in range(4))
-            out = []
-            for g, (a, b) in enumerate(zip(offsets, offsets[1:], strict=False)):
-                s, m, r, o = sid[a:b], n[a:b], root[a:b], own[a:b]
-                order = np.argsort(s)
-                s, m, r, o = s[order], m[order], r[order], o[order]
-                for k in range(len(s) - 1):
-                    ok = (r[k + 1 :] != r[k]) & (100 * np.minimum(m[k], m[k + 1 :]) >= percent * np.maximum(m[k], m[k + 1 :]))
-                    if i[g] != j[g]:
-                        ok &= o[k + 1 :] != o[k]
-                    if ok.any():
-                        out.append(np.stack([np.full(ok.sum(), s[k]), s[k + 1 :][ok]], 1))
-            found = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, k])) for k in (0, 1)], names=["a", "b"])
+            bits = column.values.field(4).to_pylist()
+            out: set[tuple[int, int]] = set()
+            for g, (a, b) in enumerate(zip(offsets.tolist(), offsets[1:].tolist(), strict=False)):
+                s, r, o = sid[a:b], root[a:b], own[a:b]
+                if (r == r[0]).all():
+                    continue
+                cross = i[g] != j[g]
+                apart = lambda k, ids: (r[ids] != r[k]) & (not cross or o[ids] != o[k])  # noqa: B023, E731
+                for x, y in may_link(n[a:b], bits[a:b], percent, apart):
+                    p, q = int(s[x]), int(s[y])
+                    out.add((min(p, q), max(p, q)))
+            cols = list(zip(*out, strict=True)) or [[], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b"])
 
     pairs = groups.select("i", "j", "members").mapInArrow(run, "a long, b long").distinct()
     return pairs.join(tested, ["a", "b"], "left_anti")
@@ -326,17 +384,17 @@ def classes(docs: DataFrame, percent: int = PERCENT, seed: int = 0) -> DataFrame
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     frequent = spark.sparkContext.broadcast(_frequent(docs, seed))
     first = written(_prefixes(docs, seed, frequent, percent), "join-prefixes")
-    rows = first.select("doc_id", "sid", "check", "n")
-    named = rows.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.min("check").alias("x"), F.max("check").alias("y"))
-    named = written(named.select("sid", F.when(F.col("x") != F.col("y"), F.raise_error(F.lit("two sets share a name: choose another seed"))).otherwise(F.col("doc_id")).alias("doc_id")), "join-names")
+    rows = first.select("doc_id", "sid", "n")
+    named = first.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.min("check").alias("x"), F.max("check").alias("y"), F.max("n").alias("n"), F.max("bits").alias("bits"))
+    named = written(named.select("sid", "n", "bits", F.when(F.col("x") != F.col("y"), F.raise_error(F.lit("two sets share a name: choose another seed"))).otherwise(F.col("doc_id")).alias("doc_id")), "join-names")
 
     postings = first.where("first is not null").select(F.explode("first").alias("token"), "sid", "n")
     shared = postings.repartition("token").sortWithinPartitions("token", "n", "sid").mapInArrow(_neighbours, "token long, sid long, n long, prev long")
     shared = written(shared, "join-lists")
     near = written(shared.where("prev is not null").select(F.least("sid", "prev").alias("a"), F.greatest("sid", "prev").alias("b")).distinct(), "join-pairs")
-    links = written(_search(near, docs, named, percent, seed), "join-links")
+    links = written(_search(written(_plausible(near, named, percent), "join-pairs"), docs, named, percent, seed), "join-links")
     linked = written(components(links), "join-classes")
-    more = written(_search(written(_across(shared, linked, near, percent), "join-pairs"), docs, named, percent, seed), "join-links")
+    more = written(_search(written(_across(shared, linked, named, near, percent), "join-pairs"), docs, named, percent, seed), "join-links")
     stars = linked.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
     linked = components(stars.unionByName(more))
 
