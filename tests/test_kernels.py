@@ -197,3 +197,37 @@ def test_restartable_download(spark, tmp_path):
 
         downloads.run(spark, str(tmp_path / "inbox"), str(tmp_path / "out"), str(tmp_path / "cp"), file_source)
         assert spark.read.parquet(str(tmp_path / "out")).where("http = 200").count() == k + 1
+
+
+def test_water_bodies():
+    from tilewright.operators.labels import components, water_bodies
+
+    two = np.zeros((20, 20), bool)
+    two[2:6, 2:6] = two[10:15, 10:15] = True
+    assert components(two).max() == 2
+    u = np.zeros((20, 20), bool)
+    u[2:15, 2] = u[2:15, 10] = u[14, 2:11] = True
+    assert components(u).max() == 1
+    corner = np.zeros((10, 10), bool)
+    corner[:5, :5] = corner[5:, 5:] = True
+    assert components(corner).max() == 2
+    channel = np.zeros((30, 40), bool)
+    channel[5:25, 2:15] = channel[5:25, 25:38] = channel[15, 15:25] = True
+    assert water_bodies(channel, 0).max() == 1
+    parted = water_bodies(channel, 2)
+    assert parted.max() == 2 and ((parted > 0) == channel).all()
+    assert components(np.zeros((5, 5), bool)).max() == 0 and components(np.ones((5, 5), bool)).max() == 1
+
+
+def test_components_by_runs_agree(spark, sf_dir):
+    from tilewright.operators.labels import components
+    from tilewright.operators.rasters_more import components as by_runs
+
+    px = views.get(spark, sf_dir, "raster")
+    mask = np.zeros((64, 64), bool)
+    for r in px.collect():
+        mask[r["y"], r["x"]] = r["have"]
+    runs = by_runs(px, "have").collect()
+    want = components(mask)
+    assert len({r["label"] for r in runs}) == want.max()
+    assert len({(r["label"], int(want[r["y"], r["x0"]])) for r in runs}) == want.max()
