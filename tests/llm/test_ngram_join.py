@@ -110,6 +110,22 @@ def test_parities_never_rule_out_a_link(sets):
                 assert (j, i) in pairs
 
 
+@given(st.lists(st.tuples(st.sets(st.integers(0, 60), min_size=1, max_size=60), st.integers(0, 2), st.integers(0, 1)), min_size=2, max_size=14))
+def test_pairs_of_different_roots(members):
+    sets = [nj._mix(np.array(sorted(s), np.uint64)) for s, _, _ in members]
+    root, own = np.array([r for _, r, _ in members]), np.array([o for _, _, o in members])
+    n, bits = np.array([len(s) for s in sets]), [nj.parity_bits(s) for s in sets]
+    pairs = nj.may_link(n, bits, root=root, own=own)
+    assert len(pairs) == len({tuple(sorted(p)) for p in pairs})
+    found = {tuple(sorted(p)) for p in pairs}
+    assert all(root[i] != root[j] and own[i] != own[j] for i, j in found)
+    for i in range(len(sets)):
+        for j in range(i):
+            link = 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))
+            if link and root[i] != root[j] and own[i] != own[j]:
+                assert (j, i) in found
+
+
 @pytest.mark.parametrize("per_task", [7, 1000])
 def test_components(spark, per_task):
     rng = random.Random(5)

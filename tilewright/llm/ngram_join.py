@@ -11,7 +11,7 @@ shingles. Postings of these are sorted by shingle and size in one pass that hold
 neighbours of a list only. Pairs are verified and linked sets form classes. A list whose members
 are all of one class is done, however long. What lists still hold of different classes, blocks of
 bounded size pair exhaustively, without the pairs that sizes, earlier tests or parities rule out (a
-set of n has some n parity bits, and those of two sets differ in no more bits than the sets in members,
+set of n has some 2 n parity bits, and those of two sets differ in no more bits than the sets in members,
 so the rule is exact; it leaves little but true neighbours). So no link
 between different classes is lost and no group of copies is ever expanded into all its pairs.
 
@@ -82,12 +82,12 @@ def name_of(s: np.ndarray, seed: int = 0) -> tuple[int, int]:
 
 
 def parity_bits(s: np.ndarray) -> bytes:
-    """A set as parities: bit k is the number of its hashes that are k modulo a power of two from its size on.
+    """A set as parities: bit k is the number of its hashes that are k modulo a power of two from twice its size on.
 
     Two sets' parities differ in no more bits than their symmetric difference has members. A longer
     one folds to half its length by exclusive or.
     """
-    size = max(64, 1 << (max(1, len(s)) - 1).bit_length())
+    size = max(64, 2 << (max(1, len(s)) - 1).bit_length())
     odd = np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -97,27 +97,40 @@ def _folded(bits: np.ndarray) -> np.ndarray:
     return bits[..., :half] ^ bits[..., half:]
 
 
-def may_link(n: np.ndarray, bits: list[bytes], percent: int = PERCENT, apart=None) -> list[tuple[int, int]]:
-    """Pairs of members whose sizes and parities do not rule a link out. apart(k, others): a further condition."""
+def may_link(n: np.ndarray, bits: list[bytes], percent: int = PERCENT, root: np.ndarray | None = None, own: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Pairs of members of different roots (and own) whose sizes and parities do not rule a link out.
+
+    Members of the most common root are compared with, but don't compare: few others are left of a
+    list that is nearly one class.
+    """
     length = np.array([len(b) for b in bits])
-    out = []
+    root = np.arange(len(n)) if root is None else root
+    names, counts = np.unique(root, return_counts=True)
+    passive = root == names[counts.argmax()] if counts.max() > 1 else np.zeros(len(n), bool)
     by = {int(x): np.flatnonzero(length == x) for x in np.unique(length)}
     words = {x: np.stack([np.frombuffer(bits[k], np.uint64) for k in at]) for x, at in by.items()}
+    folded = {x: _folded(words[x]) for x in by if x // 2 in by or 2 * x in by}
+    out = []
     for x, at in by.items():
-        parts = [(at, words[x], True)]
-        if 2 * x in by:
-            parts.append((by[2 * x], _folded(words[2 * x]), False))
         for row, k in enumerate(at):
-            for others, held, same in parts:
-                ids, w = (others[row + 1 :], held[row + 1 :]) if same else (others, held)
-                if not len(ids):
-                    continue
+            if passive[k]:
+                continue
+            parts = [(at, words[x], words[x][row])]
+            if 2 * x in by:
+                parts.append((by[2 * x], folded[2 * x], words[x][row]))
+            if x // 2 in by:
+                parts.append((by[x // 2], words[x // 2], folded[x][row]))
+            for ids, held, mine in parts:
+                # of two that both compare, the later one in order does
+                ok = (root[ids] != root[k]) & (passive[ids] | (ids < k))
+                if own is not None:
+                    ok &= own[ids] != own[k]
                 total = n[ids] + n[k]
-                need = -(-percent * total // (100 + percent))
-                ok = (100 * np.minimum(n[ids], n[k]) >= percent * np.maximum(n[ids], n[k])) & (np.bitwise_count(w ^ words[x][row]).sum(1) <= total - 2 * need)
-                if apart is not None:
-                    ok &= apart(k, ids)
-                out += [(int(k), int(j)) for j in ids[ok]]
+                ok &= 100 * np.minimum(n[ids], n[k]) >= percent * np.maximum(n[ids], n[k])
+                if ok.any():
+                    need = -(-percent * total // (100 + percent))
+                    ok &= np.bitwise_count(held ^ mine).sum(1) <= total - 2 * need
+                    out += [(int(k), int(j)) for j in ids[ok]]
     return out
 
 
@@ -227,21 +240,20 @@ def _prefixes(docs: DataFrame, seed: int, frequent, percent: int) -> DataFrame:
 
 
 def _neighbours(batches):
-    """Postings sorted by (token, n, sid): those whose list has others, and the one before in the list."""
+    """Postings sorted by (token, n, sid): those whose list has others of a size that fits, and such a one before."""
     import pyarrow as pa
 
     def told(t, s, n, until):
         """Of rows 1 to until - 1; row 0 and, if not the last, row `until` are neighbours only."""
-        same = (t[1:] == t[:-1]) & (s[1:] != s[:-1])
+        # of a list's members the next in size fits best: one that fits neither neighbour fits none
+        same = (t[1:] == t[:-1]) & (s[1:] != s[:-1]) & (100 * n[:-1] >= PERCENT * n[1:])
         before = np.concatenate([[False], same])[:until]
         after = np.concatenate([same, [False]])[:until]
         keep = before | after
         keep[0] = False
         at = np.flatnonzero(keep)
         prev = np.where(before[at], s[at - 1], 0)
-        small, large = n[at - 1], n[at]
-        ok = before[at] & (100 * small >= PERCENT * large)
-        return pa.RecordBatch.from_arrays([pa.array(t[at]), pa.array(s[at]), pa.array(n[at]), pa.array(prev, mask=~ok)], names=["token", "sid", "n", "prev"])
+        return pa.RecordBatch.from_arrays([pa.array(t[at]), pa.array(s[at]), pa.array(n[at]), pa.array(prev, mask=~before[at])], names=["token", "sid", "n", "prev"])
 
     # row 0 is a stand-in that shares no list with the first row
     t, s, n = (np.zeros(1, np.int64) for _ in range(3))
@@ -344,18 +356,25 @@ def _across(shared: DataFrame, classes: DataFrame, named: DataFrame, tested: Dat
     """Pairs of different classes that lists still hold and that sizes and parities do not rule out: (a, b)."""
     rooted = shared.join(classes, shared["sid"] == classes["node"], "left").select("token", "sid", F.coalesce("root", "sid").alias("root"))
     mixed = rooted.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
-    blocks = F.ceil(F.col("m") / LIST_BLOCK).cast("int")
+    # a power of two, so that lists of alike lengths are cut alike
+    blocks = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.col("m") / LIST_BLOCK, F.lit(1.0))))).cast("int")
     rows = rooted.join(mixed.select("token", blocks.alias("k")), "token").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("k")).cast("int"))
     rows = rows.join(named.select("sid", "n", "bits"), "sid")
     # a member of block i meets those of blocks 0 to k - 1: the pair of blocks (i, j), i <= j, is a group
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     member = F.struct("sid", "n", "root", "own", "bits")
-    groups = rows.groupBy("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(member).alias("members"))
+    rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    # long lists of one family share their pairs of blocks: these go to one task, which tells of a pair once
+    rows = rows.withColumn("to", F.when(F.col("k") == 1, F.col("token")).otherwise(F.xxhash64("k", "i", "j"))).repartition("to")
+    groups = rows.groupBy("to", "token", "i", "j").agg(F.collect_list(member).alias("members"))
 
     def run(batches):
         import pyarrow as pa
 
+        told: set[tuple[int, int]] = set()
         for batch in batches:
+            if len(told) > 1_000_000:
+                told.clear()
             column = batch.column("members")
             i, j = batch.column("i").to_numpy(), batch.column("j").to_numpy()
             offsets = column.offsets.to_numpy()
@@ -366,11 +385,11 @@ def _across(shared: DataFrame, classes: DataFrame, named: DataFrame, tested: Dat
                 s, r, o = sid[a:b], root[a:b], own[a:b]
                 if (r == r[0]).all():
                     continue
-                cross = i[g] != j[g]
-                apart = lambda k, ids: (r[ids] != r[k]) & (not cross or o[ids] != o[k])  # noqa: B023, E731
-                for x, y in may_link(n[a:b], bits[a:b], percent, apart):
+                for x, y in may_link(n[a:b], bits[a:b], percent, r, o if i[g] != j[g] else None):
                     p, q = int(s[x]), int(s[y])
                     out.add((min(p, q), max(p, q)))
+            out -= told
+            told |= out
             cols = list(zip(*out, strict=True)) or [[], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b"])
 
