@@ -39,6 +39,15 @@ def test_ids_are_those_of_the_library(text):
     assert bpe.shared().encode(text).tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+MIXED = ["a\tb\tc\n\n", "x\u3000y\u3000z\n\n", "a\tb\tc\td\n\n e", "a\xa0b  c", "a\tb ", "\ta b\n", "a\n \tb\tc", "one two\nthree", "a\x0bb\x0cc\r\n\r\nd"]
+
+
+@pytest.mark.parametrize("text", MIXED)
+def test_ids_where_other_gaps_offset_longer_ones(text):
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert bpe.shared().encode(text).tolist() == t.encode(text, add_special_tokens=False).ids
+
+
 def check(docs, got):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     want = {}

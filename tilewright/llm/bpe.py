@@ -34,8 +34,8 @@ class Bpe:
         self.allowed = {SPECIAL} if specials else set()
 
     def encode(self, text: str) -> np.ndarray:
-        # as many gaps between words as spaces and line ends: each gap is one of these
-        plain = len(text.split()) == text.count(" ") + text.count("\n") + 1
+        # the words lie between single spaces and line ends: each gap is one of these, and none is at either end
+        plain = text.split() == text.replace("\n", " ").split(" ")
         encoding = self.plain if plain else self.whole
         return encoding.encode_to_numpy(text, allowed_special=self.allowed, disallowed_special=())
 
