@@ -77,6 +77,16 @@ def test_toxicity(spark):
     assert model.score(None) == model.score("") < 0.5
 
 
+def test_long_tokens_and_short_spaced_words():
+    costs = tx.trigram_costs(np.ones(tx.SYMBOLS**3), {"vexidor": 50, "zug": 50, "hello": 50, "plain": 50})
+    model = tx.Model(["vexidor", "zug"], np.full(4, 3.0), 0.0, costs)
+    long = [f"ve{'x' * 70}idor", "v" * 5000 + "exidor", "/".join(["hello"] * 20 + ["v3x1dor"] + ["plain"] * 20), *(j.join(["hello", "plain"] * 40 + ["v3x1d0r"] + ["hello"] * 40) for j in "_-.")]
+    for text in [*long, "z u g", "hello z.u.g, plain", "z-u-g", "z u 9"]:
+        assert model.score(text) >= 0.5, text
+    for text in ["hello_" * 5000 + "plain", "a b c", "z u", "h e l l o", "x" * 100_000]:
+        assert model.score(text) < 0.5, text
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b", 0), (None, None, 0), (2, "x" * 100000 + " a" * 50000, 0)], "doc_id long, text string, toxic int")
     labs = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, toxic int")

@@ -37,7 +37,7 @@ SYMBOLS = 28  # boundary, a to z, other letter
 LOOKALIKE = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "*": "aeiou"}
 SEPARATORS = "*.-_~'`^,"
 SUSPECT = re.compile(r"[^\W\d_][0-9@$!|+(€£*.\-_~'`^,]+[^\W\d_]|[0-9@$!|+(€£]+[^\W\d_]|[^\W\d_][0-9@$!|+(€£]|([^\W\d_])\1\1")
-SPACED = re.compile(r"(?<!\S)(?:[^\W_@$!|]|[@$!|])(?:[ .\-_*](?:[^\W_]|[@$!|])){3,}(?![^\s.,;:!?])")
+SPACED = re.compile(r"(?<!\S)(?:[^\W_@$!|]|[@$!|])(?:[ .\-_*](?:[^\W_]|[@$!|])){2,}(?![^\s.,;:!?])")
 PIECE = re.compile(r"[^\W_]+")
 SIGN, DROP, ONCE, TWICE = 1.2, 0.8, 0.3, 0.7
 
@@ -120,11 +120,14 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
 
 
 def restore(token: str, costs: np.ndarray) -> str:
-    """The cheapest reading of a token's lattice under the character model (Viterbi)."""
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    """The cheapest reading of a token's lattice under the character model (Viterbi).
+
+    A state holds its last reading and a link to those before, so that time is linear in the token's length.
+    """
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for ways in [*lattice(token), [(" ", 0.0)]]:
-        after: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (cost, text) in states.items():
+        after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (cost, path) in states.items():
             for reading, extra in ways:
                 x, y, total = a, b, cost + extra
                 for c in reading:
@@ -133,9 +136,18 @@ def restore(token: str, costs: np.ndarray) -> str:
                     x, y = y, s
                 held = after.get((x, y))
                 if held is None or total < held[0]:
-                    after[x, y] = (total, text + reading)
+                    after[x, y] = (total, (path, reading))
         states = after
-    return min(states.values())[1].strip()
+    least = min(cost for cost, _ in states.values())
+    return min(_joined(path) for cost, path in states.values() if cost == least).strip()
+
+
+def _joined(path: tuple | None) -> str:
+    out = []
+    while path is not None:
+        path, reading = path
+        out.append(reading)
+    return "".join(reversed(out))
 
 
 def marks_of(word: str) -> list[str]:
@@ -155,7 +167,7 @@ class Model:
     def hits(self, word: str) -> tuple:
         """(mark, piece) pairs of a token, as written and as restored."""
         pieces = set(PIECE.findall(word))
-        if SUSPECT.search(word) and len(word) <= 64:
+        if SUSPECT.search(word):
             pieces |= set(PIECE.findall(restore(word, self.costs)))
         return tuple({(self.marks[m], p) for p in pieces if p[:3] in self.starts for m in marks_of(p) if m in self.marks})
 
