@@ -92,6 +92,22 @@ def test_one_of_each(spark):
     assert sorted((r["doc_id"] for r in out.collect()), key=repr) == [2, 4, 9, None]
 
 
+def test_one_of_each_goes_by_class(spark):
+    text, other, third = (" ".join(f"{c}{k}" for k in range(100)) for c in "abc")
+    near = [(3, text), (5, text + " x"), (None, text + " y")]
+    rows = [*near, (5, "clean words of one text only"), (5, None), (5, ""), (None, other), (None, other + " x"), (None, other), (7, third), (7, third + " x"), (7, third), (None, None), (None, " \x0b"), (5, None)]
+    for k in range(2):
+        df = spark.createDataFrame([(d, t, 0) for d, t in (rows, rows[::-1])[k]], SCHEMA).repartition(3 + k)
+        out = sorted(((r["doc_id"], r["text"]) for r in nj.one_of_each(df).collect()), key=repr)
+        sure = [(3, text), (5, "clean words of one text only"), (5, None), (5, ""), (None, None), (None, " \x0b")]
+        assert all(out.count(r) == 1 for r in sure)
+        open_ = [r for r in out if r not in sure]
+        assert len(open_) == 2
+        assert {(d, t.removesuffix(" x")) for d, t in open_} == {(None, other), (7, third)}
+        assert k == 0 or out == before
+        before = out
+
+
 @given(st.lists(st.lists(st.integers(0, 40), min_size=1, max_size=40), min_size=1, max_size=12))
 def test_divide_skip(sets):
     sets = [np.unique(np.array(s, np.uint64)) for s in sets]

@@ -397,8 +397,8 @@ def _across(shared: DataFrame, classes: DataFrame, named: DataFrame, tested: Dat
     return pairs.join(tested, ["a", "b"], "left_anti")
 
 
-def classes(docs: DataFrame, percent: int = PERCENT, seed: int = 0) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id."""
+def _rooted(docs: DataFrame, percent: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of docs (doc_id, sid, n), and sets that are not empty (sid, doc_id, root): root names the set's class."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     frequent = spark.sparkContext.broadcast(_frequent(docs, seed))
@@ -419,17 +419,35 @@ def classes(docs: DataFrame, percent: int = PERCENT, seed: int = 0) -> DataFrame
 
     least = named.join(linked, named["sid"] == linked["node"], "left").select("sid", "doc_id", F.coalesce("root", "sid").alias("root"))
     least = written(least, "join-least")
+    return rows, least
+
+
+def classes(docs: DataFrame, percent: int = PERCENT, seed: int = 0) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id."""
+    rows, least = _rooted(docs, percent, seed)
     found = least.select("sid", "root").join(least.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("sid", "component_id")
     out = rows.join(found, "sid", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs with the smallest id of their class, once each; rows without an id stay."""
-    found = classes(docs, percent)
-    keep = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    """Of each class the row with the smallest id, nulls last; of rows that share this id, that of a text by hash.
+
+    Rows are told apart by a hash of id and text, so what repeats both is one row. Rows with neither an
+    id nor a shingle stay.
+    """
+    text = F.col("text").cast("string")
+    bare = F.col("doc_id").isNull() & (text.isNull() | ~text.rlike("[^ \\t\\n\\r\\x0B\\f]"))
+    keyed = docs.where(~bare).withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), text))
+    rows, least = _rooted(keyed.select(F.col("_row").alias("doc_id"), "text"), percent, 0)
+    # an empty set is a class of its own row
+    rows = rows.join(least.select("sid", "root"), "sid", "left")
+    rows = rows.select(F.col("doc_id").alias("_row"), F.struct((F.col("n") > 0).alias("set"), F.coalesce("root", "doc_id").alias("name")).alias("class")).distinct()
+    ids = keyed.select("_row", F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row"))
+    keep = rows.join(ids, "_row").groupBy("class").agg(first.alias("first")).select("first._row")
+    kept = keyed.join(keep, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
+    return kept.unionByName(docs.where(bare))
 
 
 def op3_ngram_join(spark, sf_dir: str) -> DataFrame:
