@@ -231,3 +231,30 @@ def test_components_by_runs_agree(spark, sf_dir):
     want = components(mask)
     assert len({r["label"] for r in runs}) == want.max()
     assert len({(r["label"], int(want[r["y"], r["x0"]])) for r in runs}) == want.max()
+
+
+def test_chain_takes_every_stroke(spark):
+    """geo_chain on a table of 500 strokes against the greedy rule, stroke by stroke."""
+    from tilewright.plans import registry
+
+    d = "/root/testdata/sf0.01"
+    points = {}
+    for r in views.get(spark, d, "stroke_point").orderBy("stroke", "seq").collect():
+        points.setdefault(r["stroke"], []).append((r["lat"], r["lon"]))
+    got = {}
+    for r in registry.queries()["geo_chain"](spark, d).orderBy("line", "place", "seq").collect():
+        got.setdefault((r["line"], r["place"], r["stroke"], r["flipped"]), []).append((r["lat"], r["lon"]))
+    assert len(points) > 60 and sorted(k[2] for k in got) == sorted(points)
+    for (_, _, stroke, flipped), p in got.items():
+        assert p == (points[stroke][::-1] if flipped else points[stroke])
+    for line in range(5):
+        flat = {k: strokes._plane(*np.array(points[k]).T) for k in sorted(points) if k % 5 == line}
+        rest = list(flat)
+        chain = [(rest.pop(0), False)]
+        while rest:
+            tips = [(flat[chain[-1][0]][0 if chain[-1][1] else -1], True), (flat[chain[0][0]][-1 if chain[0][1] else 0], False)]
+            ways = [(float(np.hypot(*(tip - flat[k][e]))), k, late, e) for k in rest for tip, late in tips for e in (0, -1)]
+            _, k, late, e = min(ways, key=lambda w: w[0])
+            rest.remove(k)
+            chain = [*chain, (k, e == -1)] if late else [(k, e == 0), *chain]
+        assert chain == [k[2:] for k in sorted(got) if k[0] == line]

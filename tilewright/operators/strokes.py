@@ -29,23 +29,21 @@ def chain(points: DataFrame, line: str = "line") -> DataFrame:
         xy = {k: _plane(g["lat"].to_numpy(), np.asarray(g["lon"])) for k, g in strokes}
         groups = dict(strokes)
         order = [(strokes[0][0], False)]
-        rest = [k for k, _ in strokes[1:]]
+        names = [k for k, _ in strokes]
+        ends = np.stack([[xy[k][0], xy[k][-1]] for k in names])
+        free = np.arange(len(names)) > 0
         end = lambda k, flip, last: xy[k][-1 if last != flip else 0]
-        while rest:
+        while free.any():
             head, tail = end(*order[0], False), end(*order[-1], True)
-            best = None
-            for k in rest:
-                for at, point in ((1, tail), (0, head)):
-                    for first in (True, False):
-                        d = float(np.hypot(*(point - xy[k][0 if first else -1])))
-                        if best is None or d < best[0]:
-                            best = (d, k, at, first)
-            _, k, at, first = best
-            rest.remove(k)
-            if at:
-                order.append((k, not first))
+            # by stroke, then tail before head, then its start before its end: the first of equal ones
+            away = np.stack([tail, head])[None, :, None] - ends[:, None]
+            d = np.where(free[:, None, None], np.hypot(away[..., 0], away[..., 1]), np.inf)
+            at, of_head, of_end = np.unravel_index(d.argmin(), d.shape)
+            free[at] = False
+            if of_head:
+                order.insert(0, (names[at], not of_end))
             else:
-                order.insert(0, (k, first))
+                order.append((names[at], bool(of_end)))
         out = []
         for place, (k, flip) in enumerate(order):
             g = groups[k].iloc[::-1] if flip else groups[k]

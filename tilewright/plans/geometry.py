@@ -110,7 +110,7 @@ def geo_place_filter(spark, d):
 
 @query("geo_chain", "line b, place b, stroke b, flipped l, seq b, lat d, lon d")
 def geo_chain(spark, d):
-    return strokes.chain(get(spark, d, "stroke_point").where("stroke < 60").withColumn("line", F.col("stroke") % 5))
+    return strokes.chain(get(spark, d, "stroke_point").withColumn("line", F.col("stroke") % 5))
 
 
 @query("geo_simplify", "stroke b, seq b, lat d, lon d")
