@@ -92,6 +92,17 @@ def test_one_of_each(spark):
     assert sorted((r["doc_id"] for r in out.collect()), key=repr) == [2, 4, 9, None]
 
 
+def test_sizes_of_another_percent(spark):
+    """At 60 percent, sets of 60 and of 100 shingles link, though no other set lies between them in size."""
+    words = [[f"{c}{k}" for k in range(104)] for c in "abc"]
+    rows = [(10 * i + k, " ".join(w[:m])) for i, w in enumerate(words) for k, m in enumerate((104, (64, 63, 84)[i]))]
+    sets = {d: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for d, t in rows}
+    assert [len(sets[d]) for d in (0, 1, 11, 21)] == [100, 60, 59, 80]
+    want = sorted((d, min(e for e in sets if 100 * len(sets[d] & sets[e]) >= 60 * len(sets[d] | sets[e]))) for d in sets)
+    df = spark.createDataFrame([(d, t, 1) for d, t in rows], SCHEMA)
+    assert sorted((r["doc_id"], r["component_id"]) for r in nj.classes(df, percent=60).collect()) == want == [(0, 0), (1, 0), (10, 10), (11, 11), (20, 20), (21, 20)]
+
+
 def test_one_of_each_goes_by_class(spark):
     text, other, third = (" ".join(f"{c}{k}" for k in range(100)) for c in "abc")
     near = [(3, text), (5, text + " x"), (None, text + " y")]

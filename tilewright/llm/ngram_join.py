@@ -239,14 +239,14 @@ def _prefixes(docs: DataFrame, seed: int, frequent, percent: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, sid long, check long, n long, bits binary, first array<long>")
 
 
-def _neighbours(batches):
+def _neighbours(batches, percent: int):
     """Postings sorted by (token, n, sid): those whose list has others of a size that fits, and such a one before."""
     import pyarrow as pa
 
     def told(t, s, n, until):
         """Of rows 1 to until - 1; row 0 and, if not the last, row `until` are neighbours only."""
         # of a list's members the next in size fits best: one that fits neither neighbour fits none
-        same = (t[1:] == t[:-1]) & (s[1:] != s[:-1]) & (100 * n[:-1] >= PERCENT * n[1:])
+        same = (t[1:] == t[:-1]) & (s[1:] != s[:-1]) & (100 * n[:-1] >= percent * n[1:])
         before = np.concatenate([[False], same])[:until]
         after = np.concatenate([same, [False]])[:until]
         keep = before | after
@@ -408,7 +408,7 @@ def _rooted(docs: DataFrame, percent: int, seed: int) -> tuple[DataFrame, DataFr
     named = written(named.select("sid", "n", "bits", F.when(F.col("x") != F.col("y"), F.raise_error(F.lit("two sets share a name: choose another seed"))).otherwise(F.col("doc_id")).alias("doc_id")), "join-names")
 
     postings = first.where("first is not null").select(F.explode("first").alias("token"), "sid", "n")
-    shared = postings.repartition("token").sortWithinPartitions("token", "n", "sid").mapInArrow(_neighbours, "token long, sid long, n long, prev long")
+    shared = postings.repartition("token").sortWithinPartitions("token", "n", "sid").mapInArrow(lambda batches: _neighbours(batches, percent), "token long, sid long, n long, prev long")
     shared = written(shared, "join-lists")
     near = written(shared.where("prev is not null").select(F.least("sid", "prev").alias("a"), F.greatest("sid", "prev").alias("b")).distinct(), "join-pairs")
     links = written(_search(written(_plausible(near, named, percent), "join-pairs"), docs, named, percent, seed), "join-links")
