@@ -1,8 +1,9 @@
 import re
 from collections import defaultdict
 
+import duckdb
 import pytest
-from oracle import assert_same
+from oracle import assert_same, rounded
 from pyspark.sql import types as T
 
 from tilewright.llm import mixing
@@ -61,6 +62,29 @@ def test_odd_rows(spark):
     assert words == sum(r["taken"] for r in got)
 
 
+def test_a_repeated_row_is_cut_by_count(spark, tmp_path):
+    """Null ids, one id for a third of all rows, and copies in several partitions: near the target to one row."""
+    rows = [(None, "a b c d e", "p", "", 0)] * 1000 + [(7, "a b c", "q", "", 0)] * 900 + [(k, "w " * (k % 9), "q", "", 0) for k in range(1000)] + [(None, None, "p", "", 0)] * 30
+    for name, kept in (("all", rows), ("one", rows[:1000] + [(1, "x " * 300, "q", "", 0)])):
+        path = f"{tmp_path}/{name}"
+        spark.createDataFrame(kept, SCHEMA).repartition(7).write.parquet(path)
+        docs = spark.read.parquet(path)
+        got = mixing.assignments(docs).collect()
+        assert len(got) == len(kept)
+        check(got)
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{path}/*.parquet')")
+        want = con.execute(mixing.ORACLE_SQL).fetchall()
+        assert rounded((r["doc_id"], r["size"], r["source_size"], r["target"], r["taken"]) for r in got) == rounded(want)
+        words = sum(len((r["text"] or "").split()) for r in mixing.mix(docs).collect())
+        assert words == sum(r["taken"] for r in got)
+
+
+def test_many_sources(spark):
+    rows = [(k, "w " * (1 + k % 5), f"host{k % 200}", "", 0) for k in range(600)]
+    check(mixing.assignments(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect())
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert mixing.assignments(docs).count() == 0 and mixing.mix(docs).count() == 0

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space, as a regular expression's class of what is not white space.
@@ -20,26 +22,81 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where the session names none (tests on one machine) a temporary folder is set.
+    Where a session on one machine names none (tests), a temporary folder is set; on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="tilewright-shared-")
-        spark.sparkContext.setCheckpointDir(found)
+        spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+_scratch = threading.local()
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables that written() makes inside are deleted on leaving, but for those that stay.
+
+    What is returned from inside must read only tables that stay; these pass to the scratch around it, if any.
+    """
+    stack = _scratch.__dict__.setdefault("stack", [])
+    stack.append([])
+    try:
+        yield
+    finally:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for path in stack.pop():
+            at = hadoop(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def written(df: DataFrame, name: str, stays: bool = False) -> DataFrame:
     """Cut the lineage: write df as Parquet in the shared folder and read it again.
 
-    The files outlive lost executors. They stay until the folder is emptied, as checkpoints do.
+    The files outlive lost executors. Within scratch() they go when it ends, unless they are to stay; else
+    they stay until the folder is emptied, as checkpoints do.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    stack = _scratch.__dict__.get("stack", [])
+    if len(stack) > stays:
+        stack[-1 - stays].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def quoted(column: str) -> Column:
+    """A column by its name, whatever signs that holds."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A name that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def prefix_sums(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """df with, for each name in sums, the sum of its expression over the rows before in the given total order.
+
+    Rows are range-partitioned and summed by partition; only a row per partition is sorted in one task.
+    """
+    part = fresh(df, "_part")
+    ranged = df.select("*", *[e.alias(n) for n, e in sums.items()]).repartitionByRange(*order)
+    ranged = written(ranged.withColumn(part, F.spark_partition_id()), "ranged")
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy(part).agg(*[F.sum(n).alias(n) for n in sums])
+    base = totals.select(part, *[F.coalesce(F.sum(n).over(before(Window.orderBy(part))), F.lit(0)).alias(f"{n}_base") for n in sums])
+    inside = before(Window.partitionBy(part).orderBy(*order))
+    out = ranged.join(F.broadcast(base), part)
+    return out.select(*df.columns, *[(F.coalesce(F.sum(n).over(inside), F.lit(0)) + F.col(f"{n}_base")).alias(n) for n in sums])
+
+
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of the column as text, modulo n (null: null)."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
