@@ -3,12 +3,15 @@
 The network reads UTF-8 bytes in windows of WINDOW bytes, forwards and backwards with gated
 recurrent units, and labels every position from both states. A document's probabilities are the
 mean over its positions that belong to letters. It is trained in numpy by backpropagation through
-time on at most PER_LANGUAGE documents of each language (in order of a hash of the id) and random
-windows of their whole texts. Weights are a few kilobytes.
+time on SAMPLES windows of each of at most PER_LANGUAGE documents of each of the LANGUAGES most
+frequent languages. Documents are those least by a hash of id and text: a threshold on it, from the
+language's count, leaves a few times as many as are wanted, whatever the size of the corpus, and only
+these are ranked. Windows are cut from whole texts by the tasks that read them, so the driver gets at
+most SAMPLES * WINDOW bytes a document. Weights are a few kilobytes.
 
 Defined results: null texts and texts without a letter are `und` with score 0; where nothing can be
 learned (no labelled text with letters) everything is; labels that are null are not learned; rows
-that repeat an id are labelled each; extra columns are ignored; an empty table gives an empty
+that repeat an id are labelled each, and learned once where they repeat its text and label; extra columns are ignored; an empty table gives an empty
 result. Bytes 128 and up count as letters, and so do A to Z and a to z.
 """
 
@@ -22,6 +25,9 @@ from tilewright.llm.common import crc_mod, slices, table
 
 WINDOW, HIDDEN, EMBED = 64, 8, 12
 PER_LANGUAGE, STEPS, BATCH, RATE = 250, 300, 192, 0.02
+LANGUAGES, SAMPLES = 1000, 16
+#: How many times PER_LANGUAGE documents a threshold is meant to leave.
+SPARE = 4
 #: Windows that are run at once.
 AT_ONCE = 4096
 
@@ -148,10 +154,20 @@ class Network:
         return loss, [d_embed, d_v, d_vb, *out]
 
 
-def train(texts: list[bytes], languages: list[str], seed: int = 1, steps: int = STEPS) -> Network | None:
-    """Adam on random windows, each language as often as any other."""
+def windows_of(text: str | None, seed: int, samples: int = SAMPLES) -> list[bytes]:
+    """Windows of a whole text at random places, those without a letter left out; the text itself if it is short."""
+    data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+    if len(data) <= WINDOW:
+        starts = [0]
+    else:
+        starts = np.random.default_rng(seed & 0xFFFFFFFF).integers(0, len(data) - WINDOW + 1, samples).tolist()
+    return [data[a : a + WINDOW].tobytes() for a in starts if LETTER[data[a : a + WINDOW]].any()]
+
+
+def train(texts: list[list[bytes]], languages: list[str], seed: int = 1, steps: int = STEPS) -> Network | None:
+    """Adam on random windows of random documents, each language as often as any other."""
     names = sorted(set(languages))
-    of = {n: [np.frombuffer(t, np.uint8) for t, y in zip(texts, languages, strict=True) if y == n and LETTER[np.frombuffer(t, np.uint8)].any()] for n in names}
+    of = {n: [[np.frombuffer(w, np.uint8) for w in t] for t, y in zip(texts, languages, strict=True) if y == n and t] for n in names}
     names = [n for n in names if of[n]]
     if not names:
         return None
@@ -159,12 +175,12 @@ def train(texts: list[bytes], languages: list[str], seed: int = 1, steps: int =
     params = net.params()
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for step in range(1, steps + 1):
-        y = np.arange(BATCH) % len(names)
+        y = (np.arange(BATCH) + (step - 1) * BATCH) % len(names)
         x = np.full((WINDOW, BATCH), 32, np.uint8)
         for k, c in enumerate(y):
             t = of[names[c]][rng.integers(len(of[names[c]]))]
-            at = rng.integers(max(1, len(t) - WINDOW + 1))
-            x[: len(t) - at, k] = t[at : at + WINDOW]
+            w = t[rng.integers(len(t))]
+            x[: len(w), k] = w
         _, grads = net.gradient(x, y)
         rate = RATE * min(1.0, step / 20) * (1 - 0.9 * step / steps)
         for p, g, a, b in zip(params, grads, m, v, strict=True):
@@ -201,13 +217,32 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(c.isalpha() for c in text)
 
 
+def sample(docs: DataFrame, held_out, per_language: int = PER_LANGUAGE) -> DataFrame:
+    """At most per_language labelled documents of each language: lang, windows."""
+    rows = docs.where(~held_out & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    # a table of at most LANGUAGES rows
+    share = counts.select("lang", (F.lit(float(SPARE * per_language)) / F.col("count")).alias("_share"))
+    rows = rows.select("lang", "doc_id", "text", F.xxhash64("doc_id", "text").alias("_h")).join(F.broadcast(share), "lang")
+    few = rows.where(F.shiftrightunsigned("_h", 11) / F.lit(float(1 << 53)) < F.col("_share")).select("lang", "_h", "text")
+
+    def cut(batches):
+        import pyarrow as pa
+
+        for batch in slices(batches, "text"):
+            windows = [windows_of(t, h) for t, h in zip(batch.column("text").to_pylist(), batch.column("_h").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("_h"), pa.array(windows, pa.list_(pa.binary()))], names=["lang", "_h", "windows"])
+
+    # repeated rows leave each task once, so a language's window holds SPARE times what is wanted
+    once = few.mapInArrow(cut, "lang string, _h long, windows array<binary>").where(F.size("windows") > 0).groupBy("lang", "_h").agg(F.first("windows").alias("windows"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("_h"))
+    return once.withColumn("_k", place).where(F.col("_k") <= per_language).select("lang", "_h", "windows")
+
+
 def fit(docs: DataFrame, held_out, per_language: int = PER_LANGUAGE) -> Network | None:
     """Train on documents for which held_out (a condition) is false."""
-    rows = docs.where(~held_out & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = rows.select("lang", "doc_id").withColumn("_k", place).where(F.col("_k") <= per_language).select("lang", "doc_id").distinct()
-    got = rows.join(chosen, ["lang", "doc_id"]).select("lang", "text").orderBy("doc_id", "lang", "text").collect()
-    return train([r["text"].encode("utf-8", "surrogatepass") for r in got], [r["lang"] for r in got])
+    got = sorted(sample(docs, held_out, per_language).collect(), key=lambda r: (r["lang"], r["_h"]))
+    return train([list(map(bytes, r["windows"])) for r in got], [r["lang"] for r in got])
 
 
 def identified(docs: DataFrame, net: Network | None) -> DataFrame:
