@@ -1,6 +1,11 @@
+import itertools
+import math
 import random
 
 import numpy as np
+import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tilewright.llm import language_id as li
@@ -106,6 +111,42 @@ def test_query_on_given_labels(spark):
     d = "/root/testdata/sf0.01"
     got = tx.op7_toxicity(spark, d).join(spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "toxic"), "doc_id").collect()
     held = [r for r in got if r["held_out"]]
-    assert sum((r["predicted"] == 1) == (r["toxic"] == 1) for r in held) >= 0.85 * len(held)
-    clean = [r for r in held if r["toxic"] == 0]
-    assert sum(r["predicted"] for r in clean) <= 0.05 * len(clean)
+    toxic, flagged = [r for r in held if r["toxic"]], [r for r in held if r["predicted"]]
+    both = sum(r["predicted"] for r in toxic)
+    assert len(toxic) >= 5 and both >= 0.8 * len(toxic) and both >= 0.8 * len(flagged)
+    assert all(r["predicted"] == (r["score"] >= 0.5) for r in got)
+
+
+@given(st.text("aeiobst013$@*-. ", min_size=1, max_size=9))
+def test_viterbi_finds_the_cheapest_of_all_paths(token):
+    costs = tx.trigram_costs(np.arange(tx.SYMBOLS**3) % 7 + 1.0, {"beast": 9, "toast": 4, "obtiase": 2})
+    got = tx.restore(token, costs)
+    readings = {}
+    for ways in itertools.product(*tx.lattice(token)):
+        text, cost, a, b = "".join(w for w, _ in ways) + " ", sum(c for _, c in ways), 0, 0
+        for c in map(tx.symbol, text):
+            cost += costs[a, b, c]
+            a, b = b, c
+        readings[text.strip()] = min(cost, readings.get(text.strip(), math.inf))
+    assert readings[got] == pytest.approx(min(readings.values()))
+
+
+def test_long_spaced_runs_are_decoded_whole():
+    costs = tx.trigram_costs(np.ones(tx.SYMBOLS**3), {"vexidor": 50, "hello": 50, "plain": 50})
+    model = tx.Model(["vexidor"], np.full(2, 3.0), 0.0, costs)
+    for at in range(0, 130, 13):  # wherever the word lies in the run
+        run = " ".join("hello" * at + "vexidor" + "plain" * 40)
+        assert model.counts(run) == {0: 1}, at
+
+
+def test_repeated_and_absent_ids_are_not_learned(spark):
+    rows, labels, _ = toxic_corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double")
+    labs = spark.createDataFrame(labels, "doc_id long, toxic int")
+    noise = spark.createDataFrame([(5000 + k % 2, "vexidor grumblat shoddewick", 0.0) for k in range(300)], docs.schema)
+    odd = spark.createDataFrame([(5000, 0), (5001, 0), *[(9000 + k, 0) for k in range(500)], (1, 1), (1, 0)], labs.schema)
+    plain = tx.fit(docs, labs.where("doc_id <> 1"), F.lit(False), 300)
+    assert len(plain.marks) >= 3
+    got = tx.fit(docs.union(noise), labs.where("doc_id <> 1").union(odd), F.lit(False), 300)
+    assert got.marks == plain.marks and got.weights == plain.weights and got.bias == plain.bias
+    assert tx.scored(docs.union(noise), got).where("doc_id >= 5000 and score > 0.5").count() == 300

@@ -11,12 +11,13 @@ Score. Marks are words and word beginnings of 3 to 8 letters. Fitting picks them
 one covers most words of toxic training texts that no other covers, minus a fine for clean texts. A text's
 score is a noisy-or: one minus the product, over its marks, of the share of clean training texts
 among those with one word, or with several, of the mark. At most TRAIN_DOCS labelled texts are
-learned from, in order of a hash of the id.
+learned from, in order of a hash of the id. They stay on executors: the driver gets sums by mark, at most
+MARKS candidates (those of highest value) and MARK_WORDS of the words they cover, and nothing else.
 
-Defined results: null and empty texts have the score of a text without marks; null labels and
-labels of ids that repeat or are absent are ignored; without labels of both kinds every score is
-1 if all are toxic, else 0; rows that repeat an id are scored each; extra columns
-are ignored; an empty table gives an empty result.
+Defined results: null and empty texts have the score of a text without marks; null labels, labels of
+ids that repeat with another label, of ids that are absent and of ids that several documents bear are
+not learned; without labels of both kinds every score is 1 if all are toxic, else 0; rows that repeat
+an id are scored each; extra columns are kept by scored(); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,12 +27,16 @@ import re
 from collections import Counter
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import crc_mod, slices, table
+from tilewright.llm.common import crc_mod, scratch, slices, table, written
 
-TRAIN_DOCS = 8_000
+TRAIN_DOCS, MARKS, MARK_WORDS = 8_000, 5_000, 200_000
+#: Labels that may be broadcast while the sample is looked for.
+BROADCAST = 1 << 20
+#: A mark is worth at least this many words; a clean text with it is a fine of so many.
+LEAST, FINE = 8, 3.0
 SYMBOLS = 28  # boundary, a to z, other letter
 #: Signs and the letters they may stand for.
 LOOKALIKE = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "*": "aeiou"}
@@ -171,27 +176,35 @@ class Model:
             pieces |= set(PIECE.findall(restore(word, self.costs)))
         return tuple({(self.marks[m], p) for p in pieces if p[:3] in self.starts for m in marks_of(p) if m in self.marks})
 
-    def score(self, text: str | None) -> float:
-        text = (text or "").lower()
+    def found(self, text: str) -> set:
+        """(mark, piece) pairs of a whole text in lower case."""
         cache, found = self.cache, set()
         if len(cache) > 500_000:
             cache.clear()
         for word in set(text.split()):
             got = cache.get(word)
             if got is None:
-                got = cache[word] = self.hits(word)
+                got = self.hits(word)
+                if len(word) <= 64:  # longer ones seldom come again
+                    cache[word] = got
             if got:
                 found.update(got)
         for m in SPACED.finditer(text):
-            joined = m.group()
-            for k in range(0, len(joined), 64):  # long runs in overlapping windows
-                found.update(self.hits_spaced(joined[k : k + 96]))
-        total, counts = self.bias, Counter(k for k, _ in found)
-        for k, n in counts.items():
+            found |= self.hits_spaced(m.group())
+        return found
+
+    def counts(self, text: str | None) -> Counter:
+        """How many words of each mark a text has."""
+        return Counter(k for k, _ in self.found((text or "").lower()))
+
+    def score(self, text: str | None) -> float:
+        total = self.bias
+        for k, n in self.counts(text).items():
             total += self.weights[2 * k + (n > 1)]
         return -math.expm1(-total)
 
     def hits_spaced(self, run: str) -> set:
+        """Of single signs with separators between them, decoded in one piece, with and without the separators."""
         pieces = set(PIECE.findall(restore(run, self.costs))) | set(PIECE.findall(restore(re.sub(r"(?<=\S)[ .\-_*](?=\S)", "", run), self.costs)))
         return {(self.marks[m], p) for p in pieces if p[:3] in self.starts for m in marks_of(p) if m in self.marks}
 
@@ -199,81 +212,143 @@ class Model:
         return self.__dict__ | {"cache": {}}
 
 
-def pick_marks(texts: list[str], labels: np.ndarray, fine: float = 3.0, least: int = 8) -> list[str]:
-    """Marks of toxic texts, each next one with most that no other covers.
+def training_texts(docs: DataFrame, labels: DataFrame, held_out, most: int = TRAIN_DOCS) -> DataFrame:
+    """At most `most` labelled documents: text, toxic. Only ids travel until these are known."""
+    once = labels.where("doc_id is not null and toxic is not null").where(~held_out).groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("toxic").alias("_least"))
+    once = written(once.where("toxic = _least").select("doc_id", (F.col("toxic") > 0).alias("toxic"), F.xxhash64("doc_id").alias("_h")), "labels")
+    n, share = once.count(), 4.0
+    while True:  # labels below a threshold, more where documents of too few are there
+        p = min(1.0, share * most / max(1, n))
+        some = once.where(F.shiftrightunsigned("_h", 11) / F.lit(float(1 << 53)) < p)
+        some = F.broadcast(some) if p * n <= BROADCAST else some
+        there = docs.where(F.col("text").isNotNull()).select("doc_id").join(some, "doc_id").groupBy("doc_id", "toxic", "_h").count()
+        there = written(there.where("count = 1").drop("count"), "labelled")
+        if p == 1.0 or there.count() >= most:
+            break
+        share *= 4
+    chosen = there.orderBy("_h", "doc_id").limit(most).select("doc_id", "toxic")
+    return docs.where(F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+
+
+def mark_columns(word: Column) -> Column:
+    """marks_of() as an array column."""
+    starts = F.transform(F.sequence(F.lit(3), F.least(F.lit(8), F.length(word))), lambda k: F.concat(F.substring(word, F.lit(1), k), F.lit("*")))
+    return F.when(F.length(word) >= 3, F.concat(F.array(word), starts)).otherwise(F.array(word))
 
-    What a mark covers are words, weighed by the toxic texts that have them, but no more than their
-    distinct neighbourhoods there (copies of a text share them, so a word of one much copied text
-    weighs little), minus a fine for each clean text.
+
+def word_table(texts: DataFrame) -> DataFrame:
+    """From training texts to word, toxic (texts), clean (texts) and worth.
+
+    A word is worth the toxic texts that have it, but no more than its distinct neighbourhoods there
+    (copies of a text share them, so a word of one much copied text weighs little).
+    """
+
+    def toxic(batches):
+        import pyarrow as pa
+
+        for batch in slices(batches, "text", 1 << 20):
+            rows: Counter = Counter()
+            for text in batch.column("text").to_pylist():
+                words = PIECE.findall(text.lower())
+                seen = set()
+                for around in set(zip(["", *words], words, [*words[1:], ""], strict=False)):
+                    rows[around] += around[1] not in seen
+                    seen.add(around[1])
+            cols = list(zip(*rows, strict=True)) or [[]] * 3
+            kinds = [pa.string(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], pa.array(list(rows.values()), pa.int64())], names=["before", "word", "after", "n"])
+
+    def clean(batches):
+        import pyarrow as pa
+
+        for batch in slices(batches, "text", 1 << 20):
+            rows = Counter(w for text in batch.column("text").to_pylist() for w in set(PIECE.findall(text.lower())))
+            yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.string()), pa.array(list(rows.values()), pa.int64())], names=["word", "n"])
+
+    bad = texts.where("toxic").select("text").mapInArrow(toxic, "before string, word string, after string, n long")
+    bad = bad.groupBy("before", "word", "after").agg(F.sum("n").alias("n")).groupBy("word").agg(F.sum("n").alias("toxic"), F.count(F.lit(1)).alias("around"))
+    good = texts.where("not toxic").select("text").mapInArrow(clean, "word string, n long").groupBy("word").agg(F.sum("n").alias("clean"))
+    both = bad.join(good, "word", "full_outer").select("word", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("toxic", "around", "clean")])
+    return both.withColumn("worth", F.when(F.length("word") > 2, F.least("toxic", "around")).otherwise(0))
+
+
+def pick_marks(values: dict[str, float], words: dict[str, tuple[float, float]]) -> list[str]:
+    """Marks in order, each next one with most that no other covers.
+
+    values: what a mark's words are worth together, less the fines; words: the same of each word.
     """
-    around: dict[str, set[tuple[str, str]]] = {}
-    toxic: Counter = Counter()
-    clean: Counter = Counter()
-    for t, y in zip(texts, labels, strict=True):
-        words = PIECE.findall(t.lower())
-        if y:
-            toxic.update(set(words))
-            for before, w, after in zip(["", *words], words, [*words[1:], ""], strict=False):
-                if len(w) > 2:
-                    around.setdefault(w, set()).add((before, after))
-        else:
-            clean.update(set(words))
-    worth = {w: (min(len(c), toxic[w]), clean[w]) for w, c in around.items()}
-    starts: Counter = Counter()
-    for w, n in clean.items():
-        if w not in worth:
-            for m in marks_of(w):
-                starts[m] += n
     of: dict[str, list[str]] = {}
-    for w in worth:
+    for w in words:
         for m in marks_of(w):
-            of.setdefault(m, []).append(w)
-    value = {m: sum(worth[w][0] - fine * worth[w][1] for w in ws) - fine * starts[m] for m, ws in of.items()}
-    value = {m: v for m, v in value.items() if v >= least}
+            if m in values:
+                of.setdefault(m, []).append(w)
+    value, open_ = dict(values), dict(words)
     chosen: list[str] = []
     while value:
         best = max(value, key=lambda m: (value[m], len(m), m))
-        if value.pop(best) < least:
+        if value.pop(best) < LEAST:
             break
         chosen.append(best)
-        for w in of[best]:
-            n, bad = worth.get(w, (0, 0))
-            if n:
+        for w in of.get(best, []):
+            worth, fines = open_.pop(w, (0.0, 0.0))
+            if worth:
                 for m in marks_of(w):
                     if m in value:
-                        value[m] -= n - fine * bad
-                worth[w] = (0, 0)
+                        value[m] -= worth - fines
     return chosen
 
 
 def fit(docs: DataFrame, labels: DataFrame, held_out, most: int = TRAIN_DOCS) -> Model:
     """Learn from labelled rows for which held_out (a condition on doc_id) is false."""
-    once = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("toxic").alias("_least")).where("toxic = _least")
-    chosen = once.where(~held_out).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.where(F.col("text").isNotNull() & ~held_out).select("doc_id", "text").join(chosen.select("doc_id", "toxic"), "doc_id").orderBy("doc_id", "text").collect()
-    counts = trigram_counts(docs)
-    texts, y = [r["text"] for r in rows], np.array([float(r["toxic"] > 0) for r in rows])
-    rate = float(y.mean()) if len(y) else 0.0
-    if not 0 < rate < 1:
-        return Model([], np.zeros(0), 30.0 if rate else 0.0, trigram_costs(counts, Counter()))
-    marks = pick_marks(texts, y)
-    known = set(marks)
-    words = Counter(w for t, k in zip(texts, y, strict=True) if k for w in set(PIECE.findall(t.lower())) if any(m in known for m in marks_of(w)))
-    model = Model(marks, np.zeros(2 * len(marks)), 0.0, trigram_costs(counts, words))
-    x = np.zeros((len(texts), 2 * len(marks) + 1))
-    x[:, -1] = 1
-    for i, t in enumerate(texts):
-        found = Counter(k for k, _ in {h for w in set(t.lower().split()) for h in model.hits(w)})
-        for k, n in found.items():
-            x[i, 2 * k] = 1
-            x[i, 2 * k + 1] = n > 1
-    # -ln(1 - q): q the share of toxic texts among those with one word, or more, of a mark
-    one, more = x[:, 0:-1:2] - x[:, 1:-1:2], x[:, 1:-1:2]
-    q = np.stack([((h * y[:, None]).sum(0) + 0.5 * rate) / (h.sum(0) + 0.5) for h in (one, more)], 1)
-    q[:, 1] = np.maximum(q[:, 0], q[:, 1])
-    none = x[:, :-1].sum(1) == 0
-    base = (y[none].sum() + 0.5 * rate) / (none.sum() + 0.5)
-    return Model(marks, -np.log1p(-np.minimum(q, 0.999)).ravel(), -math.log1p(-base), model.costs)
+    grams = trigram_counts(docs)
+    with scratch(docs.sparkSession):
+        texts = written(training_texts(docs, labels, held_out, most), "training-texts")
+        sizes = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
+        if len(sizes) < 2:
+            return Model([], np.zeros(0), 30.0 if True in sizes else 0.0, trigram_costs(grams, Counter()))
+        words = written(word_table(texts), "training-words")
+        marked = words.withColumn("mark", F.explode(mark_columns(F.col("word"))))
+        value = F.sum("worth") - F.lit(FINE) * F.sum("clean")
+        best = marked.groupBy("mark").agg(value.alias("value")).where(F.col("value") >= LEAST).orderBy(F.desc("value"), "mark").limit(MARKS)
+        best = written(best, "training-marks")
+        kept = marked.where("worth > 0").join(F.broadcast(best.select("mark")), "mark", "left_semi").select("word", "toxic", "clean", "worth").distinct()
+        kept = kept.orderBy(F.desc("worth"), "word").limit(MARK_WORDS).collect()
+        marks = pick_marks({r["mark"]: r["value"] for r in best.collect()}, {r["word"]: (r["worth"], FINE * r["clean"]) for r in kept})
+        known = set(marks)
+        matched = Counter({r["word"]: r["toxic"] for r in kept if not known.isdisjoint(marks_of(r["word"]))})
+        model = Model(marks, np.zeros(2 * len(marks)), 0.0, trigram_costs(grams, matched))
+        return weighed(texts, model)
+
+
+def weighed(texts: DataFrame, model: Model) -> Model:
+    """The model with weights and bias from texts of both kinds, scored as any text is."""
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+
+    def count(batches):
+        import pyarrow as pa
+
+        m, rows = shared.value, Counter()
+        for batch in slices(batches, "text"):
+            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+                counts = m.counts(text)
+                for k, n in counts.items():
+                    rows[2 * k + (n > 1), toxic] += 1
+                if not counts:
+                    rows[-1, toxic] += 1
+        at = [pa.array([k for k, _ in rows], pa.int64()), pa.array([bool(y) for _, y in rows]), pa.array(list(rows.values()), pa.int64())]
+        yield pa.RecordBatch.from_arrays(at, names=["k", "toxic", "n"])
+
+    hits, bad = np.zeros(2 * len(model.marks) + 1), np.zeros(2 * len(model.marks) + 1)
+    for r in texts.mapInArrow(count, "k long, toxic boolean, n long").groupBy("k", "toxic").agg(F.sum("n").alias("n")).collect():
+        hits[r["k"]] += r["n"]
+        bad[r["k"]] += r["n"] * r["toxic"]
+    total = texts.agg(F.count(F.lit(1)), F.sum(F.col("toxic").cast("long"))).first()
+    rate = total[1] / total[0]
+    # -ln(1 - q): q the share of toxic texts among those with one word, or more, of a mark; the last: among those without marks
+    q = (bad + 0.5 * rate) / (hits + 0.5)
+    pairs = q[:-1].reshape(-1, 2)
+    pairs[:, 1] = np.maximum(pairs[:, 0], pairs[:, 1])
+    return Model(list(model.marks), -np.log1p(-np.minimum(pairs, 0.999)).ravel(), -math.log1p(-q[-1]), model.costs)
 
 
 def scored(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
