@@ -43,6 +43,15 @@ def test_deduplicate(spark):
     assert ed.deduplicate(df.where("doc_id = 1")).first()["text"] is None
 
 
+def test_columns_of_any_name_and_type(spark):
+    rows = [(1, "x", {"a": 1}, "p"), (1, "x", {"a": 2}, "p"), (2, None, None, None), (2, "", {}, "q")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, hash map<string,int>, `row.c``0` string")
+    for keep in ("max", "min"):
+        out = ed.deduplicate(df, keep)
+        assert out.columns == df.columns and out.count() == 2
+        assert {r["hash"]["a"] for r in out.where("doc_id = 1").collect()} == {2 if keep == "max" else 1}
+
+
 def test_native_plan(spark, sf_dir):
     plan = ed.op10_exact_dedup(spark, sf_dir)._jdf.queryExecution().toString()
     assert not any(w in plan for w in ("Python", "Pandas", "Arrow"))

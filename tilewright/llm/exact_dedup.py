@@ -10,7 +10,8 @@ Defined results:
   * null text counts as the empty text; empty texts are equal to each other;
   * a null id is smaller than any id; a group of null ids only keeps null, and every such row is kept;
   * rows that repeat an id within a group: each row with the kept id is kept;
-  * an empty table gives an empty result; other columns are left out of the digest and kept by deduplicate().
+  * an empty table gives an empty result; other columns are left out of the digest and kept by deduplicate(),
+    whatever their names and types.
 """
 
 from __future__ import annotations
@@ -19,6 +20,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tilewright.llm.common import quoted, table
 
 ORACLE_SQL = """
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
@@ -53,23 +57,33 @@ def groups(docs: DataFrame, keep: str = "max", hashed: Callable[[Column], Column
     )
 
 
+def _ordered(kind: T.DataType) -> bool:
+    """Whether values of a type have an order."""
+    if isinstance(kind, T.StructType):
+        return all(_ordered(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return _ordered(kind.elementType)
+    return not isinstance(kind, (T.MapType, T.VariantType))
+
+
 def deduplicate(docs: DataFrame, keep: str = "max") -> DataFrame:
     """The rows of docs that stay, all their columns, one for each text.
 
-    A row stays if it is the first of its text by (id, then all other columns): rows that repeat
-    an id and a text give one row, unlike in groups(), where each is told of.
+    A row stays if it is the first of its text by (id, then all other columns; those of types without
+    an order by their JSON): rows that repeat an id and a text give one row, unlike in groups(), where
+    each is told of.
     """
-    # a struct's order is by its fields; the text is equal within a group, so it need not be carried twice
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
     text = F.coalesce(F.col("text"), F.lit(""))
-    row = F.struct(F.col("doc_id"), *[F.col(f"`{c}`") for c in others], F.col("text").isNull().alias("_null"))
-    pick = F.max if keep == "max" else F.min
-    best = docs.groupBy(content_hash(text).alias("_hash"), text.alias("_text")).agg(pick(row).alias("_row"))
-    columns = [F.when(~F.col("_row._null"), F.col("_text")).alias("text") if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
+    # the text is equal within a group, so it need not be carried twice
+    others = [(f"c{k}", quoted(f.name), f.dataType) for k, f in enumerate(docs.schema.fields) if f.name != "text"]
+    missing = F.col("text").isNull().alias("missing")
+    row = F.struct(*[c.alias(n) for n, c, _ in others], missing)
+    order = F.struct(F.col("doc_id"), *[(c if _ordered(t) else F.to_json(F.struct(c))).alias(n) for n, c, t in others], missing)
+    pick = F.max_by if keep == "max" else F.min_by
+    best = docs.groupBy(content_hash(text).alias("hash"), text.alias("same")).agg(pick(row, order).alias("row"))
+    columns = [F.when(~F.col("row.missing"), F.col("same")).alias(c) if c == "text" else F.col(f"row.c{k}").alias(c) for k, c in enumerate(docs.columns)]
     return best.select(*columns)
 
 
 def op10_exact_dedup(spark, sf_dir: str) -> DataFrame:
-    from tilewright.llm.common import table
-
     return groups(table(spark, sf_dir, "documents"))
