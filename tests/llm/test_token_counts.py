@@ -38,3 +38,9 @@ def test_odd_rows(spark):
     got = tc.names(files).join(tc.scan(files.where("kind = 'ids'")), ["file", "ordinal"]).collect()
     assert sorted((r["doc_id"] or 0, r["n_tokens"] > 0) for r in got) == [(0, True), (1, False), (1, False), (2, True), (3, True)]
     assert tc.names(tc.flat_files(df.limit(0))).count() == 0
+
+
+def test_a_lost_document_is_an_error(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(tc, "scan", lambda blocks: spark.createDataFrame([("f", 0, 1)], "file string, ordinal long, n_tokens long"))
+    with pytest.raises(Exception, match="not met"):
+        tc.op5_token_counts(spark, sf_dir).collect()

@@ -129,4 +129,6 @@ def names(files: DataFrame) -> DataFrame:
 def op5_token_counts(spark, sf_dir: str) -> DataFrame:
     files = written(flat_files(table(spark, sf_dir, "documents")), "token-files")
     counts = scan(files.where("kind = 'ids'"))
-    return names(files).join(counts, ["file", "ordinal"], "left").select("doc_id", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"))
+    found = names(files).join(counts, ["file", "ordinal"], "left")
+    lost = F.raise_error(F.lit("a document of the list was not met in its file"))
+    return found.select("doc_id", F.when(F.col("n_tokens").isNull(), lost).otherwise(F.col("n_tokens")).alias("n_tokens"))
