@@ -1,4 +1,6 @@
+import itertools
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -30,6 +32,8 @@ def test_near_the_bound():
     assert len(packing.pack(lengths)) <= 1.005 * lengths.sum() / 1024 + 1
 
 
+LIBRARY = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
 ODD = ["", "a", " a", "a  b", "a\n b", "it's <|endoftext|> x", "​q r　s", "a\r\n\r\n b", "tab\tx", " ", "\n", "don't we'll 3 4's", "a\x85 b", "a\x1c b", "é́ ñ", "\U0001f600 x"]
 
 
@@ -86,3 +90,38 @@ def test_odd_rows(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, length long")
     check([r[:2] for r in rows], packing.pack_documents(df).collect())
     assert packing.pack_documents(df.where("doc_id = 99")).count() == 0
+
+
+WHITE = "".join(c for c in map(chr, range(0x3001)) if c.isspace() or c in "\u200b\ufeff") + "  \n\n\n"
+
+
+@given(st.text(st.sampled_from("ab1'." + WHITE), max_size=14))
+def test_ids_over_all_white_space(text):
+    assert bpe.shared().encode(text).tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+def test_no_step_is_left():
+    """After the search no move and no swap with one or two smaller pieces would fill a fuller sequence more."""
+    rng = np.random.default_rng(4)
+    lengths = rng.integers(8, 32, 120)
+    before = [[2 * k, 2 * k + 1] if k % 2 else [2 * k] for k in range(60)] + [[2 * k + 1] for k in range(0, 60, 2)]
+    bins = packing.local_search(before, lengths, 64)
+    assert len(bins) <= len(before)
+    fill = [sum(lengths[i] for i in b) for b in bins]
+    for b in range(len(bins)):
+        for c in range(len(bins)):
+            if c == b or fill[c] == 64 or fill[c] < fill[b]:
+                continue
+            for i in bins[b]:
+                for out in [(), *[(j,) for j in bins[c]], *itertools.combinations(bins[c], 2)]:
+                    gain = lengths[i] - sum(lengths[j] for j in out)
+                    assert not (0 < gain <= 64 - fill[c] and (out == () or fill[c] > fill[b]))
+
+
+def test_repeated_rows_fill_groups_evenly(spark, monkeypatch):
+    docs = spark.createDataFrame([(7, "the same words")] * 900, "doc_id long, text string")
+    cut = packing.written(packing.pieces(docs), "t")
+    rows = packing.packed(cut, group=300).collect()
+    assert sum(r["length"] for r in rows) == cut.agg({"length": "sum"}).first()[0]
+    per = Counter(r["sequence_id"] % 6 for r in rows)
+    assert len(per) == 3 and max(per.values()) < 450

@@ -2,7 +2,7 @@
 
 A document is its ids and one end id. A document longer than a sequence is cut into pieces of full
 length, the first of which is shorter; full pieces fill a sequence each. The others (one at most of
-each document) are dealt by a hash of id and length into groups of some 200,000, each packed in one
+each document) are dealt by a hash of id and length into groups of some 100,000, each packed in one
 task: best fit in decreasing order, then a local search among the sequences that are not full.
 Groups are of bounded size and as many as the data needs; their loss against one packing of all is
 less than a sequence each.
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tilewright.llm.common import slices, table, written
 
 LENGTH, END_ID = 1024, 2
-GROUP = 200_000
+GROUP = 100_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
@@ -58,47 +58,69 @@ def best_fit(lengths: np.ndarray, room: int) -> list[list[int]]:
 
 
 class _Open:
-    """Sequences that are not full, by what is left in them."""
+    """Sequences that are not full, by what is left in them and the lengths of their pieces."""
 
     def __init__(self, room: int):
-        self.by_left: list[set[int]] = [set() for _ in range(room + 1)]
+        self.by_left: list[dict[tuple[int, ...], set[int]]] = [{} for _ in range(room + 1)]
         self.mask = 0
 
-    def add(self, b: int, left: int) -> None:
+    def add(self, b: int, left: int, lengths: tuple[int, ...]) -> None:
         if left:
-            self.by_left[left].add(b)
+            self.by_left[left].setdefault(lengths, set()).add(b)
             self.mask |= 1 << left
 
-    def remove(self, b: int, left: int) -> None:
+    def remove(self, b: int, left: int, lengths: tuple[int, ...]) -> None:
         if left:
-            self.by_left[left].discard(b)
-            if not self.by_left[left]:
-                self.mask &= ~(1 << left)
-
-    def lefts(self, least: int, below: int):
-        """What is left in open sequences, from least on, below a limit, in rising order."""
+            alike = self.by_left[left][lengths]
+            alike.discard(b)
+            if not alike:
+                del self.by_left[left][lengths]
+                if not self.by_left[left]:
+                    self.mask &= ~(1 << left)
+
+    def others(self, b: int, least: int, below: int):
+        """For what is left from least on, below a limit, in rising order: one sequence, not b, of each contents."""
         m = (self.mask >> least) << least
         while m:
             left = (m & -m).bit_length() - 1
             if left >= below:
                 return
-            yield left
+            for alike in self.by_left[left].values():
+                c = next((c for c in alike if c != b), None)
+                if c is not None:
+                    yield left, c
             m &= m - 1
 
 
-def local_search(bins: list[list[int]], lengths: np.ndarray, room: int, tries: int = 64) -> list[list[int]]:
-    """Fewer bins, where moves and swaps can empty some. tries: fuller bins that a piece is tried against."""
+def _partners(held: list[tuple[int, int]], n: int, left: int) -> list[tuple[int, int]]:
+    """One or two pieces of a sequence, smaller than n but not by more than `left`: what a piece of n may replace."""
+    at = bisect_left(held, (n - left, -1))
+    if at < len(held) and held[at][0] < n:
+        return [held[at]]
+    for j, small in enumerate(held):
+        if 2 * small[0] >= n:
+            break
+        at = max(j + 1, bisect_left(held, (n - left - small[0], -1)))
+        if at < len(held) and small[0] + held[at][0] < n:
+            return [small, held[at]]
+    return []
+
+
+def local_search(bins: list[list[int]], lengths: np.ndarray, room: int) -> list[list[int]]:
+    """Fewer bins, where moves and swaps can empty some."""
     size = lengths.tolist()
     fill = [sum(size[i] for i in b) for b in bins]
     open_ = _Open(room)
-    for b, f in enumerate(fill):
-        open_.add(b, room - f)
     # contents by length, so that a partner of a wanted length is found by bisection
-    order = sorted((b for b, f in enumerate(fill) if f < room), key=lambda b: fill[b])
-    content: dict[int, list[tuple[int, int]]] = {b: sorted((size[i], i) for i in bins[b]) for b in order}
+    content: dict[int, list[tuple[int, int]]] = {b: sorted((size[i], i) for i in bins[b]) for b, f in enumerate(fill) if f < room}
+    alike = lambda b: tuple(n for n, _ in content[b])
+    for b in content:
+        open_.add(b, room - fill[b], alike(b))
+    version = 0
+    futile: dict[tuple[int, int], int] = {}  # (piece, fill) that found nothing, and when
 
     def change(b: int, out: list[tuple[int, int]], into: list[tuple[int, int]]) -> None:
-        open_.remove(b, room - fill[b])
+        open_.remove(b, room - fill[b], alike(b))
         for x in out:
             content[b].remove(x)
             fill[b] -= x[0]
@@ -106,45 +128,35 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, room: int, tries: i
             insort(content[b], x)
             fill[b] += x[0]
         if fill[b]:
-            open_.add(b, room - fill[b])
+            open_.add(b, room - fill[b], alike(b))
 
     def improve(b: int, item: tuple[int, int]) -> bool:
+        nonlocal version
         n, below = item[0], room - fill[b]
-        for left in open_.lefts(n, below + 1):  # a move to the fullest with room
-            for c in open_.by_left[left]:
-                if c != b and fill[c] + n > fill[b]:
-                    change(b, [item], [])
-                    change(c, [], [item])
-                    return True
-        tried = 0
-        for left in open_.lefts(1, min(n, below)):  # a swap with fuller ones
-            for c in list(open_.by_left[left])[:4]:
-                if c == b:
-                    continue
-                tried += 1
-                held = content[c]
-                at = bisect_left(held, (n - left, -1))  # the smallest whose place the piece can take
-                if at < len(held) and held[at][0] < n:
-                    other = held[at]
-                    change(b, [item], [other])
-                    change(c, [other], [item])
-                    return True
-                for j, small in enumerate(held[:8]):  # or two, together smaller
-                    want = n - left - small[0]
-                    at = max(j + 1, bisect_left(held, (want, -1)))
-                    if at < len(held) and small[0] + held[at][0] < n:
-                        pair = [small, held[at]]
-                        change(b, [item], pair)
-                        change(c, pair, [item])
-                        return True
-            if tried >= tries:
-                break
-        return False
-
-    for b in order:
-        again = True
-        while again and fill[b]:
-            again = any(improve(b, item) for item in reversed(content[b]))
+        if futile.get((n, fill[b])) == version:
+            return False
+        found = next(((c, []) for _, c in open_.others(b, n, below + 1) if fill[c] + n > fill[b]), None)  # a move to the fullest with room
+        if found is None:  # a swap with a fuller one
+            for left, c in open_.others(b, 1, min(n, below)):
+                if pieces := _partners(content[c], n, left):
+                    found = c, pieces
+                    break
+        if found is None:
+            futile[n, fill[b]] = version
+            return False
+        c, pieces = found
+        change(b, [item], pieces)
+        change(c, pieces, [item])
+        version += 1
+        return True
+
+    before = -1
+    while before != version:
+        before = version
+        for b in sorted((b for b in content if fill[b]), key=lambda b: fill[b]):
+            again = True
+            while again and fill[b]:
+                again = any(improve(b, item) for item in reversed(content[b]))
     return [x for x in ([i for _, i in content[b]] if b in content else bins[b] for b in range(len(bins))) if x]
 
 
@@ -196,7 +208,7 @@ def packed(cut: DataFrame, room: int = LENGTH, group: int = GROUP) -> DataFrame:
         sequence = sequence * (2 * n) + 2 * key[0].as_py()
         return batch.select(["doc_id", "piece", "start", "length", "ids_crc32"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
-    dealt = short.withColumn("_g", F.pmod(F.xxhash64("doc_id", "length", "ids_crc32"), F.lit(n)))
+    dealt = short.withColumn("_g", F.pmod(F.xxhash64("doc_id", "ids_crc32", F.monotonically_increasing_id()), F.lit(n)))
     small = dealt.groupBy("_g").applyInArrow(run, PACKED)
     # full pieces have a sequence each; odd numbers, so that no sequence of the others is met
     full = cut.where(F.col("length") >= room).withColumn("sequence_id", 2 * F.monotonically_increasing_id() + 1).withColumn("offset", F.lit(0).cast("long"))
