@@ -6,9 +6,10 @@ running sum of +1 after the SEP of a trained role and -1 at its END. A control s
 in a role or text is escaped (its first character is followed by a backslash-like mark), so that
 the rendered text of a conversation parses back to its turns, too.
 
-Conversations are read by turn; turns of equal number by role, then text. They are streamed in that
-order, one turn at a time, through a task that holds running digests only, so that a conversation
-of any length can pass; the encoding, which is the work, is done before, turn by turn.
+Conversations are read by turn; turns of equal number by role, then text. Encoding and reading back,
+which are the work, are done turn by turn where the rows lie. What was read back is shuffled, the text
+once, and streamed in order through a task that holds running digests only, so that a conversation of
+any length can pass.
 
 Defined results: null text and null role are empty; a null turn comes first; null is a conversation
 of its own; repeated rows are turns of their own; extra columns are ignored; an empty table gives
@@ -109,6 +110,24 @@ def read_back(ids: np.ndarray, loss: np.ndarray, vocabulary: str | None = None)
     return unescape(role), unescape(text), learned, chars
 
 
+def turns_read_back(turns: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """From formatted(): conv_id, turn, and as read from ids and mask: role, text, learned (null where it is the whole text), chars."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in slices(batches, "text"):
+            rows = []
+            for ids, loss in zip(batch.column("ids").to_pylist(), batch.column("loss").to_pylist(), strict=True):
+                role, text, learned, chars = read_back(np.frombuffer(ids, "<u4"), np.frombuffer(loss, np.int8), vocabulary)
+                rows.append((role, text, None if learned == text else learned, chars))
+            cols = list(zip(*rows, strict=True)) or [[]] * 4
+            told = [pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), pa.string(), pa.int64()), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("turn"), *told], names=["conv_id", "turn", "role", "text", "learned", "chars"])
+
+    return turns.mapInArrow(run, "conv_id long, turn long, role string, text string, learned string, chars long")
+
+
 def digests(turns: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """From formatted(): conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
 
@@ -129,11 +148,11 @@ def digests(turns: DataFrame, vocabulary: str | None = None) -> DataFrame:
                 done.append((now[0], now[1], now[2].hexdigest(), now[3], now[4].hexdigest(), now[5]))
 
         for batch in batches:
-            for conv, ids, loss in zip(*(batch.column(n).to_pylist() for n in ("conv_id", "ids", "loss")), strict=True):
+            for conv, role, text, learned, chars in zip(*(batch.column(n).to_pylist() for n in ("conv_id", "role", "text", "learned", "chars")), strict=True):
                 if now is None or now[0] != conv:
                     close()
                     now = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                role, text, learned, chars = read_back(np.frombuffer(ids, "<u4"), np.frombuffer(loss, np.int8), vocabulary)
+                learned = text if learned is None else learned
                 now[1] += 1
                 now[2].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
                 now[3] += len(learned)
@@ -144,7 +163,7 @@ def digests(turns: DataFrame, vocabulary: str | None = None) -> DataFrame:
         yield told()
 
     order = [F.col(c).asc_nulls_first() for c in ("conv_id", "turn", "role", "text")]
-    dealt = turns.repartition("conv_id").sortWithinPartitions(*order).select("conv_id", "ids", "loss")
+    dealt = turns_read_back(turns, vocabulary).repartition("conv_id").sortWithinPartitions(*order)
     return dealt.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
