@@ -171,3 +171,24 @@ def test_components(spark, per_task):
     want = sorted((x, find(x)) for x in up)
     df = cc.components(spark.createDataFrame(edges, "a long, b long"), per_task)
     assert sorted(tuple(r) for r in df.collect()) == want
+
+
+def test_lists_of_many_classes_and_sizes(spark, monkeypatch):
+    """Blocks of two members: passive and active ones over several bands, and sets told of in several rows."""
+    monkeypatch.setattr(nj, "LIST_BLOCK", 2)
+    monkeypatch.setattr(nj, "ROLES", 2)
+    rng = random.Random(9)
+    passage = [f"p{k}" for k in range(90)]
+    rows = []
+    for k in range(90):
+        own = [f"o{rng.randrange(40)}x{j}" for j in range(rng.randrange(45))]
+        rows.append((k, " ".join(passage[: rng.randrange(60, 90)] + own)))
+    rows += [(k + 100, t) for k, t in families(11, 2, 12, 60, 3)]
+    assert got(spark, rows) == brute(rows)
+
+
+def test_columns_that_clash(spark):
+    df = spark.createDataFrame([(1, "a b c", 1, {"k": 1}), (2, "a b c", 2, None), (1, None, 3, None)], "doc_id long, text string, _row int, _row_ map<string,int>")
+    out = nj.one_of_each(df)
+    assert out.columns == df.columns
+    assert sorted(r["_row"] for r in out.collect()) == [1, 3]

@@ -53,11 +53,11 @@ def scratch(spark: SparkSession):
             at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def written(df: DataFrame, name: str, stays: bool = False) -> DataFrame:
+def written(df: DataFrame, name: str, stays: int = 0) -> DataFrame:
     """Cut the lineage: write df as Parquet in the shared folder and read it again.
 
-    The files outlive lost executors. Within scratch() they go when it ends, unless they are to stay; else
-    they stay until the folder is emptied, as checkpoints do.
+    The files outlive lost executors. Within scratch() they go when it ends, or the scratch `stays` levels
+    around it; where there is none, they stay until the folder is emptied, as checkpoints do.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -156,8 +156,8 @@ def _taken(sized: DataFrame, cut: DataFrame) -> DataFrame:
 
 def _decided(docs: DataFrame, weights: tuple[int, ...], most: int) -> tuple[DataFrame, DataFrame]:
     """The sizes of docs and the cuts of their sources."""
-    sized = written(_sized(docs), "mix-sizes", stays=True)
-    return sized, written(thresholds(sized, weights, most), "mix-thresholds", stays=True)
+    sized = written(_sized(docs), "mix-sizes", stays=1)
+    return sized, written(thresholds(sized, weights, most), "mix-thresholds", stays=1)
 
 
 def assignments(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:

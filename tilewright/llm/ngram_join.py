@@ -9,11 +9,13 @@ are counted over all documents; the most frequent form a table of fixed size, wh
 order, never the result). Two sets that link must share one of their first n - ceil(0.8 n) + 1
 shingles. Postings of these are sorted by shingle and size in one pass that holds one row; it pairs
 neighbours of a list only. Pairs are verified and linked sets form classes. A list whose members
-are all of one class is done, however long. What lists still hold of different classes, blocks of
-bounded size pair exhaustively, without the pairs that sizes, earlier tests or parities rule out (a
+are all of one class is done, however long. What lists still hold of different classes is paired, in
+blocks of bounded size, without the pairs that sizes, earlier tests or parities rule out (a
 set of n has some 2 n parity bits, and those of two sets differ in no more bits than the sets in members,
-so the rule is exact; it leaves little but true neighbours). So no link
-between different classes is lost and no group of copies is ever expanded into all its pairs.
+so the rule is exact; it leaves little but true neighbours). Members of a list's most frequent class need not
+meet each other: they are sent to one block each, and only the others, few as a rule, to every block whose
+sizes are near their own. So no link between different classes is lost and no group of copies is ever
+expanded into all its pairs.
 
 Verification is a T-occurrence search. The candidates of a set, in blocks, are inverted: a list of
 candidates for each shingle of the set. The required overlap T tells how many of the longest lists
@@ -31,13 +33,13 @@ import hashlib
 import heapq
 from bisect import bisect_left
 from itertools import groupby
-from math import log2
+from math import log, log2
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import slices, table, written
+from tilewright.llm.common import fresh, scratch, slices, table, written
 from tilewright.llm.components import components
 
 WORDS, PERCENT = 5, 80
@@ -47,6 +49,8 @@ FREQUENT, COUNTED = 1 << 20, 3_000_000
 BROADCAST = 1 << 20
 #: Candidates that are inverted together, and members of a list that are paired in one block.
 BLOCK, LIST_BLOCK = 64, 256
+#: Tasks that share the lists of one family, and pairs of a set that are told of in one row.
+FAMILY, ROLES = 8, 4096
 #: Weighs a probe by bisection against a step of the heap.
 MU = 0.0085
 
@@ -282,8 +286,11 @@ def _search(pairs: DataFrame, docs: DataFrame, named: DataFrame, percent: int, s
     """
     asked = pairs.select(F.col("a").alias("sid"), "a", F.lit(None).cast("long").alias("b")).distinct()
     roles = asked.unionByName(pairs.select(F.col("b").alias("sid"), "a", "b"))
-    wanted = roles.groupBy("sid").agg(F.collect_list(F.struct("a", "b")).alias("roles")).join(named.select("sid", "doc_id"), "sid")
-    wanted = written(wanted, "join-wanted")
+    # a set of many pairs is told of them in several rows
+    many = roles.groupBy("sid").agg(F.ceil(F.count(F.lit(1)) / ROLES).alias("rows")).where("rows > 1")
+    roles = roles.join(many, "sid", "left").withColumn("row", F.pmod(F.xxhash64("a", "b"), F.coalesce("rows", F.lit(1))))
+    wanted = roles.groupBy("sid", "row").agg(F.collect_list(F.struct("a", "b")).alias("roles")).join(named.select("sid", "doc_id"), "sid")
+    wanted = written(wanted.drop("row"), "join-wanted")
     if (wanted.agg(F.sum(F.size("roles") + 2)).first()[0] or 0) <= BROADCAST:
         wanted = F.broadcast(wanted)
 
@@ -353,20 +360,34 @@ def _plausible(pairs: DataFrame, named: DataFrame, percent: int) -> DataFrame:
 
 
 def _across(shared: DataFrame, classes: DataFrame, named: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different classes that lists still hold and that sizes and parities do not rule out: (a, b)."""
-    rooted = shared.join(classes, shared["sid"] == classes["node"], "left").select("token", "sid", F.coalesce("root", "sid").alias("root"))
-    mixed = rooted.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
+    """Pairs of different classes that lists still hold and that sizes and parities do not rule out: (a, b).
+
+    A list's members fall into bands of size, so wide that sets which link lie in one band or in two next to each
+    other, and those of a band, the list's most frequent class (its passive members) apart from the others, into
+    blocks of some LIST_BLOCK members. Blocks meet in pairs, if their bands are near and not both are passive.
+    """
+    rooted = shared.join(classes, shared["sid"] == classes["node"], "left").select("token", "sid", "n", F.coalesce("root", "sid").alias("root"))
+    held = rooted.groupBy("token", "root").agg(F.count(F.lit(1)).alias("m"))
+    lists = held.groupBy("token").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("m", "root"))["root"].alias("top")).where("roots > 1")
+    width = -log(percent / 100) * (1 + 1e-9)
+    band = F.floor(F.log(F.col("n").cast("double")) / width) if width else F.col("n")
+    rows = rooted.join(lists.select("token", "top"), "token").withColumn("band", band.cast("long")).withColumn("passive", F.col("root") == F.col("top"))
+    rows = written(rows, "join-members")
     # a power of two, so that lists of alike lengths are cut alike
-    blocks = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.col("m") / LIST_BLOCK, F.lit(1.0))))).cast("int")
-    rows = rooted.join(mixed.select("token", blocks.alias("k")), "token").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("k")).cast("int"))
-    rows = rows.join(named.select("sid", "n", "bits"), "sid")
-    # a member of block i meets those of blocks 0 to k - 1: the pair of blocks (i, j), i <= j, is a group
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    member = F.struct("sid", "n", "root", "own", "bits")
-    rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    # long lists of one family share their pairs of blocks: these go to one task, which tells of a pair once
-    rows = rows.withColumn("to", F.when(F.col("k") == 1, F.col("token")).otherwise(F.xxhash64("k", "i", "j"))).repartition("to")
-    groups = rows.groupBy("to", "token", "i", "j").agg(F.collect_list(member).alias("members"))
+    blocks = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.count(F.lit(1)) / LIST_BLOCK, F.lit(1.0))))).cast("long")
+    bands = rows.groupBy("token", "band", "passive").agg(blocks.alias("k"))
+    near = bands.groupBy("token").agg(F.collect_list(F.struct("band", "passive", "k")).alias("bands"))
+    cell = lambda b, p, i: (b * 2 + p.cast("long")) * F.lit(1 << 40) + i
+    meets = lambda x: (F.abs(x["band"] - F.col("band")) <= 1) & ~(x["passive"] & F.col("passive"))
+    cells = lambda x: F.transform(F.sequence(F.lit(0).cast("long"), x["k"] - 1), lambda i: cell(x["band"], x["passive"], i))
+    rows = rows.join(bands, ["token", "band", "passive"]).withColumn("own", cell(F.col("band"), F.col("passive"), F.pmod(F.xxhash64("sid"), F.col("k"))))
+    rows = rows.join(near, "token").withColumn("other", F.explode(F.flatten(F.transform(F.filter("bands", meets), cells))))
+    rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).withColumn("side", (F.col("own") == F.col("i")).cast("int"))
+    rows = rows.select("token", "sid", "n", "root", "top", "i", "j", "side").join(named.select("sid", "bits"), "sid")
+    # lists of one family share members: some of them go to one task, which tells of a pair once
+    to = F.xxhash64("top", F.pmod("token", F.lit(FAMILY)), "i", "j")
+    member = F.struct("sid", "n", "root", "side", "bits")
+    groups = rows.withColumn("to", to).repartition("to").groupBy("to", "token", "i", "j").agg(F.collect_list(member).alias("members"))
 
     def run(batches):
         import pyarrow as pa
@@ -378,14 +399,14 @@ def _across(shared: DataFrame, classes: DataFrame, named: DataFrame, tested: Dat
             column = batch.column("members")
             i, j = batch.column("i").to_numpy(), batch.column("j").to_numpy()
             offsets = column.offsets.to_numpy()
-            sid, n, root, own = (column.values.field(k).to_numpy() for k in range(4))
+            sid, n, root, side = (column.values.field(k).to_numpy() for k in range(4))
             bits = column.values.field(4).to_pylist()
             out: set[tuple[int, int]] = set()
             for g, (a, b) in enumerate(zip(offsets.tolist(), offsets[1:].tolist(), strict=False)):
-                s, r, o = sid[a:b], root[a:b], own[a:b]
+                s, r = sid[a:b], root[a:b]
                 if (r == r[0]).all():
                     continue
-                for x, y in may_link(n[a:b], bits[a:b], percent, r, o if i[g] != j[g] else None):
+                for x, y in may_link(n[a:b], bits[a:b], percent, r, side[a:b] if i[g] != j[g] else None):
                     p, q = int(s[x]), int(s[y])
                     out.add((min(p, q), max(p, q)))
             out -= told
@@ -401,24 +422,28 @@ def _rooted(docs: DataFrame, percent: int, seed: int) -> tuple[DataFrame, DataFr
     """Rows of docs (doc_id, sid, n), and sets that are not empty (sid, doc_id, root): root names the set's class."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    frequent = spark.sparkContext.broadcast(_frequent(docs, seed))
-    first = written(_prefixes(docs, seed, frequent, percent), "join-prefixes")
-    rows = first.select("doc_id", "sid", "n")
-    named = first.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.min("check").alias("x"), F.max("check").alias("y"), F.max("n").alias("n"), F.max("bits").alias("bits"))
-    named = written(named.select("sid", "n", "bits", F.when(F.col("x") != F.col("y"), F.raise_error(F.lit("two sets share a name: choose another seed"))).otherwise(F.col("doc_id")).alias("doc_id")), "join-names")
-
-    postings = first.where("first is not null").select(F.explode("first").alias("token"), "sid", "n")
-    shared = postings.repartition("token").sortWithinPartitions("token", "n", "sid").mapInArrow(lambda batches: _neighbours(batches, percent), "token long, sid long, n long, prev long")
-    shared = written(shared, "join-lists")
-    near = written(shared.where("prev is not null").select(F.least("sid", "prev").alias("a"), F.greatest("sid", "prev").alias("b")).distinct(), "join-pairs")
-    links = written(_search(written(_plausible(near, named, percent), "join-pairs"), docs, named, percent, seed), "join-links")
-    linked = written(components(links), "join-classes")
-    more = written(_search(written(_across(shared, linked, named, near, percent), "join-pairs"), docs, named, percent, seed), "join-links")
-    stars = linked.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-    linked = components(stars.unionByName(more))
-
-    least = named.join(linked, named["sid"] == linked["node"], "left").select("sid", "doc_id", F.coalesce("root", "sid").alias("root"))
-    least = written(least, "join-least")
+    with scratch(spark):
+        with scratch(spark):
+            frequent = spark.sparkContext.broadcast(_frequent(docs, seed))
+            first = written(_prefixes(docs, seed, frequent, percent), "join-prefixes")
+            rows = written(first.select("doc_id", "sid", "n"), "join-rows", stays=2)
+            named = first.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.min("check").alias("x"), F.max("check").alias("y"), F.max("n").alias("n"), F.max("bits").alias("bits"))
+            clash = F.raise_error(F.lit("two sets share a name: choose another seed"))
+            named = written(named.select("sid", "n", "bits", F.when(F.col("x") != F.col("y"), clash).otherwise(F.col("doc_id")).alias("doc_id")), "join-names", stays=1)
+            postings = first.where("first is not null").select(F.explode("first").alias("token"), "sid", "n")
+            shared = postings.repartition("token").sortWithinPartitions("token", "n", "sid").mapInArrow(lambda batches: _neighbours(batches, percent), "token long, sid long, n long, prev long")
+            shared = written(shared, "join-lists", stays=1)
+        frequent.unpersist()
+        near = written(shared.where("prev is not null").select(F.least("sid", "prev").alias("a"), F.greatest("sid", "prev").alias("b")).distinct(), "join-pairs")
+        with scratch(spark):
+            links = written(_search(written(_plausible(near, named, percent), "join-pairs"), docs, named, percent, seed), "join-links")
+            linked = written(components(links), "join-classes", stays=1)
+        with scratch(spark):
+            more = written(_search(written(_across(shared, linked, named, near, percent), "join-pairs"), docs, named, percent, seed), "join-links")
+            stars = linked.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+            linked = written(components(stars.unionByName(more)), "join-classes", stays=1)
+        least = named.join(linked, named["sid"] == linked["node"], "left").select("sid", "doc_id", F.coalesce("root", "sid").alias("root"))
+        least = written(least, "join-least", stays=1)
     return rows, least
 
 
@@ -436,17 +461,17 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     Rows are told apart by a hash of id and text, so what repeats both is one row. Rows with neither an
     id nor a shingle stay.
     """
-    text = F.col("text").cast("string")
+    text, key = F.col("text").cast("string"), fresh(docs, "_row")
     bare = F.col("doc_id").isNull() & (text.isNull() | ~text.rlike("[^ \\t\\n\\r\\x0B\\f]"))
-    keyed = docs.where(~bare).withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), text))
-    rows, least = _rooted(keyed.select(F.col("_row").alias("doc_id"), "text"), percent, 0)
+    keyed = docs.where(~bare).withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), text))
+    rows, least = _rooted(keyed.select(F.col(key).alias("doc_id"), "text"), percent, 0)
     # an empty set is a class of its own row
     rows = rows.join(least.select("sid", "root"), "sid", "left")
-    rows = rows.select(F.col("doc_id").alias("_row"), F.struct((F.col("n") > 0).alias("set"), F.coalesce("root", "doc_id").alias("name")).alias("class")).distinct()
-    ids = keyed.select("_row", F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row"))
-    keep = rows.join(ids, "_row").groupBy("class").agg(first.alias("first")).select("first._row")
-    kept = keyed.join(keep, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
+    rows = rows.select(F.col("doc_id").alias("row"), F.struct((F.col("n") > 0).alias("set"), F.coalesce("root", "doc_id").alias("name")).alias("class")).distinct()
+    ids = keyed.select(F.col(key).alias("row"), F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row"))
+    keep = rows.join(ids, "row").groupBy("class").agg(first.alias("first")).select(F.col("first.row").alias(key))
+    kept = keyed.join(keep, key, "left_semi").dropDuplicates([key]).drop(key)
     return kept.unionByName(docs.where(bare))
 
 
