@@ -52,7 +52,8 @@ def test_ids_where_other_gaps_offset_longer_ones(text):
     assert bpe.shared().encode(text).tolist() == t.encode(text, add_special_tokens=False).ids
 
 
-def check(docs, got):
+def check(docs, got, whole=True):
+    """Pieces against the library's ids; with whole, also that sequences are filled without gaps."""
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     want = {}
     for d, text in docs:
@@ -63,7 +64,7 @@ def check(docs, got):
         ids = want[r["doc_id"]][0]
         part = np.array(ids[r["start"] : r["start"] + r["length"]], "<u4")
         assert zlib.crc32(part.tobytes()) == r["ids_crc32"]
-    for spots in places.values():
+    for spots in places.values() if whole else ():
         at = 0
         for offset, length in sorted(spots):
             assert offset == at
