@@ -14,8 +14,11 @@ blocks of bounded size, without the pairs that sizes, earlier tests or parities
 set of n has some 2 n parity bits, and those of two sets differ in no more bits than the sets in members,
 so the rule is exact; it leaves little but true neighbours). Members of a list's most frequent class need not
 meet each other: they are sent to one block each, and only the others, few as a rule, to every block whose
-sizes are near their own. So no link between different classes is lost and no group of copies is ever
-expanded into all its pairs.
+sizes are near their own. A first round tells, for each of these, of its likeliest partner in the frequent class
+and of that in the others, so its pairs are no more than twice the members; links found so merge classes. A second
+round tells of every pair of different classes that is then left untested; members that had no likeliest partner
+have none, and need not meet each other there. So no link between different classes is lost and no group of
+copies is ever expanded into all its pairs.
 
 Verification is a T-occurrence search. The candidates of a set, in blocks, are inverted: a list of
 candidates for each shingle of the set. The required overlap T tells how many of the longest lists
@@ -101,8 +104,8 @@ def _folded(bits: np.ndarray) -> np.ndarray:
     return bits[..., :half] ^ bits[..., half:]
 
 
-def may_link(n: np.ndarray, bits: list[bytes], percent: int = PERCENT, root: np.ndarray | None = None, own: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Pairs of members of different roots (and own) whose sizes and parities do not rule a link out.
+def may_link(n: np.ndarray, bits: list[bytes], percent: int = PERCENT, root: np.ndarray | None = None, own: np.ndarray | None = None) -> list[tuple[int, int, int]]:
+    """Pairs of members of different roots (and own) whose sizes and parities do not rule a link out, and by how many bits.
 
     Members of the most common root are compared with, but don't compare: few others are left of a
     list that is nearly one class.
@@ -133,8 +136,9 @@ def may_link(n: np.ndarray, bits: list[bytes], percent: int = PERCENT, root: np.
                 ok &= 100 * np.minimum(n[ids], n[k]) >= percent * np.maximum(n[ids], n[k])
                 if ok.any():
                     need = -(-percent * total // (100 + percent))
-                    ok &= np.bitwise_count(held ^ mine).sum(1) <= total - 2 * need
-                    out += [(int(k), int(j)) for j in ids[ok]]
+                    spare = total - 2 * need - np.bitwise_count(held ^ mine).sum(1, dtype=np.int64)
+                    ok &= spare >= 0
+                    out += [(int(k), int(j), int(b)) for j, b in zip(ids[ok], spare[ok], strict=True)]
     return out
 
 
@@ -359,20 +363,39 @@ def _plausible(pairs: DataFrame, named: DataFrame, percent: int) -> DataFrame:
     return t.where(near("n_a", "bits_a", "n_b", "bits_b")).select("a", "b")
 
 
-def _across(shared: DataFrame, classes: DataFrame, named: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different classes that lists still hold and that sizes and parities do not rule out: (a, b).
+def _likeliest(pairs: list[tuple[int, int, int]], sid: np.ndarray, passive: np.ndarray) -> list[tuple[int, int, int]]:
+    """Of each member that is not passive, its likeliest pair with a passive one and with another."""
+    best: dict[tuple[int, bool], tuple[int, int, int, int]] = {}
+    for x, y, spare in pairs:
+        for p, q in ((x, y), (y, x)):
+            if not passive[p]:
+                key, way = (p, bool(passive[q])), (-spare, int(sid[q]), x, y)
+                best[key] = min(way, best.get(key, way))
+    return list({(x, y, -spare) for spare, _, x, y in best.values()})
+
+
+def _across(shared: DataFrame, classes: DataFrame, named: DataFrame, live: DataFrame | None, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs of different classes that lists still hold and that sizes and parities do not rule out: (a, b); and these lists.
 
     A list's members fall into bands of size, so wide that sets which link lie in one band or in two next to each
-    other, and those of a band, the list's most frequent class (its passive members) apart from the others, into
-    blocks of some LIST_BLOCK members. Blocks meet in pairs, if their bands are near and not both are passive.
+    other, and those of a band, passive members apart from the others, into blocks of some LIST_BLOCK members. Blocks
+    meet in pairs, if their bands are near and not both are passive. Without live, a list's passive members are those
+    of its most frequent class, and only the likeliest pairs of each other one are told. With it (a table of sid),
+    those that it does not name are passive, and all pairs are told.
     """
     rooted = shared.join(classes, shared["sid"] == classes["node"], "left").select("token", "sid", "n", F.coalesce("root", "sid").alias("root"))
     held = rooted.groupBy("token", "root").agg(F.count(F.lit(1)).alias("m"))
     lists = held.groupBy("token").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("m", "root"))["root"].alias("top")).where("roots > 1")
     width = -log(percent / 100) * (1 + 1e-9)
     band = F.floor(F.log(F.col("n").cast("double")) / width) if width else F.col("n")
-    rows = rooted.join(lists.select("token", "top"), "token").withColumn("band", band.cast("long")).withColumn("passive", F.col("root") == F.col("top"))
-    rows = written(rows, "join-members")
+    rows = rooted.join(lists.select("token", "top"), "token").withColumn("band", band.cast("long"))
+    few = live is None
+    if few:
+        rows = rows.withColumn("passive", F.col("root") == F.col("top"))
+    else:
+        rows = rows.join(live.withColumn("live", F.lit(True)), "sid", "left").withColumn("passive", F.col("live").isNull()).drop("live")
+    rows = written(rows, "join-members", stays=1)
+    members = rows.select("token", "sid", "n")
     # a power of two, so that lists of alike lengths are cut alike
     blocks = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.count(F.lit(1)) / LIST_BLOCK, F.lit(1.0))))).cast("long")
     bands = rows.groupBy("token", "band", "passive").agg(blocks.alias("k"))
@@ -387,7 +410,7 @@ def _across(shared: DataFrame, classes: DataFrame, named: DataFrame, tested: Dat
     # lists of one family share members: some of them go to one task, which tells of a pair once
     to = F.xxhash64("top", F.pmod("token", F.lit(FAMILY)), "i", "j")
     member = F.struct("sid", "n", "root", "side", "bits")
-    groups = rows.withColumn("to", to).repartition("to").groupBy("to", "token", "i", "j").agg(F.collect_list(member).alias("members"))
+    groups = rows.withColumn("to", to).repartition("to").groupBy("to", "token", "top", "i", "j").agg(F.collect_list(member).alias("members"))
 
     def run(batches):
         import pyarrow as pa
@@ -397,7 +420,7 @@ def _across(shared: DataFrame, classes: DataFrame, named: DataFrame, tested: Dat
             if len(told) > 1_000_000:
                 told.clear()
             column = batch.column("members")
-            i, j = batch.column("i").to_numpy(), batch.column("j").to_numpy()
+            top, i, j = (batch.column(c).to_numpy() for c in ("top", "i", "j"))
             offsets = column.offsets.to_numpy()
             sid, n, root, side = (column.values.field(k).to_numpy() for k in range(4))
             bits = column.values.field(4).to_pylist()
@@ -406,7 +429,8 @@ def _across(shared: DataFrame, classes: DataFrame, named: DataFrame, tested: Dat
                 s, r = sid[a:b], root[a:b]
                 if (r == r[0]).all():
                     continue
-                for x, y in may_link(n[a:b], bits[a:b], percent, r, side[a:b] if i[g] != j[g] else None):
+                found = may_link(n[a:b], bits[a:b], percent, r, side[a:b] if i[g] != j[g] else None)
+                for x, y, _ in _likeliest(found, s, r == top[g]) if few else found:
                     p, q = int(s[x]), int(s[y])
                     out.add((min(p, q), max(p, q)))
             out -= told
@@ -414,8 +438,7 @@ def _across(shared: DataFrame, classes: DataFrame, named: DataFrame, tested: Dat
             cols = list(zip(*out, strict=True)) or [[], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b"])
 
-    pairs = groups.select("i", "j", "members").mapInArrow(run, "a long, b long").distinct()
-    return pairs.join(tested, ["a", "b"], "left_anti")
+    return groups.select("top", "i", "j", "members").mapInArrow(run, "a long, b long").distinct(), members
 
 
 def _rooted(docs: DataFrame, percent: int, seed: int) -> tuple[DataFrame, DataFrame]:
@@ -438,10 +461,18 @@ def _rooted(docs: DataFrame, percent: int, seed: int) -> tuple[DataFrame, DataFr
         with scratch(spark):
             links = written(_search(written(_plausible(near, named, percent), "join-pairs"), docs, named, percent, seed), "join-links")
             linked = written(components(links), "join-classes", stays=1)
-        with scratch(spark):
-            more = written(_search(written(_across(shared, linked, named, near, percent), "join-pairs"), docs, named, percent, seed), "join-links")
-            stars = linked.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-            linked = written(components(stars.unionByName(more)), "join-classes", stays=1)
+        lists, live, tested = shared, None, near
+        for _ in range(2):
+            with scratch(spark):
+                pairs, lists = _across(lists, linked, named, live, percent)
+                pairs = written(pairs, "join-pairs", stays=1)
+                if pairs.isEmpty():  # where no member has a likeliest pair, there is none
+                    break
+                more = written(_search(pairs.join(tested, ["a", "b"], "left_anti"), docs, named, percent, seed), "join-links")
+                stars = linked.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+                linked = written(components(stars.unionByName(more)), "join-classes", stays=1)
+                live = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
+                tested = tested.unionByName(pairs)
         least = named.join(linked, named["sid"] == linked["node"], "left").select("sid", "doc_id", F.coalesce("root", "sid").alias("root"))
         least = written(least, "join-least", stays=1)
     return rows, least
