@@ -1,9 +1,14 @@
 """Lines: strokes to segments, side and distance of points, signed fields, verdicts of squares.
 
 Distances are in kilometres on a local plane whose east scale is taken at the middle latitude of
-each pair of points. Points meet the segments near them by bands of latitude: a segment is put in
-every band that its latitudes, widened by the clamp distance, touch. A point without a segment
-within the clamp has the clamp as its distance, so nothing else need meet it.
+each pair of points. Points meet the segments near them by cells of longitude and latitude: a segment
+is put in every cell that its box, widened by the clamp distance, touches. A point without a segment
+within the clamp has the clamp as its distance, so nothing else need meet it. The side of a point is
+the parity of the segments that a ray from it crosses; these it meets by bands of latitude. Distance
+and sides are aggregates of one grouping.
+
+A coast that ends before the field does is carried straight on from either end, along the way it runs;
+the added segments count for side and distance alike.
 """
 
 from __future__ import annotations
@@ -39,44 +44,103 @@ def segment_distance(lon, lat, a_lon, a_lat, b_lon, b_lat) -> Column:
     return F.sqrt(x * x + y * y)
 
 
-def distances(points: DataFrame, key: list[str], segs: DataFrame, clamp_km: float) -> DataFrame:
-    """key columns and km: the distance of each point (lon, lat) to the nearest segment, at most the clamp."""
-    band = clamp_km / KM_NORTH
-    lo, hi = F.least("a_lat", "b_lat") - band, F.greatest("a_lat", "b_lat") + band
-    s = segs.withColumn("_band", F.explode(F.sequence(F.floor(lo / band), F.floor(hi / band))))
-    p = points.select(*key, "lon", "lat", F.floor(F.col("lat") / band).alias("_band"))
-    near = p.join(s, "_band").where(segment_box_filter(clamp_km))
-    km = near.groupBy(*key).agg(F.min(segment_distance("lon", "lat", "a_lon", "a_lat", "b_lon", "b_lat")).alias("km"))
-    return points.select(*key).join(km, key, "left").select(*key, F.least(F.coalesce("km", F.lit(clamp_km)), F.lit(clamp_km)).alias("km"))
+def extended(coast: DataFrame, south: float, north: float) -> DataFrame:
+    """A coast (seq, a_lon, a_lat, b_lon, b_lat; running north or south) and its ends carried on to two latitudes.
+
+    Each end goes away from the other one, straight along its meridian, and only if it falls short.
+    """
+    columns = ["a_lon", "a_lat", "b_lon", "b_lat"]
+    ends = coast.agg(F.min_by(F.struct(F.col("a_lon").alias("lon"), F.col("a_lat").alias("lat")), "seq").alias("f"), F.max_by(F.struct(F.col("b_lon").alias("lon"), F.col("b_lat").alias("lat")), "seq").alias("l"))
+    up = F.col("f.lat") <= F.col("l.lat")
+    low, high = F.when(up, F.col("f")).otherwise(F.col("l")), F.when(up, F.col("l")).otherwise(F.col("f"))
+    piece = lambda p, to: F.struct(p["lon"].alias("a_lon"), F.lit(to).alias("a_lat"), p["lon"].alias("b_lon"), p["lat"].alias("b_lat"))
+    more = F.array(F.when(low["lat"] > south, piece(low, south)), F.when(high["lat"] < north, piece(high, north)))
+    return coast.select(*columns).unionByName(ends.select(F.explode(F.filter(more, lambda x: x.isNotNull())).alias("x")).select("x.*"))
 
 
-def segment_box_filter(clamp_km: float) -> Column:
-    """Latitude within the clamp of the segment's box: a cheap test before the distance."""
-    d = clamp_km / KM_NORTH
-    return (F.col("lat") >= F.least("a_lat", "b_lat") - d) & (F.col("lat") <= F.greatest("a_lat", "b_lat") + d)
+def _near(points: DataFrame, key: list[str], segs: DataFrame, clamp_km: float) -> DataFrame:
+    """key and km of each point and each segment whose box, widened by the clamp, shares its cell."""
+    cell = 2 * clamp_km / KM_NORTH
+    north = F.lit(clamp_km / KM_NORTH)
+    most = F.least(F.greatest(F.abs("a_lat"), F.abs("b_lat")) + north, F.lit(89.0))
+    east = F.lit(clamp_km) / _east(most)
+    cells = lambda lo, hi: F.explode(F.sequence(F.floor(lo / cell), F.floor(hi / cell)))
+    s = segs.withColumn("_y", cells(F.least("a_lat", "b_lat") - north, F.greatest("a_lat", "b_lat") + north))
+    s = s.withColumn("_x", cells(F.least("a_lon", "b_lon") - east, F.greatest("a_lon", "b_lon") + east))
+    p = points.select(*key, "lon", "lat", F.floor(F.col("lat") / cell).alias("_y"), F.floor(F.col("lon") / cell).alias("_x"))
+    return p.join(s, ["_x", "_y"]).select(*key, segment_distance("lon", "lat", "a_lon", "a_lat", "b_lon", "b_lat").alias("km"))
 
 
-def crossings(points: DataFrame, key: list[str], segs: DataFrame, cell: float = 0.05) -> DataFrame:
-    """key and n: the segments that a ray eastwards from each point crosses (half-open at vertices)."""
+def distances(points: DataFrame, key: list[str], segs: DataFrame, clamp_km: float) -> DataFrame:
+    """key columns and km: the distance of each point (lon, lat) to the nearest segment, at most the clamp."""
+    own = points.select(*key, F.lit(clamp_km).alias("km"))
+    return own.unionByName(_near(points, key, segs, clamp_km)).groupBy(*key).agg(F.min("km").alias("km"))
+
+
+def _crossed(points: DataFrame, key: list[str], segs: DataFrame, cell: float = 0.05) -> DataFrame:
+    """points' key and the segments' columns beside those of place, of each segment that a ray eastwards crosses (half-open at vertices)."""
     lo, hi = F.least("a_lat", "b_lat"), F.greatest("a_lat", "b_lat")
     s = segs.withColumn("_band", F.explode(F.sequence(F.floor(lo / cell), F.floor(hi / cell))))
     p = points.select(*key, "lon", "lat", F.floor(F.col("lat") / cell).alias("_band"))
     crossed = (F.col("a_lat") <= F.col("lat")) != (F.col("b_lat") <= F.col("lat"))
     at = F.col("a_lon") + (F.col("lat") - F.col("a_lat")) / (F.col("b_lat") - F.col("a_lat")) * (F.col("b_lon") - F.col("a_lon"))
-    hit = p.join(s, "_band").where(crossed).where(at > F.col("lon")).groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-    return points.select(*key).join(hit, key, "left").select(*key, F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    return p.join(s, "_band").where(crossed).where(at > F.col("lon")).drop("_band", "lon", "lat", "a_lon", "a_lat", "b_lon", "b_lat")
+
+
+def crossings(points: DataFrame, key: list[str], segs: DataFrame) -> DataFrame:
+    """key and n: the segments that a ray eastwards from each point crosses."""
+    hit = _crossed(points, key, segs.select("a_lon", "a_lat", "b_lon", "b_lat")).withColumn("n", F.lit(1))
+    return points.select(*key, F.lit(0).alias("n")).unionByName(hit).groupBy(*key).agg(F.sum("n").alias("n"))
 
 
-def signed(points: DataFrame, key: list[str], coast: DataFrame, ring: DataFrame | None, clamp_km: float) -> DataFrame:
+def sides(points: DataFrame, key: list[str], coast: DataFrame | None, ring: DataFrame | None, clamp_km: float) -> DataFrame:
+    """key, km (to the nearest segment of either), coast (east of a coast with land to the east) and ring (inside it)."""
+    parts = [(lines, name) for lines, name in ((coast, "coast"), (ring, "ring")) if lines is not None]
+    columns = ["a_lon", "a_lat", "b_lon", "b_lat"]
+    segs = None
+    for part, name in parts:
+        part = part.select(*columns, *[F.lit(int(name == n)).alias(n) for n in ("coast", "ring")])
+        segs = part if segs is None else segs.unionByName(part)
+    none = [F.lit(0).alias(n) for n in ("coast", "ring")]
+    rows = points.select(*key, F.lit(clamp_km).alias("km"), *none)
+    rows = rows.unionByName(_near(points, key, segs.select(*columns), clamp_km).select(*key, "km", *none))
+    rows = rows.unionByName(_crossed(points, key, segs).select(*key, F.lit(clamp_km).alias("km"), "coast", "ring"))
+    out = rows.groupBy(*key).agg(F.min("km").alias("km"), F.sum("coast").alias("_c"), F.sum("ring").alias("_r"))
+    return out.select(*key, "km", (F.lit(coast is not None) & (F.col("_c") % 2 == 0)).alias("coast"), (F.col("_r") % 2 == 1).alias("ring"))
+
+
+def signed(points: DataFrame, key: list[str], coast: DataFrame | None, ring: DataFrame | None, clamp_km: float) -> DataFrame:
     """key and km, negative on land: east of a coast with land to the east, or inside a ring."""
-    segs = coast if ring is None else coast.unionByName(ring)
-    land = crossings(points, key, coast).withColumnRenamed("n", "_c")
-    out = distances(points, key, segs, clamp_km).join(land, key)
-    side = F.pmod(F.col("_c"), F.lit(2)) == 0
-    if ring is not None:
-        out = out.join(crossings(points, key, ring).withColumnRenamed("n", "_r"), key)
-        side |= F.pmod(F.col("_r"), F.lit(2)) == 1
-    return out.select(*key, F.when(side, -F.col("km")).otherwise(F.col("km")).alias("km"))
+    return sides(points, key, coast, ring, clamp_km).select(*key, F.when(F.col("coast") | F.col("ring"), -F.col("km")).otherwise(F.col("km")).alias("km"))
+
+
+def stretch(coast: DataFrame) -> DataFrame:
+    """One row: the latitudes (from_lat, to_lat) that the drawn coast covers, without what is carried on."""
+    return coast.agg(F.min(F.least("a_lat", "b_lat")).alias("from_lat"), F.max(F.greatest("a_lat", "b_lat")).alias("to_lat"))
+
+
+def reach(ring: DataFrame, margin_km: float) -> DataFrame:
+    """One row: the box (w, e, s, n) of a ring, widened by the margin and a kilometre."""
+    box = ring.agg(F.min(F.least("a_lat", "b_lat")).alias("lo"), F.max(F.greatest("a_lat", "b_lat")).alias("hi"), F.min(F.least("a_lon", "b_lon")).alias("w"), F.max(F.greatest("a_lon", "b_lon")).alias("e"))
+    north = F.lit((margin_km + 1) / KM_NORTH)
+    east = F.lit(margin_km + 1) / _east(F.least(F.greatest(F.abs("lo"), F.abs("hi")) + north, F.lit(89.0)))
+    return box.select((F.col("w") - east).alias("near_w"), (F.col("e") + east).alias("near_e"), (F.col("lo") - north).alias("near_s"), (F.col("hi") + north).alias("near_n"))
+
+
+def square_verdicts(squares: DataFrame, coast: DataFrame | None, ring: DataFrame | None, margin_km: float) -> DataFrame:
+    """Squares (w, e, s, n, and least and most, the range of the signed field over each) with their verdict.
+
+    OUTSIDE: not wholly within the stretch that the coast covers. FAR: there is no coast, and no island comes
+    near. Else LAND, SEA or CUT by the range.
+    """
+    by_range = verdict(F.col("least"), F.col("most"), margin_km)
+    if coast is not None:
+        inside = (F.col("s") >= F.col("from_lat")) & (F.col("n") <= F.col("to_lat"))
+        out = squares.crossJoin(F.broadcast(stretch(coast)))  # one row
+        return out.withColumn("verdict", F.when(inside, by_range).otherwise("OUTSIDE")).drop("from_lat", "to_lat")
+    near = (F.col("near_n") >= F.col("s")) & (F.col("near_s") <= F.col("n")) & (F.col("near_e") >= F.col("w")) & (F.col("near_w") <= F.col("e"))
+    out = squares.crossJoin(F.broadcast(reach(ring, margin_km)))  # one row
+    return out.withColumn("verdict", F.when(near, by_range).otherwise("FAR")).drop("near_w", "near_e", "near_s", "near_n")
 
 
 def verdict(least: Column, most: Column, margin_km: float) -> Column:

@@ -9,24 +9,46 @@ from tilewright.functions import grid
 from tilewright.operators import lines, strokes
 from tilewright.plans.joins import DIST, KX
 from tilewright.plans.registry import query
-from tilewright.plans.scalars import gx, gy
-from tilewright.plans.sets import SIDES
+from tilewright.plans.scalars import gx, gy, lat_of, lon_of
+from tilewright.plans.sets import SIDES, _sides
 from tilewright.plans.views import get
 
-SEG = "(SELECT a_lon, a_lat, b_lon, b_lat FROM coast_segment UNION ALL SELECT a_lon, a_lat, b_lon, b_lat FROM ring_segment)"
+SEG = "(SELECT a_lon, a_lat, b_lon, b_lat FROM coast_line UNION ALL SELECT a_lon, a_lat, b_lon, b_lat FROM ring_segment)"
 ALL_DIST = DIST.replace("coast_segment", f"{SEG} g")
 SIGNED = f"(SELECT event_id, CASE WHEN coast OR ring THEN -least(km, 12.112::DOUBLE) ELSE least(km, 12.112::DOUBLE) END AS km FROM {SIDES} JOIN {ALL_DIST} USING (event_id))"
 
 
-def _signed(spark, d):
-    cols = ["a_lon", "a_lat", "b_lon", "b_lat"]
-    return lines.signed(get(spark, d, "probe"), ["event_id"], get(spark, d, "coast_segment").select(*cols), get(spark, d, "ring_segment").select(*cols), 2 * lines.MARGIN_KM + 1)
+RING = "(SELECT event_id, CASE WHEN ring THEN -least(km, 12.112::DOUBLE) ELSE least(km, 12.112::DOUBLE) END AS km FROM {0} JOIN {1} USING (event_id))".format(SIDES, DIST.replace("coast_segment", "ring_segment"))
+RANGE = "CASE WHEN max(km) <= 5.556::DOUBLE THEN 'LAND' WHEN min(km) > 5.556::DOUBLE THEN 'SEA' ELSE 'CUT' END"
+
+
+def _signed(spark, d, key=("event_id",), coast=True):
+    return lines.signed(get(spark, d, "probe"), list(key), get(spark, d, "coast_line") if coast else None, get(spark, d, "ring_segment"), 2 * lines.MARGIN_KM + 1)
+
+
+def _squares(spark, d, level, coast=True):
+    """Squares of a level with their edges, the range of the field over their probes, these probes' number and the verdict."""
+    probe = get(spark, d, "probe").select("event_id", "lon", "lat", grid.tile_x("lon", level).alias("tx"), grid.tile_y("lat", level).alias("ty"))
+    field = lines.signed(probe, ["event_id", "tx", "ty"], get(spark, d, "coast_line") if coast else None, get(spark, d, "ring_segment"), 2 * lines.MARGIN_KM + 1)
+    t = field.groupBy("tx", "ty").agg(F.min("km").alias("least"), F.max("km").alias("most"), F.count(F.lit(1)).alias("n_probes"))
+    t = t.select("*", *[c.alias(k) for k, c in grid.square_edges("tx", "ty", level).items()])
+    return lines.square_verdicts(t, get(spark, d, "coast_segment") if coast else None, get(spark, d, "ring_segment"), lines.MARGIN_KM)
+
+
+def _squares_sql(level, signed=SIGNED):
+    return f"(SELECT CAST(floor({gx('lon', level)}) AS BIGINT) AS tx, CAST(floor({gy('lat', level)}) AS BIGINT) AS ty, {RANGE} AS by_range, count(*) AS n FROM probe JOIN {signed} USING (event_id) GROUP BY 1, 2)"
+
+
+def _outside(level):
+    return f"CASE WHEN {lat_of('ty', level)} >= (SELECT min(lat) FROM coast_point) AND {lat_of('ty + 1', level)} <= (SELECT max(lat) FROM coast_point) THEN by_range ELSE 'OUTSIDE' END"
+
+
+PAD = "(6.556::DOUBLE/110.9::DOUBLE)"
+FAR = f"(SELECT min(lat) - {PAD} AS s, max(lat) + {PAD} AS n, min(lon) - p AS w, max(lon) + p AS e FROM ring_point CROSS JOIN (SELECT 6.556::DOUBLE/(111.32::DOUBLE*cos(radians(max(abs(lat)) + {PAD}))) AS p FROM ring_point) GROUP BY p)"
 
 
 @query("geo_parity", "event_id b, coast l, ring l", f"SELECT * FROM {SIDES}")
 def geo_parity(spark, d):
-    from tilewright.plans.sets import _sides
-
     return _sides(spark, d)
 
 
@@ -40,17 +62,20 @@ def geo_is_covered(spark, d):
     return _signed(spark, d).withColumn("covered", F.col("km") <= lines.MARGIN_KM)
 
 
-@query("classify_squares", "verdict v, squares b", f"""SELECT verdict, count(*) AS squares FROM (SELECT CASE WHEN max(km) <= 5.556::DOUBLE THEN 'LAND' WHEN min(km) > 5.556::DOUBLE THEN 'SEA' ELSE 'CUT' END AS verdict FROM (SELECT CAST(floor({gx('lon', 13)}) AS BIGINT) AS tx, CAST(floor({gy('lat', 13)}) AS BIGINT) AS ty, km FROM probe JOIN {SIGNED} USING (event_id)) GROUP BY tx, ty) GROUP BY verdict""")
+@query("classify_squares", "verdict v, squares b", f"SELECT {_outside(13)} AS verdict, count(*) AS squares FROM {_squares_sql(13)} GROUP BY 1")
 def classify_squares(spark, d):
-    t = get(spark, d, "probe").join(_signed(spark, d), "event_id").select(grid.tile_x("lon", 13).alias("tx"), grid.tile_y("lat", 13).alias("ty"), "km")
-    t = t.groupBy("tx", "ty").agg(lines.verdict(F.min("km"), F.max("km"), lines.MARGIN_KM).alias("verdict"))
-    return t.groupBy("verdict").agg(F.count(F.lit(1)).alias("squares"))
+    return _squares(spark, d, 13).groupBy("verdict").agg(F.count(F.lit(1)).alias("squares"))
 
 
-@query("agg_classify", "tx b, ty b, verdict v, n b", f"""SELECT tx, ty, CASE WHEN max(km) <= 5.556::DOUBLE THEN 'LAND' WHEN min(km) > 5.556::DOUBLE THEN 'SEA' ELSE 'CUT' END AS verdict, count(*) AS n FROM (SELECT CAST(floor({gx('lon', 12)}) AS BIGINT) AS tx, CAST(floor({gy('lat', 12)}) AS BIGINT) AS ty, km FROM probe JOIN {SIGNED} USING (event_id)) GROUP BY tx, ty""")
+@query("agg_classify", "tx b, ty b, verdict v, n b", f"SELECT tx, ty, {_outside(12)} AS verdict, n FROM {_squares_sql(12)}")
 def agg_classify(spark, d):
-    t = get(spark, d, "probe").join(_signed(spark, d), "event_id").select(grid.tile_x("lon", 12).alias("tx"), grid.tile_y("lat", 12).alias("ty"), "km")
-    return t.groupBy("tx", "ty").agg(lines.verdict(F.min("km"), F.max("km"), lines.MARGIN_KM).alias("verdict"), F.count(F.lit(1)).alias("n"))
+    return _squares(spark, d, 12).withColumn("n", F.col("n_probes"))
+
+
+@query("classify_islands", "tx b, ty b, verdict v", f"SELECT tx, ty, CASE WHEN f.n >= {lat_of('ty', 13)} AND f.s <= {lat_of('ty + 1', 13)} AND f.e >= {lon_of('tx', 13)} AND f.w <= {lon_of('tx + 1', 13)} THEN by_range ELSE 'FAR' END AS verdict FROM {_squares_sql(13, RING)} CROSS JOIN {FAR} f")
+def classify_islands(spark, d):
+    """Verdicts where there is no coast, only an island."""
+    return _squares(spark, d, 13, coast=False)
 
 
 @query("geo_ring_hand", "clockwise l, area d", "SELECT sum(a_lon*b_lat - b_lon*a_lat) < 0 AS clockwise, abs(sum(a_lon*b_lat - b_lon*a_lat))/2 AS area FROM ring_segment")

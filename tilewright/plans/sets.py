@@ -10,14 +10,11 @@ from tilewright.plans.views import get
 from tilewright.session import table
 
 CROSS = "(a_lat <= lat) <> (b_lat <= lat) AND a_lon + (lat - a_lat)/(b_lat - a_lat)*(b_lon - a_lon) > lon"
-SIDES = f"(SELECT event_id, c % 2 = 0 AS coast, r % 2 = 1 AS ring FROM (SELECT event_id, count(*) FILTER (WHERE {CROSS}) AS c FROM probe CROSS JOIN coast_segment GROUP BY event_id) JOIN (SELECT event_id, count(*) FILTER (WHERE {CROSS}) AS r FROM probe CROSS JOIN ring_segment GROUP BY event_id) USING (event_id))"
+SIDES = f"(SELECT event_id, c % 2 = 0 AS coast, r % 2 = 1 AS ring FROM (SELECT event_id, count(*) FILTER (WHERE {CROSS}) AS c FROM probe CROSS JOIN coast_line GROUP BY event_id) JOIN (SELECT event_id, count(*) FILTER (WHERE {CROSS}) AS r FROM probe CROSS JOIN ring_segment GROUP BY event_id) USING (event_id))"
 
 
-def _sides(spark, d):
-    p = get(spark, d, "probe")
-    c = lines.crossings(p, ["event_id"], get(spark, d, "coast_segment")).select("event_id", (F.col("n") % 2 == 0).alias("coast"))
-    r = lines.crossings(p, ["event_id"], get(spark, d, "ring_segment")).select("event_id", (F.col("n") % 2 == 1).alias("ring"))
-    return c.join(r, "event_id")
+def _sides(spark, d, key=("event_id",)):
+    return lines.sides(get(spark, d, "probe"), list(key), get(spark, d, "coast_line"), get(spark, d, "ring_segment"), 2 * lines.MARGIN_KM + 1)
 
 
 @query("set_union_lands", "event_id b, land l", f"SELECT event_id, coast OR ring AS land FROM {SIDES}")

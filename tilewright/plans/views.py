@@ -29,9 +29,9 @@ def geo_point(spark, d):
     return table(spark, d, "events").selectExpr("event_id", "(user_id*7919 % 36000)/100D - 180 AS lon", "(event_id*104729 % 16000)/100D - 80 AS lat")
 
 
-@view("probe", "SELECT event_id, -71.85::DOUBLE + (user_id*7919 % 7000)*0.0001::DOUBLE AS lon, -33::DOUBLE + (event_id*104729 % 6000)*0.0001::DOUBLE AS lat FROM events")
+@view("probe", "SELECT event_id, -71.85::DOUBLE + (user_id*7919 % 7000)*0.0001::DOUBLE AS lon, -33.3::DOUBLE + (event_id*104729 % 16000)*0.0001::DOUBLE AS lat FROM events")
 def probe(spark, d):
-    return table(spark, d, "events").selectExpr("event_id", "-71.85D + (user_id*7919 % 7000)*0.0001D AS lon", "-33D + (event_id*104729 % 6000)*0.0001D AS lat")
+    return table(spark, d, "events").selectExpr("event_id", "-71.85D + (user_id*7919 % 7000)*0.0001D AS lon", "-33.3D + (event_id*104729 % 16000)*0.0001D AS lat")
 
 
 @view("geo_box", """SELECT s_suppkey, w, w + 1 + s_suppkey % 5 AS e, s, s + 1 + s_suppkey % 3 AS n FROM (SELECT s_suppkey, (s_suppkey*3571 % 3400)/100.0::DOUBLE - 17 AS w, (s_suppkey*7109 % 1400)/100.0::DOUBLE - 7 AS s FROM supplier)""")
@@ -69,6 +69,17 @@ def coast_segment(spark, d):
     return segments(coast_point(spark, d).withColumn("line", F.lit(0)), closed=False).drop("line")
 
 
+#: The latitudes to which the coast is carried on: beyond those of the probes.
+FIELD_SOUTH, FIELD_NORTH = -33.5, -31.5
+
+
+@view("coast_line", f"SELECT a_lon, a_lat, b_lon, b_lat FROM coast_segment UNION ALL SELECT lon, {FIELD_SOUTH}::DOUBLE, lon, lat FROM coast_point WHERE seq = 0 UNION ALL SELECT lon, {FIELD_NORTH}::DOUBLE, lon, lat FROM coast_point WHERE seq = 149")
+def coast_line(spark, d):
+    from tilewright.operators.lines import extended
+
+    return extended(coast_segment(spark, d), FIELD_SOUTH, FIELD_NORTH)
+
+
 @view("ring_point", "SELECT i AS seq, -32.7::DOUBLE + 0.05::DOUBLE*(abs(i % 24 - 12) - 6)/6 AS lat, -71.75::DOUBLE + 0.05::DOUBLE*(abs((i + 6) % 24 - 12) - 6)/6 AS lon FROM range(24) t(i)")
 def ring_point(spark, d):
     return spark.range(24).selectExpr("id AS seq", "-32.7D + 0.05D*(abs(id % 24 - 12) - 6)/6 AS lat", "-71.75D + 0.05D*(abs((id + 6) % 24 - 12) - 6)/6 AS lon")
