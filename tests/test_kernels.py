@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tilewright.functions import colour, grid, mercator
-from tilewright.operators import blocks, fields, lines, quality, raster, strokes
+from tilewright.operators import blocks, catalog, fields, lines, ordered, quality, raster, strokes
 from tilewright.plans import views
 from tilewright.sources import containers, tables, text_jobs
 from tilewright.streaming import downloads
@@ -124,15 +124,119 @@ def test_containers(spark):
         containers.parse_field(f[:-1])
     t = containers.target_file(0, 1, 1, 0, np.ones((2, 3, 3)))
     assert containers.parse_targets(t)["tone"].shape == (2, 3, 3)
-    x = containers.texture_file(b"abc", 8, 0)
-    assert containers.parse_texture(x)["payload"] == b"abc"
-    n = containers.node("list", "a", [containers.node("string", "b", b"xyz", packed=True), containers.node("string", "c", b"")])
-    assert [m["value"] for m in containers.walk(n)] == [None, b"xyz", b""]
-    assert containers.fnv1a64("") == 0xCBF29CE484222325
-    df = spark.createDataFrame([("p", bytearray(n))], "path string, content binary")
-    assert containers.nodes(df).count() == 3
+    x = containers.texture_file(b"abc", 8, containers.L8, 12)
+    got = containers.parse_texture(x)
+    assert (got["payload"], got["stored"], got["level"], got["levels"]) == (b"abc", True, 12, 4)
     h = containers.texture_headers(spark.createDataFrame([("p", bytearray(x))], "path string, content binary")).first()
-    assert (h["width"], h["length"]) == (8, 3)
+    assert (h["width"], h["length"], h["magic"], h["kind"]) == (8, 3, 0x303A, 0)
+    with pytest.raises(ValueError):
+        containers.parse_texture(x[:-1])
+    with pytest.raises(ValueError):
+        containers.parse_texture(b"none")
+
+
+def test_texture_header_by_offset():
+    """The header's fields at the places that the format gives them, of a colour tile and of its mask."""
+    n = 2048
+    assert containers.chain_size(n, n, 12, containers.DXT1) == 2796216 and containers.chain_size(512, 512, 10, containers.L8) == 349525
+    for kind, size, levels, tail in ((10, n, 12, (0xFFFFFFFF, 0xFFFFFFFF)), (0, 512, 10, (0x00FFFFFF, 0))):
+        payload = bytes(containers.chain_size(size, size, levels, kind))
+        data = containers.texture_file(payload, size, kind, 9)
+        at = lambda o: int.from_bytes(data[o : o + 4], "little")  # noqa: E731, B023
+        assert [at(o) for o in range(0, 0x2C, 4)] == [0x303A, 0x100, 9, len(payload), len(payload), size, size, levels, kind, *tail]
+        assert not any(data[0x2C:0x100]) and len(data) == 0x100 + len(payload)
+    coded = containers.chunk(b"coded bytes", 1000)
+    number = lambda o, k: int.from_bytes(coded[o : o + k], "little")
+    assert [number(0, 4), number(4, 4), number(8, 8), number(0x10, 8)] == [0x40, 0xA810BEF4, 1000, 0x40 + 11]
+    assert [number(0x28, 8), number(0x30, 4), number(0x34, 4)] == [0x17F34DF32797945C, 21, 20] and coded[0x40:] == b"coded bytes"
+    got = containers.parse_texture(containers.texture_file(coded, 64, 10, 9, plain=1000))
+    assert (got["stored"], got["coded"], got["chunk_plain"], got["plain"]) == (False, b"coded bytes", 1000, 1000)
+
+
+@given(st.binary(max_size=300), st.booleans())
+def test_landmark_trees(content, deflated):
+    data = containers.tree_file(content, deflated)
+    assert containers.tree_content(data) == content
+    found = containers.walk(data)
+    assert [n["depth"] for n in found] == [0, 1, 2, 2, 2, 2, 2] and len(data) % 8 == 0
+    assert data[8:16].hex() == "c3e386cb206d5fec" and int.from_bytes(data[16:24], "little") == len(data)
+    with pytest.raises(ValueError):
+        containers.tree_content(data.replace(containers.name_hash("SizeCompressed"), bytes(8)))
+
+
+def test_name_hash_closes_with_nul():
+    assert containers.fnv1a64(b"") == 0xCBF29CE484222325
+    assert containers.name_hash("a") == containers.fnv1a64(b"a\0").to_bytes(8, "little")
+
+
+def test_coast_is_carried_on(spark):
+    """Beyond its ends the sides go on, whichever way the coast was drawn; distance knows the added pieces too."""
+    drawn = [(-71.5, -33.0), (-71.4, -32.5), (-71.6, -32.1)]
+    spots = [(-75.0, -31.0), (-75.0, -34.0), (-70.0, -31.0), (-70.0, -34.0), (-75.0, -32.5), (-70.0, -32.5), (-71.51, -33.9), (-71.59, -31.2)]
+    points = spark.createDataFrame([(k, x, y) for k, (x, y) in enumerate(spots)], "k int, lon double, lat double")
+    for pts in (drawn, drawn[::-1]):
+        segs = spark.createDataFrame([(k, *p, *q) for k, (p, q) in enumerate(zip(pts, pts[1:], strict=False))], "seq int, a_lon double, a_lat double, b_lon double, b_lat double")
+        whole = lines.extended(segs, -34.5, -30.5)
+        assert whole.count() == 4 and lines.extended(segs, -32.9, -32.2).count() == 2
+        km = {r["k"]: r["km"] for r in lines.signed(points, ["k"], whole, None, 12.0).collect()}
+        assert [km[k] < 0 for k in range(8)] == [False, False, True, True, False, True, False, True]
+        assert km[6] == pytest.approx(0.01 * lines.KM_EAST * np.cos(np.radians(33.9)), rel=1e-3) and -km[7] < 1.0
+        assert km[0] == 12.0
+
+
+def test_square_verdicts(spark):
+    coast = spark.createDataFrame([(0, -71.5, -33.0, -71.5, -32.0)], "seq int, a_lon double, a_lat double, b_lon double, b_lat double")
+    rows = [("in", -71.6, -71.4, -32.6, -32.4, -5.0, 9.0), ("land", -71.0, -70.9, -32.6, -32.4, -12.0, -12.0), ("sea", -73.0, -72.9, -32.6, -32.4, 12.0, 12.0), ("past", -71.0, -70.9, -32.1, -31.9, -12.0, -12.0)]
+    squares = spark.createDataFrame(rows, "k string, w double, e double, s double, n double, least double, most double")
+    got = {r["k"]: r["verdict"] for r in lines.square_verdicts(squares, coast, None, 5.556).collect()}
+    assert got == {"in": "CUT", "land": "LAND", "sea": "SEA", "past": "OUTSIDE"}
+    got = {r["k"]: r["verdict"] for r in lines.square_verdicts(squares, None, coast, 5.556).collect()}
+    assert got == {"in": "CUT", "land": "FAR", "sea": "FAR", "past": "FAR"}
+
+
+def test_places_are_deduped(spark):
+    """Against the greedy rule over all pairs of a name."""
+    rng = np.random.default_rng(5)
+    rows = [(k, ["Ana", "ana", "Bo"][k % 3], float(rng.uniform(-33.3, -32.7)), float(rng.uniform(-71.2, -70.8)), int(rng.integers(0, 9)), k % 2 == 0) for k in range(200)]
+    got = {r["place_id"] for r in strokes.dedupe_places(spark.createDataFrame(rows, "place_id long, name string, lat double, lon double, population long, division boolean")).collect()}
+    kept = []
+    for r in sorted(rows, key=lambda r: (-r[4], r[5], r[0])):
+        if not any(q[1].lower() == r[1].lower() and np.hypot((r[2] - q[2]) * 111.32, (r[3] - q[3]) * 111.32 * np.cos(np.radians(r[2]))) < 8 for q in kept):
+            kept.append(r)
+    assert got == {r[0] for r in kept} and 5 < len(got) < 190
+
+
+def test_longest_join_of_chained_strokes(spark):
+    rows = [(0, 0, 0, -33.0, -71.0), (0, 0, 1, -33.0, -70.9), (0, 1, 0, -33.0, -70.5), (0, 1, 1, -33.0, -70.85), (1, 2, 0, -20.0, -70.0), (1, 2, 1, -20.0, -69.0)]
+    df = spark.createDataFrame(rows, "line long, stroke long, seq long, lat double, lon double")
+    deg = 111.32 * np.cos(np.radians(33))
+    open_, ring = ({r["line"]: r["gap"] for r in ordered.longest_join(df, rings).collect()} for rings in (False, True))
+    assert open_[0] == pytest.approx(0.05 * deg) and open_[1] == 0
+    assert ring[0] == pytest.approx(0.5 * deg) and ring[1] == pytest.approx(111.32 * np.cos(np.radians(20)))
+
+
+def test_job_of_the_first_folder(spark):
+    paths = ["a/aa.tmc", "zz.tmc", "B/b.TMC"], ["b/a.tmc", "a/c/z.tmc", "A/b/y.tmc"], ["a/b/c/d/x.tmc"], ["q/Z.tmc", "q/a.tmc"]
+    df = spark.createDataFrame([(f"r{k}", p) for k, ps in enumerate(paths) for p in ps], "root string, path string")
+    got = {r["root"]: r["path"] for r in catalog.find_job(df).collect()}
+    assert got == {"r0": "zz.tmc", "r1": "A/b/y.tmc", "r3": "q/a.tmc"}
+
+
+def test_install_plans(spark):
+    names = lambda *xs: spark.createDataFrame([(x,) for x in xs], "name string")
+    plan = lambda *a: sorted(map(tuple, catalog.install_plan(*a).collect()))
+    there = names("map_a.ttc", "old.TTC", "notes.txt")
+    assert plan(names("MAP_A.ttc"), there) == [("copy", "MAP_A.ttc"), ("delete", "old.TTC")]
+    assert plan(names("MAP_A.ttc"), there, 11) == [("copy", "MAP_A.ttc")]
+    assert plan(there.limit(0), there) == []
+
+
+def test_mask_chain():
+    m = np.zeros((8, 8), np.uint8)
+    m[5, 2] = 255
+    data = blocks.mask_chain(m)
+    assert len(data) == containers.chain_size(8, 8, 4, containers.L8)
+    assert data[64 + 2 * 4 + 1] == 255 and data[80 + 1 * 2 + 0] == 255 and data[84] == 255 and sum(data) == 4 * 255
 
 
 def test_jobs_without_regions_raise(spark):
@@ -169,7 +273,7 @@ def test_wand_and_adjust():
     a[5, 5] = 0
     m = blocks.wand(a, 3, 3, 10)
     assert m[5, 5] and m[2, 4] and not m[0, 0]
-    assert (blocks.adjust(a) == a).all() and blocks.enlarge(a, 2).shape == (24, 24, 3)
+    assert (blocks.sharpen(a, 0) == a).all() and blocks.enlarge(a, 2).shape == (24, 24, 3)
 
 
 def test_settings():

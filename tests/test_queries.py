@@ -9,8 +9,6 @@ from tilewright.plans import registry
 from tilewright.session import TABLES
 
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
-#: A third of the queries and the flagship, so that a run stays short.
-SAMPLE = [n for k, n in enumerate(sorted(SQL)) if k % 3 == 0] + [registry.FLAGSHIP]
 
 
 def rounded(rows):
@@ -26,7 +24,7 @@ def duck(sf_dir):
     return con
 
 
-@pytest.mark.parametrize("name", sorted(set(SAMPLE)))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_same_as_sql(spark, sf_dir, duck, name):
     out = duck.execute(SQL[name])
     names = [c[0] for c in out.description]

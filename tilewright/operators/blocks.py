@@ -31,37 +31,61 @@ def halve_covered(have: np.ndarray) -> np.ndarray:
     return a[::2, ::2] + a[1::2, ::2] + a[::2, 1::2] + a[1::2, 1::2] >= 2
 
 
-def encode_bc1(rgb: np.ndarray) -> bytes:
-    """4 x 4 blocks: two 565 ends, the larger first, and 16 two-bit indices; edges are repeated."""
-    h, w = (-(-x // 4) * 4 for x in rgb.shape[:2])
-    a = np.pad(rgb, ((0, h - rgb.shape[0]), (0, w - rgb.shape[1]), (0, 0)), mode="edge").astype(np.int32)
-    a = a.reshape(h // 4, 4, w // 4, 4, 3).transpose(0, 2, 1, 3, 4).reshape(-1, 16, 3)
-    pack = lambda v: (v[:, 0] >> 3) << 11 | (v[:, 1] >> 2) << 5 | v[:, 2] >> 3
-    p, q = pack(a.max(1)), pack(a.min(1))
-    c0, c1 = np.maximum(p, q), np.minimum(p, q)
-    pal = palette(c0, c1)
-    d = ((a[:, :, None] - pal[:, None]) ** 2).sum(3)
-    bits = (d.argmin(2).astype(np.uint32) << (2 * np.arange(16, dtype=np.uint32))).sum(1, dtype=np.uint32)
-    out = np.empty(len(a), np.dtype([("c0", "<u2"), ("c1", "<u2"), ("bits", "<u4")]))
-    out["c0"], out["c1"], out["bits"] = c0, c1, bits
-    return out.tobytes()
+BC1 = np.dtype([("c0", "<u2"), ("c1", "<u2"), ("bits", "<u4")])
+#: Parts, in thirds, of the two ends in each of a block's four colours. Fixed values of the format.
+THIRDS = ((3, 0), (0, 3), (2, 1), (1, 2))
+
+
+def _lanes(rgb: np.ndarray) -> list[np.ndarray]:
+    """A block's 16 texels in order, each as an image of that texel of all blocks."""
+    return [rgb[k // 4 :: 4, k % 4 :: 4].astype(np.int32) for k in range(16)]
+
 
+def _colours(c0: np.ndarray, c1: np.ndarray) -> list[np.ndarray]:
+    """The four colours of blocks whose ends are given in 5, 6 and 5 bits."""
+    ends = []
+    for c in (c0.astype(np.int32), c1.astype(np.int32)):
+        red, green, blue = c >> 11, (c >> 5) & 63, c & 31
+        ends.append(np.stack([red * 8 + red // 4, green * 4 + green // 16, blue * 8 + blue // 4], -1))
+    return [(a * ends[0] + b * ends[1]) // 3 for a, b in THIRDS]
 
-def palette(c0: np.ndarray, c1: np.ndarray) -> np.ndarray:
-    def ends(c):
-        r, g, b = c >> 11 & 31, c >> 5 & 63, c & 31
-        return np.stack([r << 3 | r >> 2, g << 2 | g >> 4, b << 3 | b >> 2], 1)
 
-    e0, e1 = ends(c0), ends(c1)
-    return np.stack([e0, e1, (2 * e0 + e1) // 3, (e0 + 2 * e1) // 3], 1)
+def encode_bc1(rgb: np.ndarray) -> bytes:
+    """4 x 4 blocks: two 565 ends, the larger first, and 16 two-bit indices; edges are repeated."""
+    tall, wide = -rgb.shape[0] % 4, -rgb.shape[1] % 4
+    lanes = _lanes(np.pad(rgb, ((0, tall), (0, wide), (0, 0)), mode="edge"))
+    out = np.zeros(lanes[0].shape[:2], BC1)
+    ends = []
+    for bound in (np.maximum, np.minimum):
+        e = lanes[0]
+        for lane in lanes[1:]:
+            e = bound(e, lane)
+        ends.append((e[..., 0] // 8) * 2048 + (e[..., 1] // 4) * 32 + e[..., 2] // 8)
+    out["c0"], out["c1"] = np.maximum(*ends), np.minimum(*ends)
+    colours = _colours(out["c0"], out["c1"])
+    for k, lane in enumerate(lanes):
+        index, nearest = np.zeros(lane.shape[:2], np.uint32), None
+        for i, colour in enumerate(colours):
+            far = np.square(lane - colour).sum(-1)
+            if nearest is None:
+                nearest = far
+            else:
+                index[far < nearest] = i
+                nearest = np.minimum(nearest, far)
+        out["bits"] |= index << np.uint32(2 * k)
+    return out.tobytes()
 
 
 def decode_bc1(data: bytes, h: int, w: int) -> np.ndarray:
-    b = np.frombuffer(data, np.dtype([("c0", "<u2"), ("c1", "<u2"), ("bits", "<u4")]))
-    index = (b["bits"][:, None] >> (2 * np.arange(16, dtype=np.uint32))) & 3
-    px = np.take_along_axis(palette(b["c0"].astype(np.int32), b["c1"].astype(np.int32)), index[:, :, None].astype(np.int64), 1)
-    bh, bw = -(-h // 4), -(-w // 4)
-    return px.reshape(bh, bw, 4, 4, 3).transpose(0, 2, 1, 3, 4).reshape(bh * 4, bw * 4, 3)[:h, :w].astype(np.uint8)
+    blocks = np.frombuffer(data, BC1).reshape(-(-h // 4), -(-w // 4))
+    colours = _colours(blocks["c0"], blocks["c1"])
+    out = np.empty((4 * blocks.shape[0], 4 * blocks.shape[1], 3), np.uint8)
+    for k in range(16):
+        index = (blocks["bits"] >> np.uint32(2 * k)) & 3
+        for i, colour in enumerate(colours):
+            at = index == i
+            out[k // 4 :: 4, k % 4 :: 4][at] = colour[at]
+    return out[:h, :w]
 
 
 def mip_chain(rgb: np.ndarray) -> bytes:
@@ -73,6 +97,15 @@ def mip_chain(rgb: np.ndarray) -> bytes:
     return b"".join(out)
 
 
+def mask_chain(mask: np.ndarray) -> bytes:
+    """All levels of an 8-bit mask: a texel is the largest of the four below it."""
+    out = [mask.tobytes()]
+    while max(mask.shape) > 1:
+        mask = np.maximum.reduce([mask[y::2, x::2] for y in (0, 1) for x in (0, 1)])
+        out.append(mask.tobytes())
+    return b"".join(out)
+
+
 def parents(tiles: DataFrame, n: int) -> DataFrame:
     """Parents of tiles of n x n pixels: children halved into their quadrants."""
 
@@ -116,7 +149,7 @@ def textures(tiles: DataFrame, n: int) -> DataFrame:
     """Container files of tiles: name kind (tile or tile+mask), texture and mask bytes; tiles without coverage make none."""
 
     def run(batches):
-        from tilewright.sources.containers import texture_file
+        from tilewright.sources.containers import DXT1, L8, texture_file
 
         for pdf in batches:
             rows = []
@@ -128,8 +161,8 @@ def textures(tiles: DataFrame, n: int) -> DataFrame:
                 mask = None
                 if not have.all():
                     pooled = (have.reshape(n // 4, 4, n // 4, 4).any((1, 3)) * np.uint8(255))[::-1]
-                    mask = texture_file(pooled.tobytes(), n // 4, 1)
-                rows.append((r.level, r.tx, r.ty, texture_file(mip_chain(rgb), n, 0), mask))
+                    mask = texture_file(mask_chain(pooled), n // 4, L8, r.level)
+                rows.append((r.level, r.tx, r.ty, texture_file(mip_chain(rgb), n, DXT1, r.level), mask))
             yield type(pdf)(rows, columns=["level", "tx", "ty", "texture", "mask"])
 
     return tiles.mapInPandas(run, "level long, tx long, ty long, texture binary, mask binary")
@@ -171,21 +204,16 @@ def _flood(allowed: np.ndarray, y: int, x: int) -> np.ndarray:
         found = now
 
 
-def adjust(rgb: np.ndarray, brightness: float = 0, contrast: float = 0, saturation: float = 0, sharpen: float = 0) -> np.ndarray:
-    """Image adjustments in their fixed order, each from -100 to 100. The formulas are this engine's own."""
-    a = rgb.astype(np.float32) + 2.55 * brightness
-    a = (a - 127.5) * (1 + contrast / 100) + 127.5
-    grey = a @ np.array([0.299, 0.587, 0.114], np.float32)
-    a = grey[..., None] + (a - grey[..., None]) * (1 + 0.6 * saturation / 100)
-    if sharpen:
-        r = np.arange(-4, 5)
-        k = np.exp(-(r**2) / (2 * 1.5**2))
-        k /= k.sum()
-        p = np.pad(a, ((4, 4), (4, 4), (0, 0)), mode="edge")
-        soft = sum(w * p[i : i + a.shape[0]] for i, w in enumerate(k))
-        soft = sum(w * soft[:, i : i + a.shape[1]] for i, w in enumerate(k))
-        a = a + (a - soft) * sharpen / 100
-    return np.clip(a + 0.5, 0, 255).astype(np.uint8)
+def sharpen(rgb: np.ndarray, amount: float) -> np.ndarray:
+    """Adds `amount` hundredths of what a Gaussian of 1.5 pixels takes away. The formula is this engine's own."""
+    r = np.arange(-4, 5)
+    k = np.exp(-(r**2) / (2 * 1.5**2))
+    k /= k.sum()
+    a = rgb.astype(np.float32)
+    p = np.pad(a, ((4, 4), (4, 4), (0, 0)), mode="edge")
+    soft = sum(w * p[i : i + a.shape[0]] for i, w in enumerate(k))
+    soft = sum(w * soft[:, i : i + a.shape[1]] for i, w in enumerate(k))
+    return np.clip(a + (a - soft) * amount / 100 + 0.5, 0, 255).astype(np.uint8)
 
 
 def enlarge(rgb: np.ndarray, factor: int) -> np.ndarray:

@@ -39,17 +39,27 @@ def squares(names: DataFrame, folder: str = "folder", name: str = "name") -> Dat
 
 
 def find_job(paths: DataFrame, depth: int = 3) -> DataFrame:
-    """Per root the first job file by name within a depth of folders."""
-    t = paths.where((F.size(F.split("path", "/")) <= depth + 1) & F.col("path").endswith(".tmc"))
-    return t.groupBy("root").agg(F.min_by("path", F.struct(F.lower(F.element_at(F.split("path", "/"), -1)), "path")).alias("path"))
+    """Per root the job file of the first folder that has one: a folder before those in it, these by name, down to a depth.
 
-
-def install_plan(built: DataFrame, there: DataFrame) -> DataFrame:
-    """(action, name): delete what is there and not built, copy the rest; an empty build does nothing."""
-    b, t = built.select("name").distinct(), there.select("name").distinct()
+    Of a folder's job files the first by name, whatever its case.
+    """
+    parts = F.split(F.lower("path"), "/")
+    t = paths.where((F.size(parts) <= depth + 1) & F.lower("path").endswith(".tmc"))
+    folder = F.slice(parts, F.lit(1), F.size(parts) - 1)  # arrays are ordered by their parts, a shorter one first
+    return t.groupBy("root").agg(F.min_by("path", F.struct(folder, F.element_at(parts, -1), "path")).alias("path"))
+
+
+def install_plan(built: DataFrame, there: DataFrame, level: int = 9) -> DataFrame:
+    """(action, name): copy what is built; in a folder that a square owns, as only one of level 9 does, first delete
+    the tiles that are there and not built. Names are compared whatever their case; an empty build does nothing."""
+    b = built.select("name").distinct()
+    copies = b.select(F.lit("copy").alias("action"), "name")
+    if level != 9:
+        return copies
+    t = there.select("name").distinct().withColumn("_key", F.lower("name")).where(F.col("_key").endswith(".ttc"))
     some = b.limit(1).select(F.lit(1).alias("_some"))
-    stale = t.join(b, "name", "left_anti").crossJoin(some).select(F.lit("delete").alias("action"), "name")  # one row at most
-    return stale.unionByName(b.select(F.lit("copy").alias("action"), "name"))
+    stale = t.join(b.select(F.lower("name").alias("_key")), "_key", "left_anti").crossJoin(some).select(F.lit("delete").alias("action"), "name")  # one row at most
+    return stale.unionByName(copies)
 
 
 def apply_plan(plan: DataFrame, build_dir: str, install_dir: str) -> DataFrame:

@@ -14,14 +14,23 @@ def coast_column(pixels: DataFrame, land: str, ahead: int = 32, share: float = 0
     return t.groupBy("y").agg(first.alias("x")).select("y", F.when(F.col("x") > 0, F.col("x")).alias("x"))
 
 
-def coverage_edge(pixels: DataFrame, black: str, coast: DataFrame, gap: int = 32) -> DataFrame:
-    """Walking west from the coast the column of the first run of at least `gap` black pixels; null where there is none."""
+def coverage_edge(pixels: DataFrame, black: str, built: str, coast: DataFrame, gap: int = 32) -> DataFrame:
+    """Walking west from the coast: y, the column where coverage ends (x) and whether that was seen (resolved).
+
+    Coverage ends at the first run of at least `gap` black pixels of built data; shorter runs are holes. Where built
+    data end first, the column is the last one built and the row is not resolved. x is null where there is no coast.
+    """
     from tilewright.operators.raster import runs
 
-    r = runs(pixels, black).where(F.col("x1") - F.col("x0") + 1 >= gap)
-    t = coast.withColumnRenamed("x", "_c").join(r, "y", "left").where(F.col("x1").isNull() | (F.col("x1") < F.col("_c")))
-    found = t.groupBy("y").agg(F.max("x1").alias("x"))
-    return coast.select("y").join(found, "y", "left")
+    west = coast.where("x is not null").select("y", F.col("x").alias("_c"))
+    # built data reach from the coast to the nearest column that is not built
+    seen = pixels.select("y", "x", F.col(built).alias("_built"), F.col(black).alias("_black")).join(west, "y").where(F.col("x") < F.col("_c"))
+    edge = seen.groupBy("y").agg(F.coalesce(F.max(F.when(~F.col("_built"), F.col("x"))) + 1, F.lit(0)).alias("_first"))
+    dark = seen.join(edge, "y").where(F.col("x") >= F.col("_first"))
+    found = runs(dark, "_black").where(F.col("x1") - F.col("x0") + 1 >= gap).groupBy("y").agg(F.max("x1").alias("_x1"))
+    out = coast.select("y", "x").withColumnRenamed("x", "_c").join(edge, "y", "left").join(found, "y", "left")
+    x = F.when(F.col("_c").isNull(), None).otherwise(F.coalesce(F.col("_x1") + 1, "_first", F.lit(0)))
+    return out.select("y", x.alias("x"), F.col("_x1").isNotNull().alias("resolved"))
 
 
 def stretches(rows: DataFrame, gap: float = 0.02, least: int = 20) -> DataFrame:
@@ -32,12 +41,18 @@ def stretches(rows: DataFrame, gap: float = 0.02, least: int = 20) -> DataFrame:
     return t.where(F.col("n") >= least)
 
 
-def longest_join(points: DataFrame) -> DataFrame:
-    """Per line the greatest gap between consecutive strokes' ends, in degrees of latitude."""
-    ends = points.groupBy("line", "stroke").agg(F.min_by("lat", "seq").alias("a"), F.max_by("lat", "seq").alias("b"))
-    w = Window.partitionBy("line").orderBy("stroke")
-    t = ends.withColumn("_gap", F.abs(F.col("a") - F.lag("b").over(w)))
-    return t.groupBy("line").agg(F.max("_gap").alias("gap"))
+def longest_join(points: DataFrame, rings: bool = False) -> DataFrame:
+    """Per line the widest gap in kilometres between strokes as they are chained; of rings also that which closes them."""
+    from tilewright.operators.lines import KM_NORTH, _east
+    from tilewright.operators.strokes import chain
+
+    place = lambda pick: pick(F.struct("lat", "lon"), F.col("seq"))
+    ends = chain(points).groupBy("line", "place").agg(place(F.min_by).alias("a"), place(F.max_by).alias("b"))
+    km = lambda p, q: F.sqrt(F.pow((q["lon"] - p["lon"]) * _east((q["lat"] + p["lat"]) / 2), F.lit(2.0)) + F.pow((q["lat"] - p["lat"]) * KM_NORTH, F.lit(2.0)))
+    gaps = ends.withColumn("gap", km(F.lag("b").over(Window.partitionBy("line").orderBy("place")), F.col("a")))
+    out = gaps.groupBy("line").agg(F.max("gap").alias("gap"), F.min_by("a", "place").alias("_first"), F.max_by("b", "place").alias("_last"))
+    gap = F.coalesce("gap", F.lit(0.0))
+    return out.select("line", (F.greatest(gap, km(F.col("_last"), F.col("_first"))) if rings else gap).alias("gap"))
 
 
 def snap_border(pixels: DataFrame, around: int, reach: int = 24, least: float = 4.0) -> DataFrame:

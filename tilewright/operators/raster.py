@@ -20,6 +20,31 @@ def test_pattern(spark: SparkSession, n: int) -> DataFrame:
     )
 
 
+def adjusted(pixels: DataFrame, brightness: int = 0, contrast: int = 0, saturation: float = 0) -> DataFrame:
+    """Brightness and contrast as linear levels (-127 to 127), then saturation (-100 to 100) about the grey of a pixel.
+
+    Brightness moves the range, contrast stretches or narrows it evenly at both ends; results are cut to whole numbers.
+    """
+    clipped = lambda v: F.least(F.greatest(v, F.lit(0.0)), F.lit(255.0))
+
+    def levels(c: str):
+        v = F.col(c).cast("double")
+        if brightness:
+            v = clipped(v + brightness)
+        if contrast > 0:
+            v = F.floor(clipped((v - contrast) * 255.0 / (255 - 2 * contrast)))
+        elif contrast < 0:
+            v = F.floor(clipped(v * (255.0 + 2 * contrast) / 255 - contrast))
+        return v.cast("double")
+
+    out = pixels.select("*", *[levels(c).alias(f"_{c}") for c in "rgb"])
+    if saturation:
+        grey = 0.299 * F.col("_r") + 0.587 * F.col("_g") + 0.114 * F.col("_b")
+        out = out.withColumn("_grey", grey).select("*", *[clipped(F.col("_grey") + (F.col(f"_{c}") - F.col("_grey")) * (1 + 0.6 * saturation / 100)).alias(f"s_{c}") for c in "rgb"])
+        out = out.drop("_r", "_g", "_b", "_grey").withColumnsRenamed({f"s_{c}": f"_{c}" for c in "rgb"})
+    return out.drop("r", "g", "b").select("*", *[F.floor(f"_{c}").alias(c) for c in "rgb"]).drop("_r", "_g", "_b")
+
+
 def halve(pixels: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """2 x 2 box in integers, (sum + 2) div 4; coverage if two of four are covered."""
     keys = keys or []

@@ -80,7 +80,7 @@ def pixel_hash(pixels: DataFrame, keys: list[str]) -> DataFrame:
     return t.select(*keys, F.sha2(F.array_join(F.transform("px", lambda p: p["v"]), ""), 256).alias("sha"))
 
 
-def components(pixels: DataFrame, mask: str, most_rounds: int = 64) -> DataFrame:
+def components(pixels: DataFrame, mask: str) -> DataFrame:
     """4-connected labels: runs of rows are nodes, touching runs of neighbouring rows edges, labels the least node.
 
     Labels spread along edges and by pointer jumping (a run takes the label of the run that its label
@@ -88,19 +88,18 @@ def components(pixels: DataFrame, mask: str, most_rounds: int = 64) -> DataFrame
     """
     from tilewright.operators.raster import runs
 
-    r = runs(pixels, mask).withColumn("id", F.col("y") * 1_000_000 + F.col("x0")).persist()
+    r = runs(pixels, mask).withColumn("id", F.shiftleft(F.col("y").cast("long"), 32) + F.col("x0")).checkpoint()
     a, b = r.alias("a"), r.alias("b")
     e = a.join(b, (F.col("a.y") + 1 == F.col("b.y")) & (F.col("a.x0") <= F.col("b.x1")) & (F.col("b.x0") <= F.col("a.x1"))).select(F.col("a.id").alias("u"), F.col("b.id").alias("v"))
-    e = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).persist()
+    e = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).checkpoint()
     labels = r.select("id", F.col("id").alias("label")).checkpoint()
     before = None
-    for _ in range(most_rounds):
+    while True:
         near = e.join(labels, e["v"] == labels["id"]).groupBy("u").agg(F.min("label").alias("m"))
         labels = labels.join(near, labels["id"] == near["u"], "left").select("id", F.least("label", F.coalesce("m", "label")).alias("label"))
         up = labels.select(F.col("id").alias("label"), F.col("label").alias("m"))
         labels = labels.join(up, "label").select("id", F.least("label", "m").alias("label")).checkpoint()
-        total = labels.agg(F.sum("label")).first()[0]
+        total = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]  # labels only fall
         if total == before:
-            break
+            return r.join(labels, "id").select("y", "x0", "x1", "label")
         before = total
-    return r.join(labels, "id").select("y", "x0", "x1", "label")

@@ -100,19 +100,25 @@ def capture(points: DataFrame, keys: list[str], least: float) -> DataFrame:
 
 
 def dedupe_places(places: DataFrame, km: float = 8.0) -> DataFrame:
-    """Of places of one name the largest; then the next that is not within km of one kept, and so on."""
+    """Of places of one name (whatever its case) the largest, towns before divisions; then the next that is not within km
+    of one kept, and so on.
+
+    Kept places lie in cells, so each place is held against those of a few cells only.
+    """
 
     def run(pdf):
-        pdf = pdf.sort_values(["population", "place_id"], ascending=[False, True])
-        kept: list[int] = []
-        lat, lon = pdf["lat"].to_numpy(), pdf["lon"].to_numpy()
-        for i in range(len(pdf)):
-            x = (lon[kept] - lon[i]) * 111.32 * np.cos(np.radians(lat[i]))
-            if not (np.hypot(x, (lat[kept] - lat[i]) * 111.32) < km).any():
+        pdf = pdf.sort_values(["population", "division", "place_id"], ascending=[False, True, True])
+        kept, cells = [], {}
+        for i, (lat, lon) in enumerate(zip(pdf["lat"], pdf["lon"], strict=True)):
+            east = KM_EAST * np.cos(np.radians(lat))
+            row = int(np.floor(lat * KM_EAST / km))
+            near = (q for r in (row - 1, row, row + 1) for q in cells.get(r, ()))
+            if not any(np.hypot((lon - x) * east, (lat - y) * KM_EAST) < km for y, x in near if abs(lon - x) * east < km):
                 kept.append(i)
-        return pdf.iloc[kept][["place_id", "name", "lat", "lon", "population"]]
+                cells.setdefault(row, []).append((lat, lon))
+        return pdf.iloc[kept][["place_id", "name", "lat", "lon", "population", "division"]]
 
-    t = places.select("place_id", F.lower("name").alias("name"), "lat", "lon", "population")
+    t = places.select("place_id", F.lower("name").alias("name"), "lat", "lon", "population", "division")
     return t.groupBy("name").applyInPandas(run, t.schema)
 
 

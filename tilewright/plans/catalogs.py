@@ -136,16 +136,28 @@ def cat_find_squares(spark, d):
     return catalog.squares(get(spark, d, "catalog_file"))
 
 
-@query("cat_find_tmc", "root v, path v", "SELECT 'r' || p_partkey % 7 AS root, arg_min(p, lower(f) || '|' || p) AS path FROM (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'a/' WHEN 1 THEN 'a/b/' ELSE 'a/b/c/d/' END || f AS p, f FROM (SELECT p_partkey, 'Job' || p_partkey % 50 || '.tmc' AS f FROM part)) WHERE p_partkey % 3 <> 2 GROUP BY 1")
+JOBS = "(SELECT 'r' || p_partkey % 7 AS root, CASE p_partkey % 5 WHEN 0 THEN 'z/' WHEN 1 THEN 'A/b/' WHEN 2 THEN 'a/c/' WHEN 3 THEN 'a/b/c/d/' ELSE CASE WHEN p_partkey % 7 = 3 THEN '' ELSE 'q/r/s/t/u/' END END || 'Job' || p_partkey % 50 || CASE WHEN p_partkey % 2 = 0 THEN '.tmc' ELSE '.TMC' END AS path FROM part)"
+
+
+@query("cat_find_tmc", "root v, path v", f"SELECT root, path FROM (SELECT root, path, row_number() OVER (PARTITION BY root ORDER BY f[:-2], f[-1], path) AS k FROM (SELECT *, string_split(lower(path), '/') AS f FROM {JOBS}) WHERE len(f) <= 4) WHERE k = 1")
 def cat_find_tmc(spark, d):
-    t = table(spark, d, "part").selectExpr("concat('r', p_partkey % 7) AS root", "concat(CASE p_partkey % 3 WHEN 0 THEN 'a/' WHEN 1 THEN 'a/b/' ELSE 'a/b/c/d/' END, 'Job', p_partkey % 50, '.tmc') AS path")
+    t = table(spark, d, "part").selectExpr("concat('r', p_partkey % 7) AS root", "concat(CASE p_partkey % 5 WHEN 0 THEN 'z/' WHEN 1 THEN 'A/b/' WHEN 2 THEN 'a/c/' WHEN 3 THEN 'a/b/c/d/' ELSE CASE WHEN p_partkey % 7 = 3 THEN '' ELSE 'q/r/s/t/u/' END END, 'Job', p_partkey % 50, CASE WHEN p_partkey % 2 = 0 THEN '.tmc' ELSE '.TMC' END) AS path")
     return catalog.find_job(t)
 
 
-@query("snk_install", "action v, name v", "SELECT 'copy' AS action, name FROM (SELECT DISTINCT name FROM catalog_file WHERE p_partkey % 2 = 0) UNION ALL SELECT 'delete', name FROM (SELECT name FROM catalog_file WHERE p_partkey % 3 = 0 EXCEPT SELECT name FROM catalog_file WHERE p_partkey % 2 = 0)")
+THERE = "(SELECT CASE WHEN p_partkey % 4 = 0 THEN upper(name) ELSE name END AS name FROM catalog_file WHERE p_partkey % 3 = 0)"
+
+
+def _there(spark, d):
+    return get(spark, d, "catalog_file").where("p_partkey % 3 = 0").selectExpr("CASE WHEN p_partkey % 4 = 0 THEN upper(name) ELSE name END AS name")
+
+
+@query("snk_install", "level b, action v, name v", f"SELECT l AS level, 'copy' AS action, name FROM (SELECT DISTINCT name FROM catalog_file WHERE p_partkey % 2 = 0) CROSS JOIN (VALUES (9), (11)) v(l) UNION ALL SELECT DISTINCT 9, 'delete', name FROM {THERE} WHERE lower(name) LIKE '%.ttc' AND lower(name) NOT IN (SELECT lower(name) FROM catalog_file WHERE p_partkey % 2 = 0)")
 def snk_install(spark, d):
-    t = get(spark, d, "catalog_file")
-    return catalog.install_plan(t.where("p_partkey % 2 = 0"), t.where("p_partkey % 3 = 0"))
+    """Into a folder of a square's own, and into one that several smaller squares share."""
+    built = get(spark, d, "catalog_file").where("p_partkey % 2 = 0")
+    plans = [catalog.install_plan(built, _there(spark, d), level).withColumn("level", F.lit(level)) for level in (9, 11)]
+    return plans[0].unionByName(plans[1])
 
 
 @query("cat_dup_tiles", "name v, n b", "SELECT name, count(*) AS n FROM catalog_file GROUP BY name HAVING count(*) > 1")
@@ -179,7 +191,7 @@ def cat_landmark_text(spark, d):
     return t.select("place_id", landmark_text("name", "lon", "lat", "kind", "priority", "h").alias("text"))
 
 
-@query("src_ttc", "tile b, width b, levels b, bytes b")
+@query("src_ttc", "tile b, magic b, level b, width b, levels b, kind b, bytes b", "SELECT (3 - y)*4 + x AS tile, 12346 AS magic, 12 AS level, 16 AS width, 5 AS levels, 10 AS kind, (16 + 4 + 1 + 1 + 1)*8 AS bytes FROM range(4) a(x) CROSS JOIN range(4) b(y)")
 def src_ttc(spark, d):
     """Texture files made from the test raster, then read back by their headers."""
     from tilewright.operators import blocks
@@ -187,7 +199,7 @@ def src_ttc(spark, d):
 
     t = get(spark, d, "raster").selectExpr("12L AS level", "x div 16 AS tx", "3 - y div 16 AS ty", "y % 16 AS y", "x % 16 AS x", "r", "g", "b", "have")
     files = blocks.textures(blocks.from_pixels(t, 16), 16).select((F.col("ty") * 4 + F.col("tx")).alias("path"), F.col("texture").alias("content"))
-    return texture_headers(files).selectExpr("path AS tile", "width", "levels", "length AS bytes")
+    return texture_headers(files).selectExpr("path AS tile", "magic", "level", "width", "levels", "kind", "length AS bytes")
 
 
 @query("src_http_tile", "url v, http b")

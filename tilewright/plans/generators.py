@@ -17,9 +17,9 @@ RANGES = f"(SELECT s_suppkey, l AS level, CAST(floor({gx('w', 'l')}) AS BIGINT)
  SELECT s_suppkey, x0, y0, unnest(range(x0, x1 + 1)) AS tile_x, y1, yy AS tile_y FROM (
   SELECT s_suppkey, x0, y0, x1, y1, unnest(range(y0, y1 + 1)) AS yy FROM (SELECT s_suppkey, x0, y0,
    (SELECT min(x) FROM range(0, 1200) r(x) WHERE x > x0 AND {west('x', 10)} >= e) AS x1, (SELECT min(y) FROM range(0, 1200) r(y) WHERE y > y0 AND {north('y', 10)} <= s) AS y1
-   FROM (SELECT *, {MX('w', 10)} AS x0, {m_y('n', 10)} AS y0 FROM geo_box WHERE s_suppkey <= 50))))""")
+   FROM (SELECT *, {MX('w', 10)} AS x0, {m_y('n', 10)} AS y0 FROM geo_box))))""")
 def enum_image_tiles(spark, d):
-    return tiles.image_tiles(get(spark, d, "geo_box").where("s_suppkey <= 50"), 10)
+    return tiles.image_tiles(get(spark, d, "geo_box"), 10)
 
 
 @query("enum_grid_tiles", "s_suppkey b, tx b, ty b", f"SELECT s_suppkey, unnest(range(x0, x1)) AS tx, ty FROM (SELECT *, unnest(range(y0, y1)) AS ty FROM {RANGES} WHERE level = 9)")
@@ -54,13 +54,12 @@ def pixel_centres(spark, d):
     return spark.range(1).select(F.posexplode(F.arrays_zip(lons.alias("lon"), lats.alias("lat"))).alias("i", "p")).select("i", "p.lon", "p.lat")
 
 
-CELLS = f"(SELECT DISTINCT CAST(floor({gx('lon', 4)}) AS BIGINT) AS x, CAST(floor({gy('lat', 4)}) AS BIGINT) AS y FROM geo_point WHERE event_id % 97 = 0)"
+CELLS = f"(SELECT DISTINCT CAST(floor({gx('lon', 9)}) AS BIGINT) AS x, CAST(floor({gy('lat', 9)}) AS BIGINT) AS y FROM geo_point)"
 
 
 @query("empty_neighbours", "x b, y b", f"SELECT DISTINCT c.x + a AS x, c.y + b AS y FROM {CELLS} c CROSS JOIN range(-1, 2) i(a) CROSS JOIN range(-1, 2) j(b) WHERE NOT EXISTS (SELECT 1 FROM {CELLS} o WHERE o.x = c.x + a AND o.y = c.y + b)")
 def empty_neighbours(spark, d):
-    t = get(spark, d, "geo_point").where("event_id % 97 = 0")
-    return tiles.empty_neighbours(t.select(grid.tile_x("lon", 4).alias("x"), grid.tile_y("lat", 4).alias("y")))
+    return tiles.empty_neighbours(get(spark, d, "geo_point").select(grid.tile_x("lon", 9).alias("x"), grid.tile_y("lat", 9).alias("y")))
 
 
 @query("test_pattern", "y b, x b, r b, g b, b b, have l", "SELECT * FROM raster")

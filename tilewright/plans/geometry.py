@@ -125,12 +125,30 @@ def geo_edge_alpha(spark, d):
     return edge_alpha(t, ["i", "j"], cells, 111.32 * 0.1, 110.57 * 0.1, 8.0, 4)
 
 
-@query("geo_place_filter", "place_id b, height d", "SELECT place_id, CASE WHEN kind = 1 THEN population/10.0::DOUBLE WHEN lat*20 BETWEEN -400 AND 7000 THEN lat*20 ELSE 0 END + 50 AS height FROM place WHERE kind = 0 OR population > 500")
+# every pairing of class and code, names with and without the prefix, heights in and out of range and none
+PLACE_CODES = ("ADM3", "ADM2", "PPL", "PPLA", "PPLA2", "PPLA3", "PPLA4", "PPLC", "PPLL", "PPLX", "PPLQ")
+GAZETTEER = f"""(SELECT place_id, CASE WHEN place_id % 4 = 0 THEN 'A' WHEN place_id % 13 = 0 THEN 'S' ELSE 'P' END AS feature_class, [{", ".join(f"'{c}'" for c in PLACE_CODES)}][1 + place_id % 11] AS feature_code,
+ CASE place_id % 3 WHEN 0 THEN 'Comuna de ' WHEN 1 THEN 'Comuna ' ELSE '' END || name AS name, CASE WHEN place_id % 5 < 2 THEN 0 ELSE population END AS population,
+ CASE place_id % 7 WHEN 0 THEN CAST(place_id % 9000 AS VARCHAR) WHEN 1 THEN '12.5' WHEN 2 THEN '8000' ELSE '' END AS elevation, CASE WHEN place_id % 6 = 0 THEN '-9999' ELSE CAST(place_id % 500 - 450 AS VARCHAR) END AS dem FROM place)"""
+
+
+@query("geo_place_filter", "place_id b, name v, height d", f"""SELECT place_id, CASE WHEN feature_class = 'A' AND name LIKE 'Comuna de %' THEN substr(name, 11) WHEN feature_class = 'A' AND name LIKE 'Comuna %' THEN substr(name, 8) ELSE name END AS name,
+ 50 + CASE WHEN place_id % 7 = 0 AND place_id % 9000 <= 7000 THEN place_id % 9000 WHEN place_id % 6 <> 0 AND place_id % 500 - 450 >= -400 THEN place_id % 500 - 450 ELSE 0 END AS height
+ FROM {GAZETTEER} WHERE (feature_class = 'A' AND feature_code = 'ADM3') OR (feature_class = 'P' AND feature_code LIKE 'PPL%' AND feature_code NOT IN ('PPLA4', 'PPLQ') AND (population > 0 OR feature_code IN ('PPLC', 'PPLA', 'PPLA2', 'PPLA3')))""")
 def geo_place_filter(spark, d):
     from tilewright.operators.places import filtered
 
-    t = get(spark, d, "place").select("place_id", F.when(F.col("kind") == 0, "A").otherwise("P").alias("feature_class"), F.when(F.col("kind") == 0, "ADM3").otherwise("PPL").alias("feature_code"), "population", F.when(F.col("kind") == 1, F.col("population") / 10.0).cast("string").alias("elevation"), (F.col("lat") * 20).cast("string").alias("dem"))
-    return filtered(t, 500).select("place_id", "height")
+    codes = F.array(*[F.lit(c) for c in PLACE_CODES])
+    t = get(spark, d, "place").select(
+        "place_id",
+        F.expr("CASE WHEN place_id % 4 = 0 THEN 'A' WHEN place_id % 13 = 0 THEN 'S' ELSE 'P' END").alias("feature_class"),
+        F.element_at(codes, (F.col("place_id") % 11 + 1).cast("int")).alias("feature_code"),
+        F.expr("concat(CASE place_id % 3 WHEN 0 THEN 'Comuna de ' WHEN 1 THEN 'Comuna ' ELSE '' END, name)").alias("name"),
+        F.expr("CASE WHEN place_id % 5 < 2 THEN 0 ELSE population END").alias("population"),
+        F.expr("CASE place_id % 7 WHEN 0 THEN CAST(place_id % 9000 AS STRING) WHEN 1 THEN '12.5' WHEN 2 THEN '8000' ELSE '' END").alias("elevation"),
+        F.expr("CASE WHEN place_id % 6 = 0 THEN '-9999' ELSE CAST(place_id % 500 - 450 AS STRING) END").alias("dem"),
+    )
+    return filtered(t).select("place_id", "name", "height")
 
 
 @query("geo_chain", "line b, place b, stroke b, flipped l, seq b, lat d, lon d")
@@ -157,4 +175,6 @@ def geo_capture(spark, d):
 
 @query("geo_dedupe_places", "place_id b, name v, population b")
 def geo_dedupe_places(spark, d):
-    return strokes.dedupe_places(get(spark, d, "place"), 800.0)
+    """Towns and divisions of forty names, some tens of kilometres apart."""
+    near = get(spark, d, "place").selectExpr("place_id", "name", "place_id % 40 * 0.5D - 71 + lon % 1 * 0.2D AS lon", "lat % 1 * 0.2D - 33 AS lat", "population div 1000 AS population", "kind = 0 AS division")
+    return strokes.dedupe_places(near)

@@ -63,10 +63,10 @@ def join_nearest_field(spark, d):
     return fields.nearest(_places(spark, d), _field(spark, d), ["event_id"], 64, 64)
 
 
-@query("join_field_range", "event_id b, least d, most d", f"""SELECT event_id, min(v) AS least, max(v) AS most FROM (SELECT *, fi + 3 AS fi2, fj + 2 AS fj2 FROM {PLACES} WHERE event_id % 9 = 0) p JOIN {FIELD} f
+@query("join_field_range", "event_id b, least d, most d", f"""SELECT event_id, min(v) AS least, max(v) AS most FROM (SELECT *, fi + 3 AS fi2, fj + 2 AS fj2 FROM {PLACES}) p JOIN {FIELD} f
  ON f.i BETWEEN least(greatest(floor(fi), 0), 63) AND least(greatest(floor(fi2) + 1, 0), 63) AND f.j BETWEEN least(greatest(floor(fj), 0), 63) AND least(greatest(floor(fj2) + 1, 0), 63) GROUP BY event_id""")
 def join_field_range(spark, d):
-    b = _places(spark, d).where("event_id % 9 = 0").select("event_id", F.col("fi").alias("i0"), (F.col("fi") + 3).alias("i1"), F.col("fj").alias("j0"), (F.col("fj") + 2).alias("j1"))
+    b = _places(spark, d).select("event_id", F.col("fi").alias("i0"), (F.col("fi") + 3).alias("i1"), F.col("fj").alias("j0"), (F.col("fj") + 2).alias("j1"))
     return fields.range_under(b, _field(spark, d), ["event_id"], "v", 64, 64)
 
 
@@ -126,10 +126,10 @@ def join_missing(spark, d):
     return plan(t.select("o_orderkey"), images, meta, ["o_orderkey"])
 
 
-@query("join_fill_parent", "event_id b, parent v, ox b, oy b", f"SELECT event_id, left({quadkey('x', 'y', 12)}, 9) AS parent, x % 8 AS ox, y % 8 AS oy FROM (SELECT event_id, {MX('lon', 12)} AS x, {m_y('lat', 12)} AS y FROM geo_point WHERE event_id % 3 = 0)")
+@query("join_fill_parent", "event_id b, parent v, ox b, oy b", f"SELECT event_id, left({quadkey('x', 'y', 12)}, 9) AS parent, x % 8 AS ox, y % 8 AS oy FROM (SELECT event_id, {MX('lon', 12)} AS x, {m_y('lat', 12)} AS y FROM geo_point)")
 def join_fill_parent(spark, d):
     x, y = mercator.tile_xy("lon", "lat", 12)
-    t = get(spark, d, "geo_point").where("event_id % 3 = 0").select("event_id", x.alias("x"), y.alias("y"))
+    t = get(spark, d, "geo_point").select("event_id", x.alias("x"), y.alias("y"))
     t = t.withColumn("parent", mercator.parent_key(mercator.quadkey("x", "y", 12), 3))
     fetched = t.select("parent").distinct()  # each parent is fetched once
     return t.join(fetched, "parent").select("event_id", "parent", F.col("x").bitwiseAND(7).alias("ox"), F.col("y").bitwiseAND(7).alias("oy"))

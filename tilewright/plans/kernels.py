@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from tilewright.operators.raster import adjusted
 from tilewright.plans.registry import query
 from tilewright.plans.views import get
 
@@ -39,20 +40,35 @@ def _mapped(spark, d, f, schema: str):
 
 
 RGB = "y long, x long, r long, g long, b long"
-ADJUST = {"img_brightness": {"brightness": 20}, "img_contrast": {"contrast": 30}, "img_saturation": {"saturation": 50}, "img_sharpen": {"sharpen": 60}}
+CLIP = "least(greatest({0}, 0.0::DOUBLE), 255.0::DOUBLE)".format
+EACH = lambda f: ", ".join(f"{f(c)} AS {c}" for c in "rgb")
 
 
-def _adjusted(name: str, options: dict):
-    def f(spark, d):
-        from tilewright.operators import blocks
+@query("img_brightness", "y b, x b, r b, g b, b b", f"SELECT y, x, {EACH(lambda c: f'least({c} + 20, 255)')} FROM raster")
+def img_brightness(spark, d):
+    return adjusted(get(spark, d, "raster"), brightness=20)
 
-        return _mapped(spark, d, lambda px: _pixels(blocks.adjust(_rgb(px), **options)), RGB)
 
-    query(name, "y b, x b, r b, g b, b b")(f)
+@query("img_contrast", "y b, x b, r b, g b, b b", f"SELECT y, x, {EACH(lambda c: f'floor({CLIP(f"({c} - 30)*255.0::DOUBLE/195")})')} FROM raster")
+def img_contrast(spark, d):
+    return adjusted(get(spark, d, "raster"), contrast=30)
 
 
-for _name, _options in ADJUST.items():
-    _adjusted(_name, _options)
+@query("img_contrast_less", "y b, x b, r b, g b, b b", f"SELECT y, x, {EACH(lambda c: f'floor({CLIP(f"{c}*195.0::DOUBLE/255 + 30")})')} FROM raster")
+def img_contrast_less(spark, d):
+    return adjusted(get(spark, d, "raster"), contrast=-30)
+
+
+@query("img_saturation", "y b, x b, r b, g b, b b", f"SELECT y, x, {EACH(lambda c: f'floor({CLIP(f"grey + ({c} - grey)*1.3::DOUBLE")})')} FROM (SELECT *, 0.299::DOUBLE*r + 0.587::DOUBLE*g + 0.114::DOUBLE*b AS grey FROM raster)")
+def img_saturation(spark, d):
+    return adjusted(get(spark, d, "raster"), saturation=50)
+
+
+@query("img_sharpen", "y b, x b, r b, g b, b b")
+def img_sharpen(spark, d):
+    from tilewright.operators import blocks
+
+    return _mapped(spark, d, lambda px: _pixels(blocks.sharpen(_rgb(px), 60)), RGB)
 
 
 @query("img_levels", "y b, x b, r b", "SELECT y, x, CAST(floor(least(greatest((r - 20)*255.0::DOUBLE/(235 - 20), 0), 255) + 0.5) AS BIGINT) AS r FROM raster")
@@ -65,7 +81,7 @@ def img_levels(spark, d):
 def img_enlarge(spark, d):
     from tilewright.operators import blocks
 
-    return _mapped(spark, d, lambda px: _pixels(blocks.enlarge(_rgb(px)[:16, :16], 4)), RGB)
+    return _mapped(spark, d, lambda px: _pixels(blocks.enlarge(_rgb(px), 4)), RGB)
 
 
 @query("img_wand", "y b, x b, v b")
@@ -158,19 +174,22 @@ def img_preview(spark, d):
     return _mapped(spark, d, f, "bytes long, crc long")
 
 
-@query("src_tft", "place v, depth b, name v")
+@query("src_tft", "place v, depth b, kind v, name v", """SELECT n_name || p AS place, d AS depth, k AS kind, n AS name FROM nation CROSS JOIN (VALUES
+ ('/0', 0, 'b5fe24c7b73cebb7', 'c3e386cb206d5fec'), ('/0.0', 1, 'b5fe24c7b73cebb7', 'ce25086b845bd426'),
+ ('/0.0.0', 2, 'bc628ed22a7082f3', 'SizeUncompressed'), ('/0.0.1', 2, 'bc628ed22a7082f3', 'SizeCompressed'), ('/0.0.2', 2, '9e8caf8498703ec2', 'ChecksumUncompressed'),
+ ('/0.0.3', 2, '9e8caf8498703ec2', 'ChecksumCompressed'), ('/0.0.4', 2, '9e76560202020202', 'Compressed')) t(p, d, k, n)""")
 def src_tft(spark, d):
-    """Node trees, one per nation, built and walked again."""
+    """Landmark trees, one per nation, built, walked again, and told by the names of their fields where these are known."""
     from tilewright.session import table
     from tilewright.sources import containers
 
     def run(batches):
         for pdf in batches:
-            made = [bytes(containers.node("list", "nation", [containers.node("string", n, n.encode(), packed=k % 2 == 1), containers.node("int", "key", bytes([k]))])) for k, n in zip(pdf["n_nationkey"], pdf["n_name"], strict=True)]
-            yield pdf[["n_name"]].rename(columns={"n_name": "path"}).assign(content=made)
+            yield pdf.rename(columns={"n_name": "path"}).assign(content=[containers.tree_file(n.encode() * 40) for n in pdf["n_name"]])
 
-    files = table(spark, d, "nation").select("n_nationkey", "n_name").mapInPandas(run, "path string, content binary")
-    return containers.nodes(files)
+    known = F.create_map(*[F.lit(x) for n in containers.TREE_FIELDS for x in (containers.name_hash(n).hex(), n)])
+    t = containers.nodes(table(spark, d, "nation").select("n_name").mapInPandas(run, "path string, content binary"))
+    return t.select(F.concat_ws("/", "path", "place").alias("place"), "depth", "kind", F.coalesce(known[F.col("name")], "name").alias("name"))
 
 
 @query("src_awfx", "s_suppkey b, size b, w d, mean d")

@@ -27,10 +27,10 @@ def set_diff_lakes(spark, d):
     return _sides(spark, d).where("coast AND NOT ring")
 
 
-@query("set_diff_install", "name v", "SELECT name FROM (SELECT name FROM catalog_file WHERE p_partkey % 4 <> 0 EXCEPT SELECT name FROM catalog_file WHERE p_partkey % 3 = 0)")
+@query("set_diff_install", "name v", "SELECT DISTINCT name FROM catalog_file WHERE p_partkey % 4 <> 0 AND lower(name) LIKE '%.ttc' AND lower(name) NOT IN (SELECT lower(name) FROM catalog_file WHERE p_partkey % 3 = 0)")
 def set_diff_install(spark, d):
     t = get(spark, d, "catalog_file")
-    return t.where("p_partkey % 4 <> 0").select("name").distinct().join(t.where("p_partkey % 3 = 0").select("name"), "name", "left_anti")
+    return catalog.install_plan(t.where("p_partkey % 3 = 0"), t.where("p_partkey % 4 <> 0")).where("action = 'delete'").select("name")
 
 
 @query("set_diff_names", "name v", "SELECT DISTINCT folder || '_x' AS name FROM catalog_file WHERE p_partkey % 2 = 0 EXCEPT SELECT folder || '_x' FROM catalog_file WHERE p_partkey % 22 < 9")

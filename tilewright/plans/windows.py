@@ -56,10 +56,16 @@ def win_coast_column(spark, d):
     return ordered.coast_column(_land(spark, d), "land", 8)
 
 
-@query("win_coverage_edge", "y b, x b", f"SELECT c.y, max(r.x1) AS x FROM {COAST} c LEFT JOIN (SELECT y, min(x) AS x0, max(x) AS x1 FROM (SELECT y, x, x - row_number() OVER (PARTITION BY y ORDER BY x) AS g FROM raster WHERE x < 4 + y % 9 OR (x BETWEEN 12 AND 14)) GROUP BY y, g HAVING max(x) - min(x) + 1 >= 6) r ON r.y = c.y AND r.x1 < c.x GROUP BY c.y")
+BUILT = "NOT (y % 5 = 0 AND x = 11 + y % 7)"
+BLACK = "x < 4 + y % 9 OR (x BETWEEN 12 AND 14)"
+
+
+@query("win_coverage_edge", "y b, x b, resolved l", f"""SELECT c.y, CASE WHEN c.x IS NOT NULL THEN coalesce(r.x1 + 1, f.first, 0) END AS x, r.x1 IS NOT NULL AS resolved FROM {COAST} c LEFT JOIN f USING (y)
+ LEFT JOIN (SELECT y, max(x1) AS x1 FROM (SELECT y, max(x) AS x1 FROM (SELECT y, x, x - row_number() OVER (PARTITION BY y ORDER BY x) AS g FROM p JOIN f USING (y) WHERE x >= first AND black) GROUP BY y, g HAVING count(*) >= 6) GROUP BY y) r USING (y)""",
+       f"p AS (SELECT r.y, r.x, {BLACK.replace('x', 'r.x').replace('y', 'r.y')} AS black, {BUILT.replace('x', 'r.x').replace('y', 'r.y')} AS built FROM raster r JOIN {COAST} c ON c.y = r.y AND r.x < c.x), f AS (SELECT y, coalesce(max(x) FILTER (WHERE NOT built) + 1, 0) AS first FROM p GROUP BY y)")
 def win_coverage_edge(spark, d):
-    t = get(spark, d, "raster").withColumn("black", F.expr("x < 4 + y % 9 OR x BETWEEN 12 AND 14"))
-    return ordered.coverage_edge(t, "black", ordered.coast_column(_land(spark, d), "land", 8), 6)
+    t = get(spark, d, "raster").withColumn("black", F.expr(BLACK)).withColumn("built", F.expr(BUILT))
+    return ordered.coverage_edge(t, "black", "built", ordered.coast_column(_land(spark, d), "land", 8), 6)
 
 
 @query("win_stretches", "line b, part b, n b, lo d, hi d, lon d", """SELECT line, part, count(*) AS n, min(lat) AS lo, max(lat) AS hi, (SELECT m FROM (SELECT lon AS m, count(*) AS c FROM s i WHERE i.line = s.line AND i.part = s.part GROUP BY lon ORDER BY c DESC, m LIMIT 1)) AS lon FROM s GROUP BY line, part HAVING count(*) >= 20""",
@@ -75,9 +81,10 @@ def win_segments(spark, d):
     return a.withColumn("ring", F.lit(0)).unionByName(b.withColumn("ring", F.lit(1)))
 
 
-@query("win_longest_join", "line b, gap d", "SELECT line, max(g) AS gap FROM (SELECT line, abs(a - lag(b) OVER (PARTITION BY line ORDER BY stroke)) AS g FROM (SELECT stroke % 5 AS line, stroke, arg_min(lat, seq) AS a, arg_max(lat, seq) AS b FROM stroke_point GROUP BY stroke)) GROUP BY line")
+@query("win_longest_join", "line b, ring l, gap d")
 def win_longest_join(spark, d):
-    return ordered.longest_join(get(spark, d, "stroke_point").withColumn("line", F.col("stroke") % 5))
+    t = get(spark, d, "stroke_point").withColumn("line", F.col("stroke") % 5)
+    return ordered.longest_join(t).withColumn("ring", F.lit(False)).unionByName(ordered.longest_join(t, rings=True).withColumn("ring", F.lit(True)))
 
 
 MORPH = "(SELECT t.y, t.x, {f}(s.have) AS have FROM {src} t JOIN {src} s ON abs(s.y - t.y) <= {r} AND abs(s.x - t.x) <= {r} GROUP BY t.y, t.x)".format
