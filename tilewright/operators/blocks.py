@@ -176,34 +176,6 @@ def png(rgb: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
 
 
-def wand(rgb: np.ndarray, y: int, x: int, tolerance: float) -> np.ndarray:
-    """Pixels 4-connected to a seed within a colour distance, holes filled, grown by one pixel."""
-    like = np.sqrt(((rgb.astype(np.float32) - rgb[y, x]) ** 2).sum(2)) <= tolerance
-    found = _flood(like, y, x)
-    outside = np.zeros(np.array(like.shape) + 2, bool)
-    outside[1:-1, 1:-1] = found
-    return _cross(~_flood(~outside, 0, 0)[1:-1, 1:-1])
-
-
-def _cross(m: np.ndarray) -> np.ndarray:
-    out = m.copy()
-    out[1:] |= m[:-1]
-    out[:-1] |= m[1:]
-    out[:, 1:] |= m[:, :-1]
-    out[:, :-1] |= m[:, 1:]
-    return out
-
-
-def _flood(allowed: np.ndarray, y: int, x: int) -> np.ndarray:
-    found = np.zeros(allowed.shape, bool)
-    found[y, x] = allowed[y, x]
-    while True:
-        now = _cross(found) & allowed
-        if (now == found).all():
-            return found
-        found = now
-
-
 def sharpen(rgb: np.ndarray, amount: float) -> np.ndarray:
     """Adds `amount` hundredths of what a Gaussian of 1.5 pixels takes away. The formula is this engine's own."""
     r = np.arange(-4, 5)

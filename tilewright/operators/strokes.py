@@ -1,4 +1,4 @@
-"""Sequential line operators: chaining, thinning, capturing, dedupe, offset contours.
+"""Sequential line operators: chaining, thinning, capturing, dedupe.
 
 Each works on one line's points in order, which is of the size of a drawing, in one Arrow-batched
 group function; lines are independent of each other and spread over the cluster.
@@ -120,35 +120,3 @@ def dedupe_places(places: DataFrame, km: float = 8.0) -> DataFrame:
 
     t = places.select("place_id", F.lower("name").alias("name"), "lat", "lon", "population", "division")
     return t.groupBy("name").applyInPandas(run, t.schema)
-
-
-def offset_points(segments: DataFrame, margin_km: float, keys: list[str], arc: float = 15.0, keep: float = 0.999) -> DataFrame:
-    """The cut line as points at a margin to the left of segments: both ends of every offset segment and
-    arcs about its end, without those that lie nearer than `keep` of the margin to any segment of the line."""
-
-    def run(pdf):
-        import pandas as pd
-
-        lat0 = float(pdf["a_lat"].mean())
-        kx = KM_EAST * np.cos(np.radians(lat0))
-        a = np.stack([pdf["a_lon"] * kx, pdf["a_lat"] * KM_NORTH], 1)
-        b = np.stack([pdf["b_lon"] * kx, pdf["b_lat"] * KM_NORTH], 1)
-        d = b - a
-        n = np.hypot(*d.T)
-        normal = np.stack([-d[:, 1], d[:, 0]], 1) / np.maximum(n, 1e-12)[:, None]
-        turn = np.radians(np.arange(-90, 91, arc))
-        base = np.arctan2(normal[:, 1], normal[:, 0])
-        around = b[:, None] + margin_km * np.stack([np.cos(base[:, None] + turn), np.sin(base[:, None] + turn)], 2)
-        found = np.concatenate([a + margin_km * normal, b + margin_km * normal, around.reshape(-1, 2)])
-        ok = np.ones(len(found), bool)
-        for k in range(0, len(found), 512):
-            p = found[k : k + 512, None] - a
-            t = np.clip((p * d).sum(2) / np.maximum(n * n, 1e-12), 0, 1)
-            ok[k : k + 512] = np.hypot(*np.moveaxis(p - t[..., None] * d, 2, 0)).min(1) >= keep * margin_km
-        found = found[ok]
-        out = pd.DataFrame({"lon": found[:, 0] / kx, "lat": found[:, 1] / KM_NORTH})
-        return out.assign(**{k: pdf[k].iloc[0] for k in keys})[[*keys, "lat", "lon"]]
-
-    head = segments.select(*keys).schema
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in head) + ", lat double, lon double"
-    return segments.groupBy(*keys).applyInPandas(run, schema)

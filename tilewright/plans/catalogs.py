@@ -202,11 +202,31 @@ def src_ttc(spark, d):
     return texture_headers(files).selectExpr("path AS tile", "magic", "level", "width", "levels", "kind", "length AS bytes")
 
 
-@query("src_http_tile", "url v, http b")
+def _answers(url: str, headers: dict) -> fetch.Answer:
+    """A source that answers by a tile's place: not there, zipped image, page, fault, image that stands for no tile."""
+    import gzip
+
+    x, y = (int(k) for k in url.split("/")[-2:])
+    image = bytes.fromhex("89504E470D0A1A0A") + x.to_bytes(4, "big") + y.to_bytes(4, "big")
+    return [
+        (404, {}, b"not here"),
+        (200, {"Content-Encoding": "gzip"}, gzip.compress(image)),
+        (200, {}, b"<html>come again</html>"),
+        (503, {}, None),
+        (200, {"X-VE-Tile-Info": "no-tile"}, image),
+    ][(x + y) % 5]
+
+
+@query("src_http_tile", "url v, http b, attempts b, status v, bytes b", """SELECT printf('made://%s/%d/%d', source, tile_x, tile_y) AS url, CASE k WHEN 0 THEN 404 WHEN 3 THEN 503 ELSE 200 END AS http,
+ CASE WHEN k NOT IN (0, 3) THEN 1 WHEN source = 'ArcGIS' THEN 7 WHEN source = 'US_USGS' THEN 3 ELSE 1 END AS attempts, CASE k WHEN 1 THEN 'saved' WHEN 2 THEN 'not_image' WHEN 3 THEN 'failed' ELSE 'unavailable' END AS status,
+ CASE k WHEN 0 THEN 8 WHEN 2 THEN 23 WHEN 3 THEN 0 ELSE 16 END AS bytes
+FROM (SELECT DISTINCT tile_x, tile_y, (tile_x + tile_y) % 5 AS k, CASE tile_x % 3 WHEN 0 THEN 'Bing' WHEN 1 THEN 'US_USGS' ELSE 'ArcGIS' END AS source FROM tile_image)""")
 def src_http_tile(spark, d):
-    """The fetch stage over its file source: here files that are not there, so the status is 404."""
-    urls = get(spark, d, "tile_image").select(F.format_string("file:///no/such/%d/%d.png", "tile_x", "tile_y").alias("url")).distinct()
-    return fetch.fetched(urls, fetch.file_source).select("url", "http")
+    """The fetch stage over a source made for it: unzipped, asked again by the source's rule, told what became of it."""
+    t = get(spark, d, "tile_image").select("tile_x", "tile_y", F.expr("CASE tile_x % 3 WHEN 0 THEN 'Bing' WHEN 1 THEN 'US_USGS' ELSE 'ArcGIS' END").alias("source")).distinct()
+    t = fetch.fetched(t.select("source", F.format_string("made://%s/%d/%d", "source", "tile_x", "tile_y").alias("url")), _answers, retries=2)
+    told = fetch.status("http", "no_tile", fetch.sniff("content").isNotNull())
+    return t.select("url", "http", "attempts", told.alias("status"), F.coalesce(F.octet_length("content"), F.lit(0)).alias("bytes"))
 
 
 @query("src_image_tile", "key v, n d, w d", "SELECT DISTINCT printf('src_16_%d_%d', tile_x, tile_y) AS key, 90 - 360*atan(exp(-(0.5::DOUBLE - tile_y/65536.0::DOUBLE)*2*pi()))/pi() AS n, tile_x/65536.0::DOUBLE*360 - 180 AS w FROM tile_image")

@@ -161,9 +161,14 @@ def geo_simplify(spark, d):
     return strokes.simplify(get(spark, d, "stroke_point"), 30.0, ["stroke"])
 
 
-@query("geo_cut_line", "line b, lat d, lon d")
+@query("geo_cut_line", "file b, piece b, seq b, lat d, lon d")
 def geo_cut_line(spark, d):
-    return strokes.offset_points(get(spark, d, "coast_segment").withColumn("line", F.lit(0)), lines.MARGIN_KM, ["line"])
+    """The cut of a file with the coast, whose sea lies to the left going north, and one island."""
+    from tilewright.operators.cutlines import cut_lines
+
+    coast = get(spark, d, "coast_point").selectExpr("0L AS file", "0L AS line", "'left' AS sea", "seq", "lat", "lon")
+    island = get(spark, d, "ring_point").selectExpr("0L AS file", "1L AS line", "CAST(NULL AS STRING) AS sea", "seq", "lat", "lon")
+    return cut_lines(coast.unionByName(island), lines.MARGIN_KM)
 
 
 @query("geo_capture", "stroke b, seq b, x d, y d", """SELECT stroke, seq, x, y FROM c WHERE took""", """RECURSIVE p AS (SELECT stroke, seq, CAST(floor((lon + 72)*10) AS DOUBLE) AS x, CAST(floor((lat + 34)*10) AS DOUBLE) AS y FROM stroke_point), c AS (SELECT stroke, seq, x, y, true AS took, x AS lx, y AS ly FROM p WHERE seq = 0 UNION ALL

@@ -84,11 +84,19 @@ def img_enlarge(spark, d):
     return _mapped(spark, d, lambda px: _pixels(blocks.enlarge(_rgb(px), 4)), RGB)
 
 
+def _patches(px) -> tuple:
+    """The test raster's colours, its land, and what clicks into its quarters take."""
+    from tilewright.operators import labels
+
+    a, have = _rgb(px), np.array([p["have"] for p in px]).reshape(64, 64)
+    sea = (a[..., 2] > 150) & (a[..., 0] < 60)
+    clicks = [(8, 8, 40.0), (48, 16, 20.0), (36, 36, 60.0), (44, 44, 60.0), (10, 10, 40.0)]
+    return a, have & ~sea, [labels.wand(a, have, x, y, tolerance) for x, y, tolerance in clicks]
+
+
 @query("img_wand", "y b, x b, v b")
 def img_wand(spark, d):
-    from tilewright.operators import blocks
-
-    return _mapped(spark, d, lambda px: _pixels(blocks.wand(_rgb(px), 40, 40, 60.0).astype(np.uint8)), "y long, x long, v long").where("v > 0")
+    return _mapped(spark, d, lambda px: _pixels(_patches(px)[2][0].astype(np.uint8)), "y long, x long, v long").where("v > 0")
 
 
 @query("img_labels", "label b, pixels b")
@@ -96,9 +104,8 @@ def img_labels(spark, d):
     from tilewright.operators import labels
 
     def f(px):
-        a = _rgb(px).astype(int)
-        like = [a[..., 0] < 60, a[..., 1] > 150, a[..., 2] > 190]
-        return _pixels(labels.patches(like, a[..., 2] > a[..., 0] + 150, 2)[..., None])
+        a, land, masks = _patches(px)
+        return _pixels(labels.patches(masks, land, a)[..., None])
 
     return _mapped(spark, d, f, "y long, x long, v long").where("v > 0").groupBy(F.col("v").alias("label")).agg(F.count(F.lit(1)).alias("pixels"))
 
@@ -107,7 +114,7 @@ def img_labels(spark, d):
 def img_prune(spark, d):
     from tilewright.operators import labels
 
-    return _mapped(spark, d, lambda px: _pixels(labels.patches([_rgb(px)[..., 1] > 150], np.zeros((64, 64), bool), 1)[..., None]), "y long, x long, v long").where("v > 0")
+    return _mapped(spark, d, lambda px: _pixels(labels.pruned((_rgb(px)[..., 1] < 125).astype(np.int32), np.ones((64, 64), bool), _rgb(px))[..., None]), "y long, x long, v long").where("v > 0")
 
 
 @query("img_water_bodies", "body b, pixels b")
