@@ -220,3 +220,36 @@ def test_http_source_on_this_machine(spark):
     got = sorted((r["http"], r["kind"]) for r in t.select("http", fetch.sniff("content").alias("kind")).collect())
     server.shutdown()
     assert got == [(200, "png"), (404, None)]
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.integers(0, 10**6), min_size=256, max_size=256))
+def test_code_lengths_make_a_prefix_code(counts):
+    from tilewright.operators.jpegs import code_lengths
+
+    depth = code_lengths(np.array(counts))
+    assert max(depth.values()) <= 16 and sum(2.0**-d for d in depth.values()) == 1 and depth[256] == max(depth.values())
+
+
+def test_jpeg_is_read_by_others(spark, tmp_path):
+    from tilewright.operators import jpegs
+    from tilewright.sources import tables
+
+    rng = np.random.default_rng(7)
+    y, x = np.mgrid[:61, :83]
+    scenes = {
+        "ramp": np.stack([x * 3, y * 4, x + y], -1),
+        "flat": np.full((8, 8, 3), 77),
+        "dot": np.full((1, 1, 3), 200),
+        "noise": rng.integers(0, 256, (40, 24, 3)),
+        "fine": np.stack([127 + 90 * np.sin(x), 127 + 90 * np.cos(y / 2), 127 + 60 * np.sin(x * y / 40)], -1),
+    }
+    for name, a in scenes.items():
+        (tmp_path / f"{name}.jpg").write_bytes(jpegs.jpeg(a.astype(np.uint8), 90 if name != "noise" else 100))
+    got = {r[0].rsplit("/", 1)[-1][:-4]: r for r in tables.read_images(spark, str(tmp_path)).collect()}
+    for name, a in scenes.items():
+        back = np.frombuffer(bytes(got[name]["rgb"]), np.uint8).reshape(got[name]["height"], got[name]["width"], 3)
+        assert back.shape == a.shape
+        assert 10 * np.log10(255**2 / max(np.mean((back - a.astype(np.uint8).astype(float)) ** 2), 1e-9)) > 34, name
+    rough = jpegs.jpeg(scenes["fine"].astype(np.uint8), 30)
+    assert len(rough) < len(jpegs.jpeg(scenes["fine"].astype(np.uint8), 90))

@@ -84,6 +84,22 @@ def img_enlarge(spark, d):
     return _mapped(spark, d, lambda px: _pixels(blocks.enlarge(_rgb(px), 4)), RGB)
 
 
+@query("img_jpeg", "tile b, kind v, bytes b")
+def img_jpeg(spark, d):
+    """Tiles of the test raster as JPEG, told by their first bytes."""
+    from tilewright.operators import blocks, jpegs
+    from tilewright.operators.fetch import sniff
+
+    t = get(spark, d, "raster").selectExpr("12L AS level", "x div 16 AS tx", "y div 16 AS ty", "y % 16 AS y", "x % 16 AS x", "r", "g", "b", "have")
+
+    def run(batches):
+        for pdf in batches:
+            yield pdf[["tx", "ty"]].assign(content=[jpegs.jpeg(np.frombuffer(a, np.uint8).reshape(16, 16, 3)) for a in pdf["rgb"]])
+
+    t = blocks.from_pixels(t, 16).mapInPandas(run, "tx long, ty long, content binary")
+    return t.select((F.col("ty") * 4 + F.col("tx")).alias("tile"), sniff("content").alias("kind"), F.octet_length("content").alias("bytes"))
+
+
 def _patches(px) -> tuple:
     """The test raster's colours, its land, and what clicks into its quarters take."""
     from tilewright.operators import labels
