@@ -139,6 +139,12 @@ def test_long_spaced_runs_are_decoded_whole():
         assert model.counts(run) == {0: 1}, at
 
 
+@given(st.lists(st.sampled_from(["vexidor", "hello", "plain", "garden"]), min_size=1, max_size=12), st.sampled_from(" .-_*"))
+def test_spaced_words_of_a_vocabulary_come_back(words, between):
+    costs = tx.trigram_costs(np.ones(tx.SYMBOLS**3), {w: 50 for w in ("vexidor", "hello", "plain", "garden")})
+    assert tx.restore(between.join("".join(words)), costs).split() == words
+
+
 def test_repeated_and_absent_ids_are_not_learned(spark):
     rows, labels, _ = toxic_corpus()
     docs = spark.createDataFrame(rows, "doc_id long, text string, score double")

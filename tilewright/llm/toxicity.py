@@ -40,7 +40,7 @@ LEAST, FINE = 8, 3.0
 SYMBOLS = 28  # boundary, a to z, other letter
 #: Signs and the letters they may stand for.
 LOOKALIKE = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "*": "aeiou"}
-SEPARATORS = "*.-_~'`^,"
+SEPARATORS = " *.-_~'`^,"
 SUSPECT = re.compile(r"[^\W\d_][0-9@$!|+(€£*.\-_~'`^,]+[^\W\d_]|[0-9@$!|+(€£]+[^\W\d_]|[^\W\d_][0-9@$!|+(€£]|([^\W\d_])\1\1")
 SPACED = re.compile(r"(?<!\S)(?:[^\W_@$!|]|[@$!|])(?:[ .\-_*](?:[^\W_]|[@$!|])){2,}(?![^\s.,;:!?])")
 PIECE = re.compile(r"[^\W_]+")
@@ -117,7 +117,7 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
             if c in LOOKALIKE:
                 ways += [(x * (1 if n > 2 else n), SIGN + 0.2 * (n > 1)) for x in LOOKALIKE[c]]
                 ways += [(x, SIGN + 0.4) for x in LOOKALIKE[c] if n == 2]
-            if c in SEPARATORS and inside or c == " ":
+            if c == " " or (c in SEPARATORS and inside):
                 ways.append(("", DROP))
         out.append(ways)
         i = j
