@@ -94,3 +94,20 @@ def test_one_source(spark):
     docs = spark.createDataFrame([(i, "w " * (i % 7), "only", "", 0) for i in range(50)], SCHEMA)
     got = mixing.assignments(docs).collect()
     assert all(r["taken"] == r["size"] for r in got)
+
+
+def test_mix_does_not_depend_on_the_split(spark, tmp_path):
+    rows = [(7, "one two three", "a", "", 0)] * 3000 + [(k, "w " * (k % 9), "b", "", 0) for k in range(2000)] + [(8, "x y", None, "", 0)] * 500
+    spark.createDataFrame(rows, SCHEMA).repartition(5).write.parquet(str(tmp_path / "docs"))
+    key, held = "spark.sql.files.minPartitionNum", {}
+    try:
+        for first, then in (("2", "17"), ("17", "2")):
+            spark.conf.set(key, first)
+            out = mixing.mix(spark.read.parquet(str(tmp_path / "docs")))
+            spark.conf.set(key, then)
+            held[first] = {r["source"]: r["n"] for r in out.groupBy("source").count().withColumnRenamed("count", "n").collect()}
+    finally:
+        spark.conf.unset(key)
+    want = reshared({"a": 9000, "b": sum(k % 9 for k in range(2000)), None: 1000})
+    assert held["2"] == held["17"]
+    assert abs(3 * held["2"]["a"] - want["a"]) <= 3 and abs(2 * held["2"][None] - want[None]) <= 2

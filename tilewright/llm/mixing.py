@@ -15,8 +15,9 @@ by prefix sums over ranges, as they may be as many as hosts.
 
 Defined results: null text has size 0; null is a source of its own, ordered last; rows that repeat
 an id and a text are taken one by one; sources without words have target 0 and nothing of them is
-taken; an empty table gives an empty mix; further columns, whatever their names, are kept by mix(),
-whose input should be a table, for rows' places must be the same when it is read again.
+taken; an empty table gives an empty mix; further columns, whatever their names, are kept by mix().
+Rows are written once with their places, so that decision and mix see the same ones however the
+input is split.
 """
 
 from __future__ import annotations
@@ -154,25 +155,25 @@ def _taken(sized: DataFrame, cut: DataFrame) -> DataFrame:
     return out.select("d.*", "t.source_size", "t.target", copies.cast("long").alias("copies")).drop("_h", "_o")
 
 
-def _decided(docs: DataFrame, weights: tuple[int, ...], most: int) -> tuple[DataFrame, DataFrame]:
-    """The sizes of docs and the cuts of their sources."""
-    sized = written(_sized(docs), "mix-sizes", stays=1)
+def _decided(sized: DataFrame, weights: tuple[int, ...], most: int) -> tuple[DataFrame, DataFrame]:
+    """sized, written so that its rows keep their places, and the cuts of its sources."""
+    sized = written(sized, "mix-rows", stays=1)
     return sized, written(thresholds(sized, weights, most), "mix-thresholds", stays=1)
 
 
 def assignments(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """One row per row of docs: source, doc_id, size, source_size, target, copies, taken."""
     with scratch(docs.sparkSession):
-        sized, cut = _decided(docs, weights, most)
+        sized, cut = _decided(_sized(docs), weights, most)
     return _taken(sized, cut).withColumn("taken", F.col("size") * F.col("copies"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """The mix itself: rows of docs, each as often as it is taken, with the columns of docs."""
-    with scratch(docs.sparkSession):
-        _, cut = _decided(docs, weights, most)
     row = F.struct(*[quoted(c).alias(f"c{k}") for k, c in enumerate(docs.columns)])
-    out = _taken(_sized(docs, row.alias("_row")), cut).where("copies > 0")
+    with scratch(docs.sparkSession):
+        sized, cut = _decided(_sized(docs, row.alias("_row")), weights, most)
+    out = _taken(sized, cut).where("copies > 0")
     out = out.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy"))
     return out.select(*[F.col(f"_row.c{k}").alias(c) for k, c in enumerate(docs.columns)])
 
