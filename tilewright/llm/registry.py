@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tilewright.llm import chat, exact_dedup, jpeg, language_id, mixing, ngram_join, packing, token_counts, toxicity, warc
+from tilewright.llm import chat, exact_dedup, jpeg, language_id, merkle, mixing, ngram_join, packing, token_counts, toxicity, warc
 
 
 def pipeline(spark, sf_dir):
@@ -23,6 +23,7 @@ def queries():
         "op8_jpeg": jpeg.op8_jpeg,
         "op9_chat": chat.op9_chat,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+        "op13_merkle": merkle.op13_merkle,
         "pipeline": pipeline,
     }
 
@@ -33,4 +34,5 @@ def oracle_sql():
         "op6_warc": warc.ORACLE_SQL,
         "op9_chat": chat.ORACLE_SQL,
         "op10_exact_dedup": exact_dedup.ORACLE_SQL,
+        "op13_merkle": merkle.ORACLE_SQL,
     }
