@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tilewright.llm import chat, exact_dedup, jpeg, language_id, merkle, mixing, ngram_join, packing, token_counts, toxicity, warc
+from tilewright.llm import chat, exact_dedup, jpeg, language_id, merkle, mixing, mixture_packing, ngram_join, packing, ranked_search, token_counts, toxicity, warc
 
 
 def pipeline(spark, sf_dir):
@@ -23,6 +23,8 @@ def queries():
         "op8_jpeg": jpeg.op8_jpeg,
         "op9_chat": chat.op9_chat,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+        "op11_mixture_packing": mixture_packing.op11_mixture_packing,
+        "op12_ranked_search": ranked_search.op12_ranked_search,
         "op13_merkle": merkle.op13_merkle,
         "pipeline": pipeline,
     }
@@ -34,5 +36,8 @@ def oracle_sql():
         "op6_warc": warc.ORACLE_SQL,
         "op9_chat": chat.ORACLE_SQL,
         "op10_exact_dedup": exact_dedup.ORACLE_SQL,
+        "op11_mixture_packing": mixture_packing.op11_mixture_packing,
+        "op12_ranked_search": ranked_search.op12_ranked_search,
+        "op12_ranked_search": ranked_search.ORACLE_SQL,
         "op13_merkle": merkle.ORACLE_SQL,
     }
