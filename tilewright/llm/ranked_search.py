@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from tilewright.llm.common import scratch, slices, table, written
 
 TOP = 10
-POSTINGS, SHARD, PASSES = 400_000, 48, 8
+POSTINGS, SHARD, PASSES = 200_000, 48, 8
 QUERIES = 500
 SCALE, LIFT, B = 1_000_000_000, 8, 75
 
@@ -165,13 +165,13 @@ def block_of(rows: list[tuple], n_docs: int, length: int, shard: int = SHARD, pa
     first = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (of_shard[1:] != of_shard[:-1])])  # a term's postings in a shard
     begins = np.flatnonzero(np.r_[True, term[1:] != term[:-1]])
     return {
-        "ids": [rows[k][0] for k in order], "terms": coded.dictionary.to_pylist(), "df": np.diff(np.r_[begins, len(term)]).astype("<i4").tobytes(), "peak": np.maximum.reduceat(impact, begins).astype("<u4").tobytes(),
+        "ids": [rows[k][0] for k in order], "terms": b" ".join(coded.dictionary.to_pylist()), "df": np.diff(np.r_[begins, len(term)]).astype("<i4").tobytes(), "peak": np.maximum.reduceat(impact, begins).astype("<u4").tobytes(),
         "shards": len(edges) - 1, "entry": np.r_[np.searchsorted(first, begins), len(first)].astype("<i4").tobytes(), "entry_shard": of_shard[first].astype("<i4").tobytes(),
         "entry_peak": np.maximum.reduceat(impact, first).astype("<u4").tobytes(), "entry_first": np.r_[first, len(term)].astype("<i4").tobytes(), "place": place.astype("<i4").tobytes(), "impact": impact.astype("<u4").tobytes(),
     }
 
 
-BLOCKS = "block long, ids array<long>, terms array<binary>, df binary, peak binary, shards int, entry binary, entry_shard binary, entry_peak binary, entry_first binary, place binary, impact binary"
+BLOCKS = "block long, ids array<long>, terms binary, df binary, peak binary, shards int, entry binary, entry_shard binary, entry_peak binary, entry_first binary, place binary, impact binary"
 
 
 class Index:
@@ -192,7 +192,7 @@ def index(docs: DataFrame, postings: int = POSTINGS, shard: int = SHARD, passes:
             import pyarrow as pa
             from pyspark import TaskContext
 
-            blocks, kind = 0, pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("terms", pa.list_(pa.binary())), ("df", pa.binary()), ("peak", pa.binary()), ("shards", pa.int32()), *[(c, pa.binary()) for c in ("entry", "entry_shard", "entry_peak", "entry_first", "place", "impact")]])
+            blocks, kind = 0, pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("terms", pa.binary()), ("df", pa.binary()), ("peak", pa.binary()), ("shards", pa.int32()), *[(c, pa.binary()) for c in ("entry", "entry_shard", "entry_peak", "entry_first", "place", "impact")]])
 
             def made(held):
                 nonlocal blocks
@@ -202,9 +202,9 @@ def index(docs: DataFrame, postings: int = POSTINGS, shard: int = SHARD, passes:
 
             held, size = [], 0
             for batch in batches:
-                for doc_id, n, words, tf in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "n", "words", "tf")], strict=True):
-                    held.append((doc_id, n, words, tf))
-                    size += len(tf) // 4
+                for row in zip(*[batch.column(c) for c in ("doc_id", "n", "words", "tf")], strict=True):
+                    held.append(tuple(x.as_py() for x in row))
+                    size += len(held[-1][3]) // 4
                     if size >= postings:
                         yield made(held)
                         held, size = [], 0
@@ -239,12 +239,12 @@ class Queries:
         running = np.r_[0, np.cumsum(self.weight * by_term[self.term])]
         return running[self.edges[1:]] - running[self.edges[:-1]]
 
-    def numbers(self, terms) -> tuple[np.ndarray, np.ndarray]:
+    def numbers(self, terms: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Of a block's terms those that are asked for: their places there, and their numbers here."""
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        found = pc.index_in(terms, value_set=pa.array(self.terms, pa.binary()))
+        found = pc.index_in(pa.array(terms.split(b" "), pa.binary()), value_set=pa.array(self.terms, pa.binary()))
         at = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
         return at, found.drop_null().to_numpy().astype(np.int64)
 
@@ -310,9 +310,9 @@ def _answered(ix: Index, texts: list[str | None]) -> DataFrame:
 
         total = np.zeros(len(q.terms), np.int64)
         for batch in batches:
-            for terms, df in zip(batch.column("terms"), batch.column("df").to_pylist(), strict=True):
-                at, number = q.numbers(terms.values)
-                total[number] += np.frombuffer(df, "<i4")[at]
+            for terms, df in zip(batch.column("terms"), batch.column("df"), strict=True):
+                at, number = q.numbers(terms.as_py())
+                total[number] += np.frombuffer(df.as_py(), "<i4")[at]
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["term", "df"])
 
@@ -321,7 +321,7 @@ def _answered(ix: Index, texts: list[str | None]) -> DataFrame:
         df[r["term"]] = r["df"]
     q.weigh(df, ix.n_docs)
 
-    def bounds_of(terms, peak: bytes) -> np.ndarray:
+    def bounds_of(terms: bytes, peak: bytes) -> np.ndarray:
         at, number = q.numbers(terms)
         peaks = np.zeros(len(q.terms), np.int64)
         peaks[number] = np.frombuffer(peak, "<u4")[at]
@@ -332,8 +332,8 @@ def _answered(ix: Index, texts: list[str | None]) -> DataFrame:
 
         most, where = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
         for batch in batches:
-            for block, terms, peak in zip(batch.column("block").to_pylist(), batch.column("terms"), batch.column("peak").to_pylist(), strict=True):
-                bound = bounds_of(terms.values, peak)
+            for block, terms, peak in zip(batch.column("block").to_pylist(), batch.column("terms"), batch.column("peak"), strict=True):
+                bound = bounds_of(terms.as_py(), peak.as_py())
                 where = np.where(bound > most, block, where)
                 most = np.maximum(most, bound)
         at = np.flatnonzero(most)
@@ -349,7 +349,7 @@ def _answered(ix: Index, texts: list[str | None]) -> DataFrame:
         best: dict[int, list] = {}
         for batch in batches:
             for k in range(batch.num_rows):
-                block = {c: batch.column(c)[k].as_py() for c in batch.schema.names if c != "terms"} | {"terms": batch.column("terms")[k].values}
+                block = {c: batch.column(c)[k].as_py() for c in batch.schema.names}
                 wanted = np.array(only[block["block"]]) if only is not None else np.flatnonzero(bounds_of(block["terms"], block["peak"]) >= q.least)
                 search_block(block, q, wanted, best)
         yield _found(best)
