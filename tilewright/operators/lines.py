@@ -93,6 +93,12 @@ def crossings(points: DataFrame, key: list[str], segs: DataFrame) -> DataFrame:
     return points.select(*key, F.lit(0).alias("n")).unionByName(hit).groupBy(*key).agg(F.sum("n").alias("n"))
 
 
+def winding(points: DataFrame, key: list[str], ring: DataFrame) -> DataFrame:
+    """key and turns: how often a ring goes round each point, counted by the signs of what a ray eastwards crosses."""
+    signs = ring.select("a_lon", "a_lat", "b_lon", "b_lat", F.when(F.col("b_lat") > F.col("a_lat"), 1).otherwise(-1).alias("turns"))
+    return points.select(*key, F.lit(0).alias("turns")).unionByName(_crossed(points, key, signs)).groupBy(*key).agg(F.sum("turns").alias("turns"))
+
+
 def sides(points: DataFrame, key: list[str], coast: DataFrame | None, ring: DataFrame | None, clamp_km: float) -> DataFrame:
     """key, km (to the nearest segment of either), coast (east of a coast with land to the east) and ring (inside it)."""
     parts = [(lines, name) for lines, name in ((coast, "coast"), (ring, "ring")) if lines is not None]
@@ -127,6 +133,29 @@ def reach(ring: DataFrame, margin_km: float) -> DataFrame:
     return box.select((F.col("w") - east).alias("near_w"), (F.col("e") + east).alias("near_e"), (F.col("lo") - north).alias("near_s"), (F.col("hi") + north).alias("near_n"))
 
 
+def for_squares(squares: DataFrame, files: DataFrame, key: list[str], band: float = 1.0) -> DataFrame:
+    """What of its line files a square (w, e, s, n) gets, by key and bands of latitude.
+
+    files: line, has_coast, the stretch of latitudes (lo, hi) of the coast and the islands' box (rw, re, rs, rn),
+    widened by the margin. A square wholly within the stretch gets the coast, with the islands if these
+    are near; one that it only touches is outside. A file without a coast gives its islands to squares
+    that are near them. A square that meets no file has one row, with a null line.
+    """
+    bands = lambda lo, hi: F.explode(F.sequence(F.floor(lo / band), F.floor(hi / band)))
+    low = F.when(F.col("has_coast"), F.col("lo")).otherwise(F.col("rs"))
+    high = F.when(F.col("has_coast"), F.col("hi")).otherwise(F.col("rn"))
+    f = files.withColumns({"_lo": low, "_hi": high}).withColumn("_band", bands(F.col("_lo"), F.col("_hi")))
+    s = squares.withColumn("_row", F.monotonically_increasing_id())
+    near = (F.col("rn") >= F.col("s")) & (F.col("rs") <= F.col("n")) & (F.col("re") >= F.col("w")) & (F.col("rw") <= F.col("e"))
+    met = s.withColumn("_band", bands(F.col("s"), F.col("n"))).join(f, [*key, "_band"])
+    met = met.where((F.col("s") <= F.col("_hi")) & (F.col("n") >= F.col("_lo")) & (F.col("has_coast") | near))
+    met = met.where(F.col("_band") == F.floor(F.greatest("s", "_lo") / band))  # a pair is told in one band
+    inside = (F.col("s") >= F.col("lo")) & (F.col("n") <= F.col("hi"))
+    part = F.when(~F.col("has_coast"), "islands").when(inside & near, "coast and islands").when(inside, "coast").otherwise("outside")
+    met = met.select("_row", "line", part.alias("part"))
+    return s.join(met, "_row", "left").withColumn("part", F.coalesce("part", F.lit("none"))).drop("_row")
+
+
 def square_verdicts(squares: DataFrame, coast: DataFrame | None, ring: DataFrame | None, margin_km: float) -> DataFrame:
     """Squares (w, e, s, n, and least and most, the range of the signed field over each) with their verdict.
 

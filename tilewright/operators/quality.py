@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tilewright.functions.grid import col
+
 
 def mean_error(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """mae, mse and psnr (dB) over the three channels of two rasters."""
@@ -15,6 +17,12 @@ def mean_error(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return t.agg(mae.alias("mae"), mse.alias("mse"), F.when(mse > 0, 10 * F.log10(255.0 * 255.0 / mse)).alias("psnr"))
 
 
+def mip_bytes(n) -> Column:
+    """Bytes of each level of a square texture whose side is a column: 4 x 4 blocks of 8 bytes, down to one pixel."""
+    level = lambda k: F.greatest(F.lit(1).cast("long"), F.ceil(F.floor(col(n) / F.pow(F.lit(2.0), k)) / 4))
+    return F.transform(F.sequence(F.lit(0), F.floor(F.log2(col(n).cast("double"))).cast("int")), lambda k: 8 * level(k) * level(k))
+
+
 def mip_sizes(n: int) -> list[int]:
     """Bytes of each level of a BC1 mip chain of an n x n texture, down to one block."""
     out = []

@@ -9,14 +9,21 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def test_pattern(spark: SparkSession, n: int) -> DataFrame:
-    """Four quadrants: a gradient, a flat colour, integer noise, a checkerboard; with holes in `have`."""
-    t = spark.range(n * n).selectExpr(f"id div {n} AS y", f"id % {n} AS x")
-    t = t.selectExpr("y", "x", f"CASE WHEN x >= {n // 2} THEN 1 ELSE 0 END + CASE WHEN y >= {n // 2} THEN 2 ELSE 0 END AS q", "(x*73856093 + y*19349663) % 16777216 AS h", "(x div 8 + y div 8) % 2 AS c")
+def test_pattern(spark: SparkSession, n: int, noise: DataFrame | None = None) -> DataFrame:
+    """Four quadrants: a gradient, a flat colour, integer noise, a checkerboard; with holes in `have`.
+
+    noise: (i, h, n) of pixels y * n + x, the noise itself and what shifts the holes; else an integer hash.
+    """
+    t = spark.range(n * n).selectExpr("id AS i", f"id div {n} AS y", f"id % {n} AS x")
+    if noise is None:
+        t = t.selectExpr("y", "x", "(x*73856093 + y*19349663) % 16777216 AS h", "0L AS n")
+    else:
+        t = t.join(noise, "i", "left").selectExpr("y", "x", "coalesce(h, 0L) AS h", "coalesce(n, 0L) AS n")
+    t = t.selectExpr("y", "x", "h", "n", f"CASE WHEN x >= {n // 2} THEN 1 ELSE 0 END + CASE WHEN y >= {n // 2} THEN 2 ELSE 0 END AS q", "(x div 8 + y div 8) % 2 AS c")
     return t.selectExpr(
         "y", "x", "CASE q WHEN 0 THEN x*4 WHEN 1 THEN 37 WHEN 2 THEN h % 256 ELSE c*255 END AS r",
         "CASE q WHEN 0 THEN y*4 WHEN 1 THEN 121 WHEN 2 THEN (h div 256) % 256 ELSE 255 - c*255 END AS g",
-        "CASE q WHEN 0 THEN (x + y)*2 WHEN 1 THEN 200 WHEN 2 THEN (h div 65536) % 256 ELSE c*128 END AS b", "(x*7 + y*13) % 11 > 2 AS have",
+        "CASE q WHEN 0 THEN (x + y)*2 WHEN 1 THEN 200 WHEN 2 THEN (h div 65536) % 256 ELSE c*128 END AS b", "(x*7 + y*13 + n) % 11 > 2 AS have",
     )
 
 

@@ -38,9 +38,11 @@ def agg_tile_coverage(spark, d):
     return rasters_more.coverage(get(spark, d, "raster").selectExpr("y div 3 AS ty", "x div 3 AS tx", "have"), ["ty", "tx"])
 
 
-@query("agg_mip_chain", "size b, levels b, bytes b", "SELECT n AS size, count(*) AS levels, sum(greatest(1, CAST(ceil((n >> k)/4.0::DOUBLE) AS BIGINT))*greatest(1, CAST(ceil((n >> k)/4.0::DOUBLE) AS BIGINT))*8) AS bytes FROM (VALUES (2048), (512), (64)) v(n) CROSS JOIN range(12) r(k) WHERE (n >> k) > 0 GROUP BY n")
+@query("agg_mip_chain", "p_partkey b, size b, levels b, bytes b", "SELECT p_partkey, n AS size, count(*) AS levels, sum(greatest(1, CAST(ceil((n >> k)/4.0::DOUBLE) AS BIGINT))*greatest(1, CAST(ceil((n >> k)/4.0::DOUBLE) AS BIGINT))*8) AS bytes FROM (SELECT p_partkey, CAST(1 + (p_partkey*p_size) % 2048 AS BIGINT) AS n FROM part) CROSS JOIN range(12) r(k) WHERE (n >> k) > 0 GROUP BY p_partkey, n")
 def agg_mip_chain(spark, d):
-    return spark.createDataFrame([(n, len(quality.mip_sizes(n)), sum(quality.mip_sizes(n))) for n in (2048, 512, 64)], "size long, levels long, bytes long")
+    t = table(spark, d, "part").selectExpr("p_partkey", "1 + (p_partkey*p_size) % 2048 AS size")
+    sizes = quality.mip_bytes("size")
+    return t.select("p_partkey", "size", F.size(sizes).alias("levels"), F.aggregate(sizes, F.lit(0).cast("long"), lambda a, x: a + x).alias("bytes"))
 
 
 P565 = "CAST(({0}r // 8)*2048 + ({0}g // 4)*32 + {0}b // 8 AS BIGINT)".format
@@ -95,11 +97,12 @@ def agg_tile_extent(spark, d):
     return t.groupBy("source", "zoom").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
 
 
-@query("agg_stitch_partition", "most b, cap b, across b, down b", "SELECT CAST(v AS BIGINT) AS most, cap, (257 + least(v, cap) - 1) // least(v, cap) AS across, (254 + least(v, cap) - 1) // least(v, cap) AS down FROM (SELECT v, CAST(floor(sqrt(0.8::DOUBLE*2147483647/(256*256*4))) AS BIGINT) AS cap FROM (VALUES (10), (66), (500)) t(v))")
+@query("agg_stitch_partition", "o_orderkey b, cap b, across b, down b", "SELECT o_orderkey, cap, (tx + least(v, cap) - 1) // least(v, cap) AS across, (ty + least(v, cap) - 1) // least(v, cap) AS down FROM (SELECT o_orderkey, 1 + o_orderkey % 600 AS v, 100 + o_custkey % 300 AS tx, 100 + o_orderkey % 200 AS ty, CAST(floor(sqrt(0.8::DOUBLE*2147483647/(256*256*4))) AS BIGINT) AS cap FROM orders)")
 def agg_stitch_partition(spark, d):
-    cap = quality.stitch_cap(256, 256)
-    rows = [(n, cap, -(-257 // min(n, cap)), -(-254 // min(n, cap))) for n in (10, 66, 500)]
-    return spark.createDataFrame(rows, "most long, cap long, across long, down long")
+    cap = F.lit(quality.stitch_cap(256, 256)).cast("long")
+    t = table(spark, d, "orders").select("o_orderkey", (1 + F.col("o_orderkey") % 600).alias("most"), (100 + F.col("o_custkey") % 300).alias("tx"), (100 + F.col("o_orderkey") % 200).alias("ty"))
+    part = lambda n: F.ceil(F.col(n) / F.least(F.col("most"), cap))
+    return t.select("o_orderkey", cap.alias("cap"), part("tx").alias("across"), part("ty").alias("down"))
 
 
 STATUS = "CASE WHEN no_tile OR http IN (404, 410) THEN 'unavailable' WHEN http NOT BETWEEN 200 AND 299 THEN 'failed' WHEN NOT is_image THEN 'not_image' ELSE 'saved' END"
@@ -145,10 +148,10 @@ def agg_body_report(spark, d):
     return t.where("km2 >= 2").orderBy(F.desc("km2"))
 
 
-@query("agg_row_area", "y b, km2 d", "SELECT y, 111.32::DOUBLE*0.001*111.32::DOUBLE*0.001*cos(radians(-33 - y*0.001::DOUBLE)) AS km2 FROM range(1000) t(y)")
+@query("agg_row_area", "y b, km2 d", "SELECT p_partkey AS y, 111.32::DOUBLE*0.001*111.32::DOUBLE*0.001*cos(radians(-33 - p_partkey*0.001::DOUBLE)) AS km2 FROM part")
 def agg_row_area(spark, d):
     step = 111.32 * 0.001
-    return spark.range(1000).select(F.col("id").alias("y"), (F.lit(step * step) * F.cos(F.radians(-33.0 - F.col("id") * 0.001))).alias("km2"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("y"), (F.lit(step * step) * F.cos(F.radians(-33.0 - F.col("p_partkey") * 0.001))).alias("km2"))
 
 
 @query("agg_hist_distance", "bin b, n b, marked b, share d", f"SELECT bin, n, marked, sum(marked) OVER (ORDER BY bin)::DOUBLE/sum(n) OVER (ORDER BY bin) AS share FROM (SELECT CAST(least(floor(km/2), 4) AS BIGINT) AS bin, count(*) AS n, count(*) FILTER (WHERE event_id % 3 = 0) AS marked FROM {DIST} GROUP BY 1)")

@@ -9,6 +9,7 @@ from tilewright.operators import tiles
 from tilewright.plans.registry import query
 from tilewright.plans.scalars import MX, gx, gy, lat_of, lon_of, m_y, north, west
 from tilewright.plans.views import get
+from tilewright.session import table
 
 RANGES = f"(SELECT s_suppkey, l AS level, CAST(floor({gx('w', 'l')}) AS BIGINT) AS x0, greatest(CAST(ceil({gx('e', 'l')}) AS BIGINT), CAST(floor({gx('w', 'l')}) AS BIGINT) + 1) AS x1, CAST(floor({gy('s', 'l')}) AS BIGINT) AS y0, greatest(CAST(ceil({gy('n', 'l')}) AS BIGINT), CAST(floor({gy('s', 'l')}) AS BIGINT) + 1) AS y1 FROM geo_box CROSS JOIN (VALUES (7), (8), (9)) v(l))"
 
@@ -48,10 +49,11 @@ def field_box(spark, d):
     return t.select("s_suppkey", grid.lon_of_grid_x("r.x0", 9).alias("w"), grid.lon_of_grid_x("r.x1", 9).alias("e"), grid.lat_of_grid_y("r.y0", 9).alias("s"), grid.lat_of_grid_y("r.y1", 9).alias("n"))
 
 
-@query("pixel_centres", "i b, lon d, lat d", f"SELECT i, {lon_of('139::DOUBLE', 9)} + (i + 0.5::DOUBLE)*({lon_of('140::DOUBLE', 9)} - {lon_of('139::DOUBLE', 9)})/64 AS lon, {lat_of('292::DOUBLE - (i + 0.5::DOUBLE)/64', 9)} AS lat FROM range(64) t(i)")
+@query("pixel_centres", "s_suppkey b, i b, lon d, lat d", f"SELECT s_suppkey, i, {lon_of('tx::DOUBLE', 9)} + (i + 0.5::DOUBLE)*({lon_of('(tx + 1)::DOUBLE', 9)} - {lon_of('tx::DOUBLE', 9)})/64 AS lon, {lat_of('ty + 1 - (i + 0.5::DOUBLE)/64', 9)} AS lat FROM (SELECT s_suppkey, 100 + s_suppkey % 200 AS tx, 200 + s_suppkey % 100 AS ty FROM supplier) CROSS JOIN range(64) t(i)")
 def pixel_centres(spark, d):
-    lons, lats = tiles.pixel_centres(F.lit(139), F.lit(291), 9, 64)
-    return spark.range(1).select(F.posexplode(F.arrays_zip(lons.alias("lon"), lats.alias("lat"))).alias("i", "p")).select("i", "p.lon", "p.lat")
+    t = table(spark, d, "supplier").selectExpr("s_suppkey", "100 + s_suppkey % 200 AS tx", "200 + s_suppkey % 100 AS ty")
+    lons, lats = tiles.pixel_centres(F.col("tx"), F.col("ty"), 9, 64)
+    return t.select("s_suppkey", F.posexplode(F.arrays_zip(lons.alias("lon"), lats.alias("lat"))).alias("i", "p")).select("s_suppkey", "i", "p.lon", "p.lat")
 
 
 CELLS = f"(SELECT DISTINCT CAST(floor({gx('lon', 9)}) AS BIGINT) AS x, CAST(floor({gy('lat', 9)}) AS BIGINT) AS y FROM geo_point)"

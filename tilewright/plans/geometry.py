@@ -12,6 +12,7 @@ from tilewright.plans.registry import query
 from tilewright.plans.scalars import gx, gy, lat_of, lon_of
 from tilewright.plans.sets import SIDES, _sides
 from tilewright.plans.views import get
+from tilewright.session import table
 
 SEG = "(SELECT a_lon, a_lat, b_lon, b_lat FROM coast_line UNION ALL SELECT a_lon, a_lat, b_lon, b_lat FROM ring_segment)"
 ALL_DIST = DIST.replace("coast_segment", f"{SEG} g")
@@ -107,22 +108,28 @@ def geo_stretch(spark, d):
 
 @query("geo_winding", "event_id b, inside l", "SELECT event_id, abs(sum(d)) > pi() AS inside FROM (SELECT event_id, atan2(sin(t), cos(t)) AS d FROM (SELECT event_id, atan2(b_lat - lat, b_lon - lon) - atan2(a_lat - lat, a_lon - lon) AS t FROM probe CROSS JOIN ring_segment)) GROUP BY event_id")
 def geo_winding(spark, d):
-    ring = F.broadcast(get(spark, d, "ring_segment"))  # a ring of 24 points
-    p = get(spark, d, "probe").crossJoin(ring)
-    t = F.atan2(F.col("b_lat") - F.col("lat"), F.col("b_lon") - F.col("lon")) - F.atan2(F.col("a_lat") - F.col("lat"), F.col("a_lon") - F.col("lon"))
-    return p.groupBy("event_id").agg((F.abs(F.sum(F.atan2(F.sin(t), F.cos(t)))) > F.pi()).alias("inside"))
+    turns = lines.winding(get(spark, d, "probe"), ["event_id"], get(spark, d, "ring_segment"))
+    return turns.select("event_id", (F.col("turns") != 0).alias("inside"))
 
 
-CELLS = "(SELECT x, y FROM range(12) a(x) CROSS JOIN range(12) b(y) WHERE (x*7 + y*5) % 11 = 0)"
+# empty cells of a strip that is as long as there are suppliers, and points all along it
+CELLS = "(SELECT s_suppkey AS x, (s_suppkey*5) % 12 AS y FROM supplier WHERE s_suppkey % 3 <> 1)"
+CELL_POINTS = "(SELECT event_id, (event_id*31 % ((SELECT count(*) FROM supplier)*100))*0.01::DOUBLE AS px, (user_id*17 % 1200)*0.01::DOUBLE AS py FROM events)"
 
 
-@query("geo_edge_alpha", "i b, j b, alpha d", f"SELECT i, j, CASE WHEN km < 8 THEN round_even(least(greatest(km/8, 0), 1)*4, 0)/4 END AS alpha FROM (SELECT i, j, min(sqrt(pow(greatest(x - px, 0, px - x - 1)*111.32::DOUBLE*0.1, 2) + pow(greatest(y - py, 0, py - y - 1)*110.57::DOUBLE*0.1, 2))) AS km FROM (SELECT i, j, i*0.25::DOUBLE AS px, j*0.25::DOUBLE AS py FROM range(48) a(i) CROSS JOIN range(48) b(j)) CROSS JOIN {CELLS} GROUP BY i, j)")
+def cell_points(spark, d):
+    suppliers = table(spark, d, "supplier")
+    length = suppliers.agg((F.count(F.lit(1)) * 100).alias("n"))  # one row
+    points = table(spark, d, "events").crossJoin(F.broadcast(length)).selectExpr("event_id", "(event_id*31 % n)*0.01D AS px", "(user_id*17 % 1200)*0.01D AS py")
+    return points, suppliers.where("s_suppkey % 3 <> 1").selectExpr("s_suppkey AS x", "(s_suppkey*5) % 12 AS y")
+
+
+@query("geo_edge_alpha", "event_id b, alpha d", f"SELECT event_id, CASE WHEN km < 8 THEN round_even(least(greatest(km/8, 0), 1)*4, 0)/4 END AS alpha FROM (SELECT event_id, min(sqrt(pow(greatest(x - px, 0, px - x - 1)*111.32::DOUBLE*0.1, 2) + pow(greatest(y - py, 0, py - y - 1)*110.57::DOUBLE*0.1, 2))) AS km FROM {CELL_POINTS} CROSS JOIN {CELLS} GROUP BY event_id)")
 def geo_edge_alpha(spark, d):
     from tilewright.operators.edges import edge_alpha
 
-    t = spark.range(48 * 48).selectExpr("id div 48 AS i", "id % 48 AS j", "(id div 48)*0.25D AS px", "(id % 48)*0.25D AS py")
-    cells = spark.range(144).selectExpr("id div 12 AS x", "id % 12 AS y").where("(x*7 + y*5) % 11 = 0")
-    return edge_alpha(t, ["i", "j"], cells, 111.32 * 0.1, 110.57 * 0.1, 8.0, 4)
+    points, cells = cell_points(spark, d)
+    return edge_alpha(points, ["event_id"], cells, 111.32 * 0.1, 110.57 * 0.1, 8.0, 4)
 
 
 # every pairing of class and code, names with and without the prefix, heights in and out of range and none

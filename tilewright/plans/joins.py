@@ -9,6 +9,7 @@ from tilewright.operators import fields, lines, rangejoin, rasters_more
 from tilewright.plans.registry import query
 from tilewright.plans.scalars import MX, gx, gy, lat_of, lon_of, m_y, quadkey
 from tilewright.plans.views import get
+from tilewright.session import table
 
 
 
@@ -81,15 +82,17 @@ def join_parent_child(spark, d):
     return fields.parents(get(spark, d, "grid_square").select("c_custkey", grid.tile_x("lon", "level").alias("tx"), grid.tile_y("lat", "level").alias("ty")))
 
 
-LINES = "(VALUES (1, -33.0::DOUBLE, -31.0::DOUBLE), (2, -34.5::DOUBLE, -32.0::DOUBLE)) l(line, lo, hi)"
-
-
-@query("join_line_square", "square b, line b, part v", """SELECT id AS square, line, CASE WHEN s >= lo AND n <= hi THEN 'coast' WHEN s <= hi AND n >= lo THEN 'partly' ELSE 'far' END AS part FROM (SELECT i AS id, -35 + i*0.25::DOUBLE AS s, -35 + i*0.25::DOUBLE + 0.5 AS n FROM range(20) t(i)) CROSS JOIN (VALUES (1, -33.0::DOUBLE, -31.0::DOUBLE), (2, -34.5::DOUBLE, -32.0::DOUBLE)) l(line, lo, hi)""")
+@query("join_line_square", "square b, line b, part v", """SELECT c_custkey AS square, coalesce(line, -1) AS line, CASE WHEN line IS NULL THEN 'none' WHEN NOT has_coast THEN 'islands' WHEN s >= lo AND n <= hi AND near THEN 'coast and islands' WHEN s >= lo AND n <= hi THEN 'coast' ELSE 'outside' END AS part
+FROM sq LEFT JOIN l ON country = file AND ((has_coast AND s <= hi AND n >= lo) OR (NOT has_coast AND rn + 0.06::DOUBLE >= s AND rs - 0.06::DOUBLE <= n AND re + 0.1::DOUBLE >= w AND rw - 0.1::DOUBLE <= e)) LEFT JOIN LATERAL (SELECT rn + 0.06::DOUBLE >= s AND rs - 0.06::DOUBLE <= n AND re + 0.1::DOUBLE >= w AND rw - 0.1::DOUBLE <= e AS near) ON true""",
+       """sq AS (SELECT c_custkey, c_nationkey % 5 AS country, lon AS w, lon + 0.7::DOUBLE AS e, lat AS s, lat + 0.6::DOUBLE AS n FROM grid_square JOIN customer USING (c_custkey)),
+ l AS (SELECT s_suppkey AS line, s_nationkey % 5 AS file, s_suppkey % 3 > 0 AS has_coast, s AS lo, s + 20 AS hi, w AS rw, w + 3 AS re, s AS rs, s + 2 AS rn FROM (SELECT s_suppkey, s_nationkey, (s_suppkey*3571 % 34000)/100.0::DOUBLE - 170 AS w, (s_suppkey*7109 % 14000)/100.0::DOUBLE - 70 AS s FROM supplier))""")
 def join_line_square(spark, d):
-    sq = spark.range(20).selectExpr("id AS square", "-35 + id*0.25D AS s", "-35 + id*0.25D + 0.5D AS n")
-    stretches = spark.createDataFrame([(1, -33.0, -31.0), (2, -34.5, -32.0)], "line long, lo double, hi double")  # one row per line file
-    part = F.when((F.col("s") >= F.col("lo")) & (F.col("n") <= F.col("hi")), "coast").when((F.col("s") <= F.col("hi")) & (F.col("n") >= F.col("lo")), "partly").otherwise("far")
-    return sq.crossJoin(stretches).select("square", "line", part.alias("part"))
+    """Squares and the line files of their country: the coast's stretch and the islands' box decide what of a file a square gets."""
+    country = table(spark, d, "customer").selectExpr("c_custkey", "c_nationkey % 5 AS file")
+    squares = get(spark, d, "grid_square").join(country, "c_custkey").selectExpr("c_custkey AS square", "file", "lon AS w", "lon + 0.7D AS e", "lat AS s", "lat + 0.6D AS n")
+    t = table(spark, d, "supplier").selectExpr("s_suppkey AS line", "s_nationkey % 5 AS file", "s_suppkey % 3 > 0 AS has_coast", "(s_suppkey*3571 % 34000)/100D - 170 AS w", "(s_suppkey*7109 % 14000)/100D - 70 AS s")
+    files = t.selectExpr("line", "file", "has_coast", "s AS lo", "s + 20 AS hi", "w - 0.1D AS rw", "w + 3 + 0.1D AS re", "s - 0.06D AS rs", "s + 2 + 0.06D AS rn")
+    return lines.for_squares(squares, files, ["file"]).select("square", F.coalesce("line", F.lit(-1)).alias("line"), "part")
 
 
 KX = "(111.32::DOUBLE*cos(radians(({0} + {1})/2)))".format

@@ -6,8 +6,10 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tilewright.operators.raster import adjusted
+from tilewright.plans.geometry import CELL_POINTS, CELLS, cell_points
 from tilewright.plans.registry import query
 from tilewright.plans.views import get
+from tilewright.session import table
 
 
 def _image(spark, d):
@@ -248,12 +250,13 @@ def src_awft(spark, d):
     return get(spark, d, "geo_box").mapInPandas(run, "s_suppkey long, n double, mean double")
 
 
-@query("geo_box_distance", "i b, j b, km d", "SELECT i, j, min(sqrt(pow(greatest(x - px, 0, px - x - 1)*11.132::DOUBLE, 2) + pow(greatest(y - py, 0, py - y - 1)*11.057::DOUBLE, 2))) AS km FROM (SELECT i, j, i*0.5::DOUBLE AS px, j*0.5::DOUBLE AS py FROM range(16) a(i) CROSS JOIN range(16) b(j)) CROSS JOIN (SELECT x, y FROM range(8) a(x) CROSS JOIN range(8) b(y) WHERE (x*7 + y*5) % 5 = 0) GROUP BY i, j")
+@query("geo_box_distance", "event_id b, km d", f"SELECT event_id, min(sqrt(pow(greatest(x - px, 0, px - x - 1)*11.132::DOUBLE, 2) + pow(greatest(y - py, 0, py - y - 1)*11.057::DOUBLE, 2))) AS km FROM {CELL_POINTS} CROSS JOIN {CELLS} GROUP BY event_id HAVING km < 30")
 def geo_box_distance(spark, d):
-    cells = F.broadcast(spark.range(64).selectExpr("id div 8 AS x", "id % 8 AS y").where("(x*7 + y*5) % 5 = 0"))  # 13 cells
-    t = spark.range(256).selectExpr("id div 16 AS i", "id % 16 AS j", "(id div 16)*0.5D AS px", "(id % 16)*0.5D AS py").crossJoin(cells)
-    gap = lambda c, v: F.greatest(F.col(c) - F.col(v), F.lit(0.0), F.col(v) - F.col(c) - 1)
-    return t.groupBy("i", "j").agg(F.min(F.sqrt(F.pow(gap("x", "px") * 11.132, F.lit(2.0)) + F.pow(gap("y", "py") * 11.057, F.lit(2.0)))).alias("km"))
+    """How far the nearest empty cell is, for points with one within 30 km."""
+    from tilewright.operators.edges import box_distance
+
+    points, cells = cell_points(spark, d)
+    return box_distance(points, ["event_id"], cells, 11.132, 11.057, 30.0)
 
 
 @query("img_stitch", "tile_x b, tile_y b, y b, x b, r b", "SELECT x // 16 AS tile_x, y // 16 AS tile_y, y, x, r FROM raster WHERE NOT (x // 16 = 1 AND y // 16 = 2)")

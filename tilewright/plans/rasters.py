@@ -9,6 +9,7 @@ from tilewright.plans.aggregations import LAB
 from tilewright.plans.registry import query
 from tilewright.plans.scalars import CURVE, MY
 from tilewright.plans.views import get
+from tilewright.session import table
 from tilewright.plans.windows import MORPH
 
 
@@ -22,12 +23,12 @@ def img_sample_tile(spark, d):
     return t.select("cy", "cx", *[colour.apply_curve(k, colour.curve()).alias(k) for k in "rgb"])
 
 
-@query("img_row_range", "ty b, r0 b, r1 b", f"SELECT ty, CAST(floor(({MY('-32 - ty*0.1::DOUBLE')} - {MY('-32.0::DOUBLE')})*1000/({MY('-33.0::DOUBLE')} - {MY('-32.0::DOUBLE')})) AS BIGINT) AS r0, CAST(floor(({MY('-32 - (ty + 1)*0.1::DOUBLE + 0.00001::DOUBLE')} - {MY('-32.0::DOUBLE')})*1000/({MY('-33.0::DOUBLE')} - {MY('-32.0::DOUBLE')})) AS BIGINT) AS r1 FROM range(10) t(ty)")
+@query("img_row_range", "ty b, r0 b, r1 b", f"SELECT ty, CAST(floor(({MY('-32 - ty*0.1::DOUBLE')} - {MY('-32.0::DOUBLE')})*1000/({MY('-33.0::DOUBLE')} - {MY('-32.0::DOUBLE')})) AS BIGINT) AS r0, CAST(floor(({MY('-32 - (ty + 1)*0.1::DOUBLE + 0.00001::DOUBLE')} - {MY('-32.0::DOUBLE')})*1000/({MY('-33.0::DOUBLE')} - {MY('-32.0::DOUBLE')})) AS BIGINT) AS r1 FROM (SELECT s_suppkey % 500 AS ty FROM supplier)")
 def img_row_range(spark, d):
     from tilewright.functions.mercator import source_row
 
     row = lambda lat: F.floor(source_row(lat, F.lit(-32.0), F.lit(-0.001), F.lit(1000)))
-    t = spark.range(10).withColumnRenamed("id", "ty")
+    t = table(spark, d, "supplier").select((F.col("s_suppkey") % 500).alias("ty"))
     return t.select("ty", row(-32 - F.col("ty") * 0.1).alias("r0"), row(-32 - (F.col("ty") + 1) * 0.1 + 0.00001).alias("r1"))
 
 

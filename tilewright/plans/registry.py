@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tilewright.plans import views
 
 FLAGSHIP = "classify_squares"
-MODULES = ("scalars", "generators", "joins", "aggregations", "windows", "sets", "geometry", "rasters", "catalogs", "kernels")
+MODULES = ("scalars", "generators", "joins", "aggregations", "windows", "sets", "geometry", "rasters", "catalogs", "kernels", "fields")
 
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}

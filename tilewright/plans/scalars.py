@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tilewright.functions import colour, grid, mercator
 from tilewright.plans.registry import query
 from tilewright.plans.views import get
+from tilewright.session import table
 
 # DuckDB text of the same mathematics, written apart from the Spark side.
 K = "2.3311223704144::DOUBLE"
@@ -163,9 +164,10 @@ def ground_resolution(spark, d):
     return get(spark, d, "geo_point").select("event_id", mercator.ground_resolution("lat", 17).alias("m"), mercator.map_scale("lat", 17).alias("scale"))
 
 
-@query("zoom_resolution_label", "zoom b, metres d", "SELECT z AS zoom, round(2*pi()*6378137/(256*pow(2.0::DOUBLE, z)), 2) AS metres FROM range(12, 21) t(z)")
+@query("zoom_resolution_label", "p_partkey b, zoom b, metres d", "SELECT p_partkey, zoom, round(2*pi()*6378137/(256*pow(2.0::DOUBLE, zoom)), 2) AS metres FROM (SELECT p_partkey, CAST(12 + p_size % 9 AS BIGINT) AS zoom FROM part)")
 def zoom_resolution_label(spark, d):
-    return spark.range(12, 21).select(F.col("id").alias("zoom"), F.round(mercator.ground_resolution(F.lit(0.0), "id"), 2).alias("metres"))
+    t = table(spark, d, "part").selectExpr("p_partkey", "12L + p_size % 9 AS zoom")
+    return t.withColumn("metres", F.round(mercator.ground_resolution(F.lit(0.0), "zoom"), 2))
 
 
 @query("mercator_y", "event_id b, y d", f"SELECT event_id, {MY('lat')} AS y FROM geo_point")
@@ -194,12 +196,12 @@ def geo_offset(spark, d):
     return t.select("s_suppkey", (F.col("lon") - 5 / kx).alias("w"), (F.col("lon") + 5 / kx).alias("e"), (F.col("lat") - 5 / ky).alias("s"), (F.col("lat") + 5 / ky).alias("n"))
 
 
-@query("choose_levels", "size b, zoom b, levels v", "SELECT s AS size, z AS zoom, array_to_string(list_filter(range(CAST(s AS BIGINT), 16), lambda l : l <= least(z - 3, 14) AND (l = s OR l >= least(z - 5, 14))), ',') AS levels FROM range(9, 13) a(s), range(12, 21) b(z)")
+@query("choose_levels", "o_orderkey b, levels v", "SELECT o_orderkey, array_to_string(list_filter(range(CAST(s AS BIGINT), 16), lambda l : l <= least(z - 3, 14) AND (l = s OR l >= least(z - 5, 14))), ',') AS levels FROM (SELECT o_orderkey, CAST(9 + o_orderkey % 4 AS BIGINT) AS s, CAST(12 + o_custkey % 9 AS BIGINT) AS z FROM orders)")
 def choose_levels(spark, d):
     from tilewright.operators.jobs import choose_levels as chosen
 
-    t = spark.range(9, 13).select(F.col("id").alias("size")).crossJoin(spark.range(12, 21).select(F.col("id").alias("zoom")))
-    return t.select("size", "zoom", F.array_join(chosen("size", "zoom"), ",").alias("levels"))
+    t = table(spark, d, "orders").selectExpr("o_orderkey", "9L + o_orderkey % 4 AS size", "12L + o_custkey % 9 AS zoom")
+    return t.select("o_orderkey", F.array_join(chosen("size", "zoom"), ",").alias("levels"))
 
 
 @query("run_preconditions", "c_custkey b, problem v", "SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 AND 9 + c_custkey % 12 > 16 THEN 'zoom too deep' WHEN c_custkey % 4 IN (1, 2) AND c_custkey % 3 = 0 THEN 'key missing' ELSE 'ok' END AS problem FROM customer")
@@ -237,10 +239,14 @@ def tone_curve(spark, d):
     return get(spark, d, "raster").select("y", "x", *[colour.apply_curve(k, c).alias(k) for k in "rgb"])
 
 
-@query("tone_curve_inverse", "v b, x d", f"""SELECT v, CASE WHEN v <= lo THEN k ELSE k + (v - lo)::DOUBLE/(hi - lo) END AS x FROM (SELECT v, k, list_extract({CURVE}, k + 1) AS lo, list_extract({CURVE}, k + 2) AS hi FROM (SELECT v, coalesce((SELECT max(i) FROM range(255) c(i) WHERE list_extract({CURVE}, i + 1) < v), 0) AS k FROM range(256) t(v)))""")
+RISING = f"(SELECT i - 1 AS i, list_max(list_slice({CURVE}, 1, i)) AS v FROM range(1, 257) r(i))"
+
+
+@query("tone_curve_inverse", "y b, x b, r d, g d, b d", "SELECT raster.y, raster.x, ir.x AS r, ig.x AS g, ib.x AS b FROM raster JOIN inv ir ON ir.v = raster.r JOIN inv ig ON ig.v = raster.g JOIN inv ib ON ib.v = raster.b",
+       f"""rising AS {RISING}, inv AS (SELECT t.v, CASE WHEN k = 255 THEN 255 ELSE k + (t.v - lo.v)::DOUBLE/(hi.v - lo.v) END AS x FROM (SELECT v, (SELECT max(i) FROM rising WHERE rising.v <= t.v) AS k FROM range(256) t(v)) t JOIN rising lo ON lo.i = k LEFT JOIN rising hi ON hi.i = k + 1)""")
 def tone_curve_inverse(spark, d):
-    inverse = colour.inverse_curve(colour.curve())
-    return spark.range(256).select(F.col("id").alias("v"), F.element_at(F.lit(inverse), (F.col("id") + 1).cast("int")).alias("x"))
+    inverse = F.lit(colour.inverse_curve(colour.curve()))
+    return get(spark, d, "raster").select("y", "x", *[F.element_at(inverse, (F.col(c) + 1).cast("int")).alias(c) for c in "rgb"])
 
 
 @query("rgb565", "y b, x b, packed b, r b, g b, b b", "SELECT y, x, v AS packed, ((v >> 11) & 31)*8 + (((v >> 11) & 31) >> 2) AS r, ((v >> 5) & 63)*4 + (((v >> 5) & 63) >> 4) AS g, (v & 31)*8 + ((v & 31) >> 2) AS b FROM (SELECT y, x, CAST((r // 8)*2048 + (g // 4)*32 + b // 8 AS BIGINT) AS v FROM raster)")

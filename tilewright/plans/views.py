@@ -57,9 +57,9 @@ def catalog_file(spark, d):
     )
 
 
-@view("coast_point", "SELECT i AS seq, -33::DOUBLE + i*0.006::DOUBLE AS lat, -71.5::DOUBLE + ((i*37) % 23 - 11)*0.004::DOUBLE AS lon FROM range(150) t(i)")
+@view("coast_point", "SELECT c_custkey AS seq, -33::DOUBLE + c_custkey*0.006::DOUBLE AS lat, -71.5::DOUBLE + ((c_custkey*37) % 23 - 11)*0.004::DOUBLE AS lon FROM customer")
 def coast_point(spark, d):
-    return spark.range(150).selectExpr("id AS seq", "-33D + id*0.006D AS lat", "-71.5D + ((id*37) % 23 - 11)*0.004D AS lon")
+    return table(spark, d, "customer").selectExpr("c_custkey AS seq", "-33D + c_custkey*0.006D AS lat", "-71.5D + ((c_custkey*37) % 23 - 11)*0.004D AS lon")
 
 
 @view("coast_segment", "SELECT * FROM (SELECT seq, lon AS a_lon, lat AS a_lat, lead(lon) OVER (ORDER BY seq) AS b_lon, lead(lat) OVER (ORDER BY seq) AS b_lat FROM coast_point) WHERE b_lon IS NOT NULL")
@@ -73,16 +73,22 @@ def coast_segment(spark, d):
 FIELD_SOUTH, FIELD_NORTH = -33.5, -31.5
 
 
-@view("coast_line", f"SELECT a_lon, a_lat, b_lon, b_lat FROM coast_segment UNION ALL SELECT lon, {FIELD_SOUTH}::DOUBLE, lon, lat FROM coast_point WHERE seq = 0 UNION ALL SELECT lon, {FIELD_NORTH}::DOUBLE, lon, lat FROM coast_point WHERE seq = 149")
+@view("coast_line", f"SELECT a_lon, a_lat, b_lon, b_lat FROM coast_segment UNION ALL SELECT lon, {FIELD_SOUTH}::DOUBLE, lon, lat FROM coast_point WHERE seq = 0 UNION ALL SELECT lon, {FIELD_NORTH}::DOUBLE, lon, lat FROM coast_point WHERE seq = (SELECT max(seq) FROM coast_point) AND lat < {FIELD_NORTH}")
 def coast_line(spark, d):
     from tilewright.operators.lines import extended
 
     return extended(coast_segment(spark, d), FIELD_SOUTH, FIELD_NORTH)
 
 
-@view("ring_point", "SELECT i AS seq, -32.7::DOUBLE + 0.05::DOUBLE*(abs(i % 24 - 12) - 6)/6 AS lat, -71.75::DOUBLE + 0.05::DOUBLE*(abs((i + 6) % 24 - 12) - 6)/6 AS lon FROM range(24) t(i)")
+#: A diamond, of as many points as there are suppliers.
+RING_AT = "{0}.05{1}*(abs(({2} + {3}) % 24 - 12) - 6)/6"
+
+
+@view("ring_point", f"SELECT seq, -32.7::DOUBLE + {RING_AT.format('0', '::DOUBLE', 't', 0)} AS lat, -71.75::DOUBLE + {RING_AT.format('0', '::DOUBLE', 't', 6)} AS lon FROM (SELECT s_suppkey AS seq, s_suppkey*24.0::DOUBLE/(SELECT count(*) FROM supplier) AS t FROM supplier)")
 def ring_point(spark, d):
-    return spark.range(24).selectExpr("id AS seq", "-32.7D + 0.05D*(abs(id % 24 - 12) - 6)/6 AS lat", "-71.75D + 0.05D*(abs((id + 6) % 24 - 12) - 6)/6 AS lon")
+    t = table(spark, d, "supplier")
+    t = t.crossJoin(F.broadcast(t.agg(F.count(F.lit(1)).alias("n")))).selectExpr("s_suppkey AS seq", "s_suppkey*24D/n AS t")  # one row
+    return t.selectExpr("seq", f"-32.7D + {RING_AT.format('0', 'D', 't', 0)} AS lat", f"-71.75D + {RING_AT.format('0', 'D', 't', 6)} AS lon")
 
 
 @view("ring_segment", "SELECT seq, lon AS a_lon, lat AS a_lat, coalesce(lead(lon) OVER (ORDER BY seq), first_value(lon) OVER (ORDER BY seq)) AS b_lon, coalesce(lead(lat) OVER (ORDER BY seq), first_value(lat) OVER (ORDER BY seq)) AS b_lat FROM ring_point")
@@ -101,12 +107,16 @@ RASTER = 64
 
 
 @view("raster", f"""SELECT y, x, CASE q WHEN 0 THEN x*4 WHEN 1 THEN 37 WHEN 2 THEN h % 256 ELSE c*255 END AS r, CASE q WHEN 0 THEN y*4 WHEN 1 THEN 121 WHEN 2 THEN (h // 256) % 256 ELSE 255 - c*255 END AS g,
-CASE q WHEN 0 THEN (x + y)*2 WHEN 1 THEN 200 WHEN 2 THEN (h // 65536) % 256 ELSE c*128 END AS b, (x*7 + y*13) % 11 > 2 AS have
-FROM (SELECT y, x, (CASE WHEN x >= {RASTER // 2} THEN 1 ELSE 0 END) + (CASE WHEN y >= {RASTER // 2} THEN 2 ELSE 0 END) AS q, ((x*73856093 + y*19349663) % 16777216) AS h, (x // 8 + y // 8) % 2 AS c FROM (SELECT i // {RASTER} AS y, i % {RASTER} AS x FROM range({RASTER * RASTER}) t(i)))""")
+CASE q WHEN 0 THEN (x + y)*2 WHEN 1 THEN 200 WHEN 2 THEN (h // 65536) % 256 ELSE c*128 END AS b, (x*7 + y*13 + n) % 11 > 2 AS have
+FROM (SELECT y, x, (CASE WHEN x >= {RASTER // 2} THEN 1 ELSE 0 END) + (CASE WHEN y >= {RASTER // 2} THEN 2 ELSE 0 END) AS q, coalesce(h, 0) AS h, coalesce(n, 0) AS n, (x // 8 + y // 8) % 2 AS c FROM (SELECT i, i // {RASTER} AS y, i % {RASTER} AS x FROM range({RASTER * RASTER}) t(i))
+LEFT JOIN (SELECT (l_orderkey*7 + l_linenumber*4093) % {RASTER * RASTER} AS i, CAST(sum((l_partkey*73856093 + l_suppkey*19349663) % 16777216) % 16777216 AS BIGINT) AS h, count(*) AS n FROM lineitem GROUP BY 1) USING (i))""")
 def raster(spark, d):
+    """Order lines summed by pixel: their noise in one quadrant, their number in the holes."""
     from tilewright.operators.raster import test_pattern
 
-    return test_pattern(spark, RASTER)
+    lines = table(spark, d, "lineitem").groupBy(F.expr(f"(l_orderkey*7 + l_linenumber*4093) % {RASTER * RASTER}").alias("i"))
+    lines = lines.agg((F.sum(F.expr("(l_partkey*73856093 + l_suppkey*19349663) % 16777216")) % 16777216).alias("h"), F.count(F.lit(1)).alias("n"))
+    return test_pattern(spark, RASTER, lines)
 
 
 @view("place", "SELECT c_custkey AS place_id, 'place' || (c_custkey % 40) AS name, (c_custkey*7919 % 3600)/100.0::DOUBLE - 90 AS lon, (c_custkey*104729 % 1600)/100.0::DOUBLE - 40 AS lat, CAST(abs(floor(c_acctbal)) AS BIGINT) AS population, c_nationkey % 3 AS kind FROM customer")

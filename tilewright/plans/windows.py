@@ -9,6 +9,7 @@ from tilewright.operators import lines, ordered, raster
 from tilewright.plans.registry import query
 from tilewright.plans.scalars import gx, quadkey
 from tilewright.plans.views import get
+from tilewright.session import table
 
 
 @query("win_rank_priority", "y b, x b, r b, priority b", "SELECT y, x, r, priority FROM (SELECT *, row_number() OVER (PARTITION BY y, x ORDER BY priority) AS k FROM (SELECT 0 AS priority, y, x, r, have FROM raster UNION ALL SELECT 1, y, 63 - x, g, true FROM raster) WHERE have) WHERE k = 1")
@@ -69,9 +70,9 @@ def win_coverage_edge(spark, d):
 
 
 @query("win_stretches", "line b, part b, n b, lo d, hi d, lon d", """SELECT line, part, count(*) AS n, min(lat) AS lo, max(lat) AS hi, (SELECT m FROM (SELECT lon AS m, count(*) AS c FROM s i WHERE i.line = s.line AND i.part = s.part GROUP BY lon ORDER BY c DESC, m LIMIT 1)) AS lon FROM s GROUP BY line, part HAVING count(*) >= 20""",
-       "s AS (SELECT line, lat, lon, sum(b) OVER (PARTITION BY line ORDER BY lat) AS part FROM (SELECT line, lat, lon, CASE WHEN lat - lag(lat) OVER (PARTITION BY line ORDER BY lat) > 0.02::DOUBLE THEN 1 ELSE 0 END AS b FROM (SELECT i % 2 AS line, i*0.001::DOUBLE + (i // 70)*0.5::DOUBLE AS lat, CAST((i*i) % 5 AS DOUBLE) AS lon FROM range(400) t(i))))")
+       "s AS (SELECT line, lat, lon, sum(b) OVER (PARTITION BY line ORDER BY lat) AS part FROM (SELECT line, lat, lon, CASE WHEN lat - lag(lat) OVER (PARTITION BY line ORDER BY lat) > 0.02::DOUBLE THEN 1 ELSE 0 END AS b FROM (SELECT user_id % 2 AS line, event_id*0.001::DOUBLE + (event_id // 70)*0.5::DOUBLE AS lat, CAST((event_id*event_id) % 5 AS DOUBLE) AS lon FROM events)))")
 def win_stretches(spark, d):
-    t = spark.range(400).selectExpr("id % 2 AS line", "id*0.001D + (id div 70)*0.5D AS lat", "CAST((id*id) % 5 AS DOUBLE) AS lon")
+    t = table(spark, d, "events").selectExpr("user_id % 2 AS line", "event_id*0.001D + (event_id div 70)*0.5D AS lat", "CAST((event_id*event_id) % 5 AS DOUBLE) AS lon")
     return ordered.stretches(t)
 
 
