@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tilewright import actions
@@ -78,6 +79,42 @@ def test_convert_cuts_at_the_coast(spark, tmp_path):
     assert (row[: int(sea) - 1] == 0).all() and (row[int(sea) + 2 :] == 255).all()
 
 
+def test_convert_cuts_lakes_corrects_water_and_passes_black_on(spark, tmp_path):
+    black = np.zeros((64, 64, 3), np.uint8)
+    black[:, :32] = 60
+    w, e, s, n = job(tmp_path, [("a.png", black, (0.0, 1.0)), ("b.png", np.full((64, 64, 3), 200, np.uint8), (0.0, 1.0))])
+    q = (e - w) / 4
+    (tmp_path / "lakes.txt").write_text(f"# lake 1\n{s - 1} {w - 1}\n{n + 1} {w - 1}\n{n + 1} {w + q}\n{s - 1} {w + q}\n")
+    (tmp_path / "water").mkdir()
+    (tmp_path / "water" / "a.awfx").write_bytes(containers.field_file(w, e, n, s, np.full((4, 4), 0.5, np.float32), np.full((4, 4, 3), 10, np.float32)))
+    got = run(spark, tmp_path, linear=True, lakes_file=str(tmp_path / "lakes.txt"), water=str(tmp_path / "water"), black_is_missing=True)
+    top = blocks.decode_bc1(got[f"map_11_{TX // 2 << 5:04x}_{TY // 2 << 5:04x}.ttc"]["payload"][: N * N // 2], N, N)
+    tone = colour.curve()
+    assert (top[:, : N // 4 - 4] == 0).all()  # in the lake
+    assert np.abs(top[:, N // 4 + 4 : N // 2].astype(int) - tone[40]).max() <= 8  # 60 * 0.5 + 10, from the first
+    assert np.abs(top[:, N // 2 + 4 :].astype(int) - tone[110]).max() <= 8  # black passed on to the second: 200 * 0.5 + 10
+    mask = np.frombuffer(got[f"map_11_{TX // 2 << 5:04x}_{TY // 2 << 5:04x}_mask.ttc"]["payload"], np.uint8, 64).reshape(8, 8)
+    assert (mask[:, 0] == 0).all() and (mask[:, 3:] == 255).all()
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from tilewright.__main__ import main
+
+    w, e, s, n = job(tmp_path, [("a.png", np.full((16, 16, 3), 90, np.uint8), (0.0, 1.0))])
+    call = lambda *more: main(["convert", str(tmp_path / "job.tmc"), str(tmp_path / "img"), str(tmp_path / "aid"), "--out", str(tmp_path / "cli"), "--size", "16", "--linear-rows", *more])
+    assert call() == 0 and "files" in capsys.readouterr().out
+    (tmp_path / "far.txt").write_text(f"# coast\n# land E\n{s - 1} {e + 1}\n{n + 1} {e + 1}\n")
+    assert call("--coast", str(tmp_path / "far.txt")) == 0 and "past the cut" in capsys.readouterr().out
+    text = (tmp_path / "job.tmc").read_text()
+    (tmp_path / "job.tmc").write_text(text.replace("<[list][region_list][]", "<[bool][write_raw_files][true]>\n<[bool][odd_one][true]>\n<[bool][do_heightmaps][true]>\n<[list][region_list][]"))
+    assert call() == 1
+    said = capsys.readouterr().err
+    assert "note: raw files" in said and "unknown field odd_one" in said and "error: heights" in said
+    with pytest.raises(SystemExit) as wrong:
+        main(["convert"])
+    assert wrong.value.code == 2
+
+
 def test_classify(spark, tmp_path):
     names = spark.createDataFrame([(f"map_09_{x << 7:04x}_{y << 7:04x}",) for x, y in ((155, 205), (153, 205), (158, 205), (155, 190))], "name string")
     w, e, s, n = (spark.range(1).select(*[c.alias(k) for k, c in grid.square_edges(F.lit(155), F.lit(205), 9).items()]).first()[k] for k in "wesn")

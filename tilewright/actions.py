@@ -50,8 +50,19 @@ def classify(spark: SparkSession, names: DataFrame, line_file: str, margin_km: f
     return lines.square_verdicts(squares.join(ranges, "name"), coast, ring, margin_km).select("name", "w", "e", "s", "n", "least", "most", "verdict")
 
 
-def convert_job(spark: SparkSession, job: str, images: str, references: str, out: str, n: int = 2048, linear: bool = False, line_file: str | None = None, margin_km: float = lines.MARGIN_KM) -> DataFrame:
-    """A job's textures from images and their georeference files; rows (name, bytes) of what was written."""
+def check_job(spark: SparkSession, job: str) -> DataFrame:
+    """What of a job a conversion does not do: kind (error or note) and message."""
+    return text_jobs.unsupported(_text(spark, job), "file").orderBy("pos").select("kind", "message")
+
+
+def convert_job(
+    spark: SparkSession, job: str, images: str, references: str, out: str, n: int = 2048, linear: bool = False, line_file: str | None = None, margin_km: float = lines.MARGIN_KM,
+    lakes_file: str | None = None, water: str | None = None, black_is_missing: bool = False,
+) -> DataFrame:
+    """A job's textures from images and their georeference files; rows (name, bytes) of what was written.
+
+    Cut at a coast, and at lakes, where files of these are given; corrected where fields of water are.
+    """
     regions = text_jobs.regions(_text(spark, job), "file")
     refs = spark.read.text(references, wholetext=True).select(F.monotonically_increasing_id().alias("file"), F.col("value").alias("text"))
     refs = text_jobs.georeferences(refs.checkpoint(), "file").withColumn("folder", F.lit(0))
@@ -60,7 +71,9 @@ def convert_job(spark: SparkSession, job: str, images: str, references: str, out
     found = pictures.join(refs, "image").select("priority", "x", "y", "step_x", "step_y", "height", "width", "rgb")
     coast, ring = read_line(spark, line_file) if line_file else (None, None)
     south, north = regions.agg(F.min("s"), F.max("n")).first()
-    files = convert.convert(regions, found, n, linear, carried_on(coast, south - 1, north + 1), ring, margin_km)
+    lakes = read_line(spark, lakes_file)[1] if lakes_file else None
+    fields = tables.read_water(spark, water) if water else None
+    files = convert.convert(regions, found, n, linear, carried_on(coast, south - 1, north + 1), ring, margin_km, lakes, fields, black_is_missing)
     return write_textures(files.withColumn("name", F.regexp_replace(grid.tile_name("tx", "ty", F.col("level")), "[.]ttc$", "")), out)
 
 

@@ -23,7 +23,7 @@ def unpack565(v) -> tuple[Column, Column, Column]:
     return five(F.shiftright(v, 11).bitwiseAND(31)), six(F.shiftright(v, 5).bitwiseAND(63)), five(v.bitwiseAND(31))
 
 
-#: The measured tone curve, what is written for each source value. It is no gamma and falls in two places.
+#: The measured tone curve, what is written for each source value. It is no gamma and falls in two places (after 208 and 225).
 TONE = [
     0, 10, 11, 11, 12, 13, 13, 15, 18, 20, 22, 24, 24, 26, 27, 28,
     30, 30, 32, 35, 36, 38, 40, 42, 43, 44, 47, 48, 50, 52, 52, 55,

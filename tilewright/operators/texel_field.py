@@ -245,14 +245,10 @@ def at_points(points: DataFrame, field: DataFrame, key: list[str], value: str =
     return p.groupBy(*at).cogroup(field.select(*at, "nx", "ny", "field").groupBy(*at)).applyInArrow(run, schema)
 
 
-def under_boxes(boxes: DataFrame, field: DataFrame, key: list[str], names: list[str]) -> DataFrame:
-    """Least and most that a lookup within a box (key, names, w, e, s, n) can give: names, least, most.
-
-    Blocks that a box covers give their own range and are not opened; the others are, and of them the
-    texels of tiles that it covers are not looked at.
-    """
+def _spanned(boxes: DataFrame, field: DataFrame, key: list[str], names: list[str]) -> tuple[DataFrame, Column]:
+    """Boxes with the texels (_i0 to _i1, _j0 to _j1) that a lookup in them may touch, a row for each block that owns one; whether they cover it."""
     grid = field.where("bi = 0 and bj = 0").select(*key, *GRID)
-    b = boxes.join(grid, key) if key else boxes.crossJoin(F.broadcast(grid))
+    b = boxes.join(grid, key) if key else boxes.crossJoin(F.broadcast(grid))  # without a key there is one field
     cut = lambda x, n: F.least(F.greatest(x, F.lit(0)), F.col(n) - 1)
     low = lambda c, origin, step, n: cut(F.floor(_place(c, origin, step)), n)
     high = lambda c, origin, step, n: cut(F.floor(_place(c, origin, step)) + 1, n)
@@ -267,6 +263,23 @@ def under_boxes(boxes: DataFrame, field: DataFrame, key: list[str], names: list[
     # a block owns BLOCK columns and rows, the last one also the field's last
     ends = lambda c, n: F.when(F.col(c) == last(n), F.col(n) - 1).otherwise((F.col(c) + 1) * BLOCK - 1)
     whole = (F.col("_i0") <= F.col("bi") * BLOCK) & (F.col("_i1") >= ends("bi", "width")) & (F.col("_j0") <= F.col("bj") * BLOCK) & (F.col("_j1") >= ends("bj", "height"))
+    return b, whole
+
+
+def blocks_under(boxes: DataFrame, field: DataFrame, key: list[str], names: list[str]) -> DataFrame:
+    """The blocks that lookups in boxes (key, names, w, e, s, n) need: names, and of each block its grid, first texel (i0, j0) and bytes."""
+    at = [*key, "bi", "bj"]
+    b = _spanned(boxes, field, key, names)[0].select(*key, *names, "bi", "bj")
+    return b.join(field.select(*at, "nx", "ny", *GRID, "field"), at).withColumns({"i0": F.col("bi") * BLOCK, "j0": F.col("bj") * BLOCK}).drop(*at)
+
+
+def under_boxes(boxes: DataFrame, field: DataFrame, key: list[str], names: list[str]) -> DataFrame:
+    """Least and most that a lookup within a box (key, names, w, e, s, n) can give: names, least, most.
+
+    Blocks that a box covers give their own range and are not opened; the others are, and of them the
+    texels of tiles that it covers are not looked at.
+    """
+    b, whole = _spanned(boxes, field, key, names)
     b = b.withColumn("_whole", whole).drop("width", "height")
     at = [*key, "bi", "bj"]
     covered = b.where("_whole").join(field.select(*at, "least", "most"), at).select(*names, "least", "most")

@@ -58,6 +58,23 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     return t.mapInPandas(run, "origin string, height int, width int, rgb binary")
 
 
+def read_water(spark: SparkSession, path: str) -> DataFrame:
+    """Correction fields: their box, size and the factors of each texel (scale and three offsets, float32, row 0 in the north)."""
+    t = spark.read.format("binaryFile").load(path).select("content")
+
+    def run(batches):
+        import numpy as np
+
+        from tilewright.sources.containers import parse_field
+
+        for pdf in batches:
+            found = [parse_field(bytes(c)) for c in pdf["content"]]
+            rows = [(*(f[k] for k in "wesn"), f["size"], np.concatenate([f["scale"][..., None], f["offset"]], 2).astype("<f4").tobytes()) for f in found]
+            yield type(pdf)(rows, columns=["w", "e", "s", "n", "size", "factors"])
+
+    return t.mapInPandas(run, "w double, e double, s double, n double, size int, factors binary")
+
+
 @dataclass
 class Settings:
     """Settings of a run; what a saved file lacks keeps its default."""

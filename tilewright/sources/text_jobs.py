@@ -48,6 +48,28 @@ def regions(files: DataFrame, key: str, text: str = "text") -> DataFrame:
     return checked.select(key, (F.col("region") - 1).alias("region"), level.alias("level"), low(1).alias("w"), high(1).alias("e"), low(2).alias("s"), high(2).alias("n"), mask.alias("mask"))
 
 
+#: Fields of a job that a conversion knows; structure has no name, or these two. Fixed values.
+KNOWN = ("", "region_list", "element", "folder_source_files", "folder_destination_ttc", "folder_destination_raw", "write_ttc_files", "write_raw_files", "do_heightmaps", "always_overwrite", "write_images_with_mask", "level", "lonlat_min", "lonlat_max", "aerial_images")
+
+
+def unsupported(files: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """What a conversion does not do of what a job asks for: key, kind (error or note) and message, in order of the text.
+
+    Heights are not made and textures are all that is, so a job that wants heights, or no textures, is an
+    error. What changes nothing is a note.
+    """
+    rows = field_rows(files, key, text).withColumn("_n", F.lower("name")).withColumn("_on", F.lower(F.trim("value")).isin("true", "1"))
+    message = (
+        F.when((F.col("_n") == "do_heightmaps") & F.col("_on"), "error: heights are not made")
+        .when((F.col("_n") == "always_overwrite") & ~F.col("_on"), "note: files are overwritten whatever always_overwrite says")
+        .when((F.col("_n") == "write_raw_files") & F.col("_on"), "note: raw files are not made")
+        .when((F.col("_n") == "write_ttc_files") & ~F.col("_on"), "error: textures are all that is made, and the job wants none")
+        .when(~F.col("_n").isin(*KNOWN), F.concat(F.lit("note: unknown field "), F.col("name")))
+    )
+    out = rows.withColumn("_m", message).where("_m is not null")
+    return out.select(key, "pos", F.substring_index("_m", ":", 1).alias("kind"), F.expr("substr(_m, instr(_m, ': ') + 2)").alias("message"))
+
+
 def georeferences(files: DataFrame, key: str, text: str = "text", strict: bool = True) -> DataFrame:
     """Georeference files: key, image, flip, step_x, step_y, x, y. strict: missing parts or a zero step raise."""
     rows = field_rows(files, key, text)
