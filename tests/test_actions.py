@@ -132,6 +132,18 @@ def test_install(spark, tmp_path):
     assert {p.name for p in (tmp_path / "there").iterdir()} == {"MAP_A.ttc", "map_a.ttc", "map_b.ttc", "keep.txt"}
 
 
+def test_job_files(spark, tmp_path):
+    from tilewright.sources import text_jobs
+
+    (tmp_path / "stale.tmc").write_text("x")
+    regions = spark.createDataFrame([("sq1", 9, -71.0, -70.0, -34.0, -33.0, True), ("sq1", 12, -70.9, -70.5, -33.9, -33.5, False), ("sq2", 9, -70.0, -69.0, -34.0, -33.0, True)], "job string, level long, w double, e double, s double, n double, mask boolean")
+    aids = spark.createDataFrame([("a.png", 1e-5, -1e-5, -71.0, -33.0)], "image string, step_x double, step_y double, x double, y double")
+    actions.write_jobs(spark, regions, aids, str(tmp_path))
+    assert {p.name for p in tmp_path.iterdir()} == {"sq1.tmc", "sq2.tmc", "a.png.aid"}
+    back = text_jobs.regions(actions._text(spark, str(tmp_path / "sq1.tmc")), "file").orderBy("level").collect()
+    assert [(r["level"], r["mask"]) for r in back] == [(9, True), (12, False)] and back[0]["w"] == pytest.approx(-70.99)
+
+
 def test_landmarks(spark, tmp_path):
     row = lambda k, name, lat, kind, code, pop, dem: "\t".join([str(k), name, name, "", str(lat), "-70.5", kind, code, "CL", "", "", "", "", "", str(pop), "", str(dem), "tz", "d"])
     rows = [row(1, "Comuna de Paine", -33.8, "A", "ADM3", 0, 500), row(2, "Paine", -33.81, "P", "PPL", 9000, 400), row(3, "Farm", -33.0, "P", "PPL", 0, 10), row(4, "Comuna Buin", -33.7, "A", "ADM3", 5, -9999)]

@@ -6,12 +6,15 @@ written by executors, so that output folders must be shared ones.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.functions import grid
 from tilewright.operators import catalog, convert, lines, places, strokes
-from tilewright.sources import tables, text_jobs
+from tilewright.session import shared_dir, stored
+from tilewright.sources import file_sink, tables, text_jobs
 
 
 def _text(spark: SparkSession, path: str) -> DataFrame:
@@ -78,31 +81,30 @@ def convert_job(
 
 
 def write_textures(files: DataFrame, out: str) -> DataFrame:
-    """Write texture and mask files by name: to a part file, then renamed, so that a retried task does no harm."""
-
-    def run(batches):
-        import os
-
-        for pdf in batches:
-            os.makedirs(out, exist_ok=True)
-            rows = []
-            for name, texture, mask in zip(pdf["name"], pdf["texture"], pdf["mask"], strict=True):
-                for kind, data in (("", texture), ("_mask", mask)):
-                    if data is not None:
-                        path = os.path.join(out, f"{name}{kind}.ttc")
-                        with open(f"{path}.part", "wb") as f:
-                            f.write(data)
-                        os.replace(f"{path}.part", path)
-                        rows.append((f"{name}{kind}.ttc", len(data)))
-            yield type(pdf)(rows, columns=["name", "bytes"])
-
-    return files.select("name", "texture", "mask").mapInPandas(run, "name string, bytes long").checkpoint()
+    """Write texture and mask files by name, as one job that is committed as a whole; rows (name, bytes) of what was written."""
+    spark = files.sparkSession
+    kinds = F.array(F.struct(F.lit("").alias("kind"), F.col("texture").alias("content")), F.struct(F.lit("_mask").alias("kind"), F.col("mask").alias("content")))
+    rows = files.select("name", F.explode(F.filter(kinds, lambda x: x["content"].isNotNull())).alias("f"))
+    manifest = f"{shared_dir(spark)}/written-{uuid.uuid4().hex}"
+    file_sink.write_files(rows.select(F.concat("name", "f.kind", F.lit(".ttc")).alias("name"), F.col("f.content").alias("content")), out, manifest=manifest)
+    return spark.read.schema("name string, bytes long").csv(manifest)
 
 
 def install(spark: SparkSession, built: str, there: str, level: int = 9) -> DataFrame:
-    """Copy a square's textures into an installation, and delete those that it no longer makes."""
-    plan = catalog.install_plan(tables.list_files(spark, built, "*.ttc"), tables.list_files(spark, there, "*"), level)
-    return catalog.apply_plan(plan.checkpoint(), built.removeprefix("file:"), there.removeprefix("file:")).checkpoint()
+    """Copy a square's textures into an installation, and delete those that it no longer makes, as one job: the plan that was carried out."""
+    made = tables.list_files(spark, built, "*.ttc")
+    plan = stored(catalog.install_plan(made, tables.list_files(spark, there, "*"), level), "install-plan")
+    rows = plan.join(made.select("name", "path"), "name", "left").select("name", F.when(F.col("action") == "copy", F.col("path")).alias("source"))
+    file_sink.write_files(rows, there)
+    return plan
+
+
+def write_jobs(spark: SparkSession, regions: DataFrame, references: DataFrame, out: str) -> None:
+    """A square's job file for each key of regions (job, level, w, e, s, n, mask) and the georeferences of its images
+    (image, step_x, step_y, x, y), as files of one folder; job files of earlier runs go."""
+    jobs = text_jobs.job_text(regions, "job").select(F.concat(F.col("job").cast("string"), F.lit(".tmc")).alias("name"), F.col("text").cast("binary").alias("content"))
+    aids = references.select(F.concat("image", F.lit(".aid")).alias("name"), text_jobs.georeference_text("image", "step_x", "step_y", "x", "y").cast("binary").alias("content"))
+    file_sink.write_files(jobs.unionByName(aids), out, stale="*.tmc")
 
 
 def landmarks(spark: SparkSession, gazetteer: str, km: float = 8.0) -> DataFrame:

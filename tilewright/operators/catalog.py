@@ -62,30 +62,6 @@ def install_plan(built: DataFrame, there: DataFrame, level: int = 9) -> DataFram
     return stale.unionByName(copies)
 
 
-def apply_plan(plan: DataFrame, build_dir: str, install_dir: str) -> DataFrame:
-    """Carry a plan out on executors, file by file; rows come back with what was done. Rerunning it is harmless."""
-
-    def run(batches):
-        import os
-        import shutil
-
-        for batch in batches:
-            done = []
-            for action, name in zip(batch["action"], batch["name"], strict=True):
-                target = os.path.join(install_dir, name)
-                if action == "copy":
-                    os.makedirs(os.path.dirname(target), exist_ok=True)
-                    part = f"{target}.part"
-                    shutil.copyfile(os.path.join(build_dir, name), part)
-                    os.replace(part, target)
-                elif os.path.exists(target):
-                    os.remove(target)
-                done.append(True)
-            yield batch.assign(done=done)
-
-    return plan.mapInPandas(run, "action string, name string, done boolean")
-
-
 def duplicates(files: DataFrame) -> DataFrame:
     return files.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
