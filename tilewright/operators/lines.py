@@ -2,8 +2,9 @@
 
 Distances are in kilometres on a local plane whose east scale is taken at the middle latitude of
 each pair of points. Points meet the segments near them by cells of longitude and latitude: a segment
-is put in every cell that its box, widened by the clamp distance, touches. A point without a segment
-within the clamp has the clamp as its distance, so nothing else need meet it. The side of a point is
+is put in every cell that its box, widened by the clamp distance, touches, and sifted there for finer
+cells. A point without a segment within the clamp has the clamp as its distance, so nothing else need
+meet it. The side of a point is
 the parity of the segments that a ray from it crosses; these it meets by bands of latitude. Distance
 and sides are aggregates of one grouping.
 
@@ -58,17 +59,32 @@ def extended(coast: DataFrame, south: float, north: float) -> DataFrame:
     return coast.select(*columns).unionByName(ends.select(F.explode(F.filter(more, lambda x: x.isNotNull())).alias("x")).select("x.*"))
 
 
+#: Degrees of the cells that segments are sifted by; distances on the local plane do not add up exactly, so what is left out is farther by this share and km.
+FINE, SLACK, SLACK_KM = 0.02, 0.01, 0.02
+
+
 def _near(points: DataFrame, key: list[str], segs: DataFrame, clamp_km: float) -> DataFrame:
-    """key and km of each point and each segment whose box, widened by the clamp, shares its cell."""
+    """key and km of each point and each segment that may be the nearest to it.
+
+    Fine cells with points, far fewer than points, meet the segments whose box, widened by the clamp, shares
+    a coarse cell with them. A fine cell keeps those that can be the nearest to some place in it, told by
+    the distance to its middle and the half diagonal; only these meet the cell's points.
+    """
     cell = 2 * clamp_km / KM_NORTH
-    north = F.lit(clamp_km / KM_NORTH)
+    north = F.lit(clamp_km / KM_NORTH + FINE)
     most = F.least(F.greatest(F.abs("a_lat"), F.abs("b_lat")) + north, F.lit(89.0))
-    east = F.lit(clamp_km) / _east(most)
+    east = F.lit(clamp_km) / _east(most) + FINE
     cells = lambda lo, hi: F.explode(F.sequence(F.floor(lo / cell), F.floor(hi / cell)))
     s = segs.withColumn("_y", cells(F.least("a_lat", "b_lat") - north, F.greatest("a_lat", "b_lat") + north))
     s = s.withColumn("_x", cells(F.least("a_lon", "b_lon") - east, F.greatest("a_lon", "b_lon") + east))
-    p = points.select(*key, "lon", "lat", F.floor(F.col("lat") / cell).alias("_y"), F.floor(F.col("lon") / cell).alias("_x"))
-    return p.join(s, ["_x", "_y"]).select(*key, segment_distance("lon", "lat", "a_lon", "a_lat", "b_lon", "b_lat").alias("km"))
+    p = points.select(*key, "lon", "lat", F.floor(F.col("lat") / FINE).alias("_fy"), F.floor(F.col("lon") / FINE).alias("_fx"))
+    fine = p.select("_fx", "_fy").distinct().withColumns({"_lon": (F.col("_fx") + 0.5) * FINE, "_lat": (F.col("_fy") + 0.5) * FINE})
+    fine = fine.withColumns({"_x": F.floor(F.col("_lon") / cell), "_y": F.floor(F.col("_lat") / cell)})
+    half = F.hypot(F.lit(FINE / 2) * _east(F.greatest(F.abs("_lat") - FINE, F.lit(0.0))), F.lit(FINE / 2 * KM_NORTH))
+    met = fine.join(s, ["_x", "_y"]).withColumn("_km", segment_distance("_lon", "_lat", "a_lon", "a_lat", "b_lon", "b_lat"))
+    least = F.least(F.min("_km").over(Window.partitionBy("_fx", "_fy")), clamp_km + half)
+    met = met.withColumn("_least", least).where(F.col("_km") * (1 - SLACK) - 2 * half - SLACK_KM <= F.col("_least"))
+    return p.join(met.select("_fx", "_fy", "a_lon", "a_lat", "b_lon", "b_lat"), ["_fx", "_fy"]).select(*key, segment_distance("lon", "lat", "a_lon", "a_lat", "b_lon", "b_lat").alias("km"))
 
 
 def distances(points: DataFrame, key: list[str], segs: DataFrame, clamp_km: float) -> DataFrame:
@@ -77,7 +93,7 @@ def distances(points: DataFrame, key: list[str], segs: DataFrame, clamp_km: floa
     return own.unionByName(_near(points, key, segs, clamp_km)).groupBy(*key).agg(F.min("km").alias("km"))
 
 
-def _crossed(points: DataFrame, key: list[str], segs: DataFrame, cell: float = 0.05) -> DataFrame:
+def _crossed(points: DataFrame, key: list[str], segs: DataFrame, cell: float = 0.01) -> DataFrame:
     """points' key and the segments' columns beside those of place, of each segment that a ray eastwards crosses (half-open at vertices)."""
     lo, hi = F.least("a_lat", "b_lat"), F.greatest("a_lat", "b_lat")
     s = segs.withColumn("_band", F.explode(F.sequence(F.floor(lo / cell), F.floor(hi / cell))))

@@ -14,6 +14,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tilewright.session import stored
+
 STATE = "version INT, clicks ARRAY<STRUCT<lon: DOUBLE, lat: DOUBLE, tol: DOUBLE>>"
 
 
@@ -134,7 +136,7 @@ def corrected(blocks: DataFrame, cells: DataFrame, offsets: DataFrame, sizes: Da
     cells: image, my, mx, label (above 0). sizes: image, height, width. Only blocks that a label, or a border that
     was moved, reaches are changed; rows come back with `changed`, their changed pixels. side is a multiple of SCALE.
     """
-    runs = moved(border_runs(cells).join(sizes, "image"), blocks, side)
+    runs = moved(stored(border_runs(cells).join(sizes, "image"), "border-runs"), blocks, side)
     low, high = F.least((F.col("at") + 1) * SCALE, F.col("to_px")), F.greatest((F.col("at") + 1) * SCALE, F.col("to_px"))
     shifts = runs.withColumns({"c0": low, "c1": high, "a0": F.col("from_") * SCALE, "a1": F.col("to") * SCALE}).where("c0 < c1")
     shifts = shifts.withColumn("label", F.when(F.col("to_px") < (F.col("at") + 1) * SCALE, F.col("after")).otherwise(F.col("before")))
