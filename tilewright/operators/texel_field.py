@@ -207,7 +207,9 @@ def build(boxes: DataFrame, key: list[str], coast: DataFrame | None, rings: Data
         return pa.table(values)
 
     types = dict(boxes.dtypes)
-    return together.groupBy(*at).applyInArrow(run, ", ".join([*[f"`{k}` {types[k]}" for k in key], FIELD]))
+    # by number: these rows are few bytes and much work, so that partitions must not be put together by their size
+    dealt = together.repartition(int(boxes.sparkSession.conf.get("spark.sql.shuffle.partitions")), *at)
+    return dealt.groupBy(*at).applyInArrow(run, ", ".join([*[f"`{k}` {types[k]}" for k in key], FIELD]))
 
 
 def _place(c: str, origin: str, step: str) -> Column:
