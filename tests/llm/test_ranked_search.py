@@ -104,3 +104,44 @@ def test_same_as_sql(spark, sf_dir):
     names, want = duck_rows(rs.ORACLE_SQL, sf_dir, ("documents", "benchmark"))
     got = [tuple(r) for r in rs.op12_ranked_search(spark, sf_dir).select(*names).collect()]
     assert rounded(got) == rounded(want) and len(got) > 50
+
+
+def block_rows(docs):
+    rows = []
+    for d, t in docs:
+        c = Counter(rs.terms_of(t))
+        rows.append((d, sum(c.values()), b" ".join(c), np.array(list(c.values()), "<u4").tobytes()))
+    return rows
+
+
+def test_a_block_is_narrow():
+    """Rows of the index lie in an executor's memory several times over: with 4 bytes a number they took it all."""
+    rows = block_rows(corpus(600))
+    block = rs.block_of(rows, len(rows), sum(r[1] for r in rows))
+    postings = sum(len(r[3]) // 4 for r in rows)
+    assert sum(len(v) for v in block.values() if isinstance(v, bytes)) < 4 * postings
+
+
+@pytest.mark.parametrize("most", [0, 1, 255, 256, 65_535, 65_536, 2**32 - 1, 2**32, 2**62])
+def test_packed_numbers_are_read_back(most):
+    for numbers in ([most], [], [0, most, 1, most // 2] * 50):
+        assert rs.unpacked(rs.packed(np.array(numbers, np.int64))).tolist() == numbers
+
+
+def test_wide_numbers_in_a_block(spark):
+    docs = [*corpus(400), (7000, "w1x1 " * 70_000 + "w2x2"), (7001, "w1x1 w2x2 " * 300), *[(8000 + k, f"only{k}") for k in range(300)]]
+    items = [(1, "w1x1 w2x2"), (2, "only7 only299 only0"), (3, "common1 w1x1 only3")]
+    assert answers(spark, docs, items, postings=10**6, shard=1, passes=2) == plain(docs, items)  # over 255 shards, over 65,535 of a term
+
+
+def test_stored_bounds_are_never_lower():
+    rows = block_rows(corpus(300))
+    length = sum(r[1] for r in rows)
+    block = rs.block_of(rows, len(rows), length, shard=8)
+    at = {t: k for k, t in enumerate(rs.zlib.decompress(block["terms"]).split(b" "))}
+    peak = rs.STEP * rs.unpacked(block["peak"])
+    most = np.zeros(len(at), np.int64)
+    for _, n, words, tf in rows:
+        for w, x in zip(words.split(b" "), np.frombuffer(tf, "<u4").tolist(), strict=True):
+            most[at[w]] = max(most[at[w]], 10**9 * x // (1000 * x + 8 * (25 + 75 * n * len(rows) // length)))
+    assert (peak >= most).all() and (peak < most + rs.STEP).all()

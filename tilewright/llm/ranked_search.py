@@ -6,9 +6,11 @@ the documents of a node are in two halves, and pairs change sides as long as tha
 bits of the gaps in the terms' lists (Dhulipala and others, 2016). Its leaves, of at most SHARD
 documents, are the shards.
 
-Index. A row is a block: ids of documents in the new order, terms, postings by term (place and impact, the
-integer share of a term in a score, which has no query in it), the greatest impact of each term in
-each shard, and in the block. Columns that a pass does not need are not read.
+Index. A row is a block: ids of documents in the new order, terms, postings by term (place, and count, of which with
+the document's m follows the impact, the integer share of a term in a score, which has no query in it), the greatest
+impact of each term in each shard, and in the block. Columns that a pass does not need are not read. Places are
+kept as gaps, and all numbers in the fewest bytes that hold them, deflated: a batch of rows lies several times in
+an executor's memory, on both sides of the way to Python. Greatest impacts are kept in steps, rounded up.
 
 Search. Queries come in blocks of QUERIES, whose terms and weights are broadcast. A first pass reads terms
 and block maxima: for each query the block with the highest bound is searched, which gives a score that
@@ -39,6 +41,7 @@ TOP = 10
 POSTINGS, SHARD, PASSES = 200_000, 48, 8
 QUERIES = 500
 SCALE, LIFT, B = 1_000_000_000, 8, 75
+STEP = 4096  # of greatest impacts: a bound may be higher for it, never lower
 
 ORACLE_SQL = r"""
 WITH d AS (
@@ -144,6 +147,20 @@ def bisected(doc: np.ndarray, term: np.ndarray, docs: int, leaf: int = SHARD, pa
     return order, edges
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Integers of at least 0: the bytes a number that the greatest needs, then all of them so, deflated."""
+    kind = np.min_scalar_type(int(numbers.max(initial=0))).newbyteorder("<")
+    return bytes([kind.itemsize]) + zlib.compress(numbers.astype(kind).tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(memoryview(data)[1:]), f"<u{data[0]}").astype(np.int64)
+
+
+def _impact(tf: np.ndarray, m: np.ndarray) -> np.ndarray:
+    return SCALE * tf // (1000 * tf + LIFT * m)
+
+
 def block_of(rows: list[tuple], n_docs: int, length: int, shard: int = SHARD, passes: int = PASSES) -> dict:
     """A block of the index from (doc_id, n, words, tf) rows; n_docs and length: documents with terms, and all their terms."""
     import pyarrow as pa
@@ -155,23 +172,26 @@ def block_of(rows: list[tuple], n_docs: int, length: int, shard: int = SHARD, pa
     doc = np.repeat(np.arange(len(rows)), count)
     tf = np.concatenate([np.frombuffer(r[3], "<u4") for r in rows]).astype(np.int64)
     m = np.array([100 - B + B * r[1] * n_docs // length for r in rows], np.int64)
-    impact = SCALE * tf // (1000 * tf + LIFT * m[doc])
+    impact = _impact(tf, m[doc])
     order, edges = bisected(doc, term, len(rows), shard, passes)
     place = np.empty(len(rows), np.int64)
     place[order] = np.arange(len(rows))
     by = np.lexsort((place[doc], term))
-    term, place, impact = term[by], place[doc][by], impact[by]
+    term, place, impact, tf = term[by], place[doc][by], impact[by], tf[by]
     of_shard = np.searchsorted(edges, place, side="right") - 1
     first = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (of_shard[1:] != of_shard[:-1])])  # a term's postings in a shard
     begins = np.flatnonzero(np.r_[True, term[1:] != term[:-1]])
+    peak = lambda begins: packed(-(-np.maximum.reduceat(impact, begins) // STEP))
     return {
-        "ids": [rows[k][0] for k in order], "terms": b" ".join(coded.dictionary.to_pylist()), "df": np.diff(np.r_[begins, len(term)]).astype("<i4").tobytes(), "peak": np.maximum.reduceat(impact, begins).astype("<u4").tobytes(),
-        "shards": len(edges) - 1, "entry": np.r_[np.searchsorted(first, begins), len(first)].astype("<i4").tobytes(), "entry_shard": of_shard[first].astype("<i4").tobytes(),
-        "entry_peak": np.maximum.reduceat(impact, first).astype("<u4").tobytes(), "entry_first": np.r_[first, len(term)].astype("<i4").tobytes(), "place": place.astype("<i4").tobytes(), "impact": impact.astype("<u4").tobytes(),
+        "ids": [rows[k][0] for k in order], "m": packed(m[order]), "shards": len(edges) - 1, "terms": zlib.compress(b" ".join(coded.dictionary.to_pylist()), 1),
+        "df": packed(np.diff(np.r_[begins, len(term)])), "peak": peak(begins), "entries": packed(np.diff(np.r_[np.searchsorted(first, begins), len(first)])),
+        "entry_shard": packed(of_shard[first]), "entry_peak": peak(first), "entry_size": packed(np.diff(np.r_[first, len(term)])),
+        "gaps": packed(np.diff(term * len(rows) + place, prepend=0)), "tf": packed(tf),
     }
 
 
-BLOCKS = "block long, ids array<long>, terms binary, df binary, peak binary, shards int, entry binary, entry_shard binary, entry_peak binary, entry_first binary, place binary, impact binary"
+PACKED = ("m", "terms", "df", "peak", "entries", "entry_shard", "entry_peak", "entry_size", "gaps", "tf")
+BLOCKS = "block long, ids array<long>, shards int, " + ", ".join(f"{c} binary" for c in PACKED)
 
 
 class Index:
@@ -192,7 +212,7 @@ def index(docs: DataFrame, postings: int = POSTINGS, shard: int = SHARD, passes:
             import pyarrow as pa
             from pyspark import TaskContext
 
-            blocks, kind = 0, pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("terms", pa.binary()), ("df", pa.binary()), ("peak", pa.binary()), ("shards", pa.int32()), *[(c, pa.binary()) for c in ("entry", "entry_shard", "entry_peak", "entry_first", "place", "impact")]])
+            blocks, kind = 0, pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("shards", pa.int32()), *[(c, pa.binary()) for c in PACKED]])
 
             def made(held):
                 nonlocal blocks
@@ -244,7 +264,7 @@ class Queries:
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        found = pc.index_in(pa.array(terms.split(b" "), pa.binary()), value_set=pa.array(self.terms, pa.binary()))
+        found = pc.index_in(pa.array(zlib.decompress(terms).split(b" "), pa.binary()), value_set=pa.array(self.terms, pa.binary()))
         at = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
         return at, found.drop_null().to_numpy().astype(np.int64)
 
@@ -256,18 +276,22 @@ def _better(score: int, doc_id: int | None) -> tuple:
 
 def search_block(block: dict, q: Queries, wanted: np.ndarray, best: dict[int, list]) -> int:
     """Search the wanted queries in a block and keep the TOP of each in best, a heap; the number of shards visited."""
+    if not len(wanted):
+        return 0
     at, number = q.numbers(block["terms"])
-    read = lambda c, kind: np.frombuffer(block[c], kind)
-    entry, entry_shard, entry_peak, entry_first = read("entry", "<i4"), read("entry_shard", "<i4"), read("entry_peak", "<u4").astype(np.int64), read("entry_first", "<i4").astype(np.int64)
-    place, impact, ids, shards = read("place", "<i4"), read("impact", "<u4"), block["ids"], block["shards"]
+    ids, shards, tf, m = block["ids"], block["shards"], unpacked(block["tf"]), unpacked(block["m"])
+    entry, entry_first = (np.r_[0, np.cumsum(unpacked(block[c]))] for c in ("entries", "entry_size"))
+    entry_shard, entry_peak = unpacked(block["entry_shard"]), STEP * unpacked(block["entry_peak"])
+    place = np.cumsum(unpacked(block["gaps"])) % len(ids)
+    impact = _impact(tf, m[place])
     local = np.full(len(q.terms), -1, np.int64)
     local[number] = at
     visited = 0
     for k in wanted.tolist():
         j, w = local[q.term[q.edges[k] : q.edges[k + 1]]], q.weight[q.edges[k] : q.edges[k + 1]]
         j, w = j[j >= 0], w[j >= 0]
-        size = (entry[j + 1] - entry[j]).astype(np.int64)
-        e, we = _ranges(entry[j].astype(np.int64), size), np.repeat(w, size)
+        size = entry[j + 1] - entry[j]
+        e, we = _ranges(entry[j], size), np.repeat(w, size)
         bound = np.zeros(shards, np.int64)
         np.add.at(bound, entry_shard[e], we * entry_peak[e])
         heap = best.setdefault(k, [])
@@ -283,7 +307,7 @@ def search_block(block: dict, q: Queries, wanted: np.ndarray, best: dict[int, li
             size = entry_first[e[mine] + 1] - entry_first[e[mine]]
             p = _ranges(entry_first[e[mine]], size)
             score = np.zeros(len(ids), np.int64)
-            np.add.at(score, place[p], np.repeat(we[mine], size) * impact[p].astype(np.int64))
+            np.add.at(score, place[p], np.repeat(we[mine], size) * impact[p])
             for d in np.flatnonzero(score >= least()).tolist():
                 item = (_better(int(score[d]), ids[d]), ids[d])
                 if len(heap) < TOP:
@@ -312,7 +336,7 @@ def _answered(ix: Index, texts: list[str | None]) -> DataFrame:
         for batch in batches:
             for terms, df in zip(batch.column("terms"), batch.column("df"), strict=True):
                 at, number = q.numbers(terms.as_py())
-                total[number] += np.frombuffer(df.as_py(), "<i4")[at]
+                total[number] += unpacked(df.as_py())[at]
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["term", "df"])
 
@@ -324,7 +348,7 @@ def _answered(ix: Index, texts: list[str | None]) -> DataFrame:
     def bounds_of(terms: bytes, peak: bytes) -> np.ndarray:
         at, number = q.numbers(terms)
         peaks = np.zeros(len(q.terms), np.int64)
-        peaks[number] = np.frombuffer(peak, "<u4")[at]
+        peaks[number] = STEP * unpacked(peak)[at]
         return q.sums(peaks)
 
     def likeliest(batches):
@@ -370,13 +394,16 @@ def search(ix: Index, items: DataFrame, queries: int = QUERIES) -> DataFrame:
 
     Items are fetched and answered in blocks of at most `queries`; the answers of a block are written.
     """
+    import pyarrow as pa
+
     spark = items.sparkSession
     order = F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last()))
-    out = spark.createDataFrame([], "item_id long, rank int, doc_id long, score long")
+    out = spark.createDataFrame(pa.schema([("item_id", pa.int64()), ("rank", pa.int32()), ("doc_id", pa.int64()), ("score", pa.int64())]).empty_table())
     held: list = []
 
     def answer() -> DataFrame:
-        numbers = spark.createDataFrame([(k, r["item_id"]) for k, r in enumerate(held)], "q int, item_id long")
+        numbers = pa.table({"q": pa.array(range(len(held)), pa.int32()), "item_id": pa.array([r["item_id"] for r in held], pa.int64())})
+        numbers = spark.createDataFrame(numbers)  # from Arrow: from rows, each executor keeps Python workers more for it
         top = _answered(ix, [r["text"] for r in held]).withColumn("rank", order).where(F.col("rank") <= TOP)
         return written(top.join(F.broadcast(numbers), "q").select("item_id", "rank", "doc_id", "score"), "search-answers")
 
