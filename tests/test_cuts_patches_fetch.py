@@ -76,6 +76,16 @@ def test_cuts_of_rings():
     assert len(cuts) == 1  # the islet's cut lies inside the other line's margin
 
 
+def test_cut_of_a_line_over_a_pole():
+    """A degree east has no length at a pole: offsets there were endless, and their steps more than any memory."""
+    seq = np.arange(80)
+    line = [(np.stack([-71.5 + (seq * 37 % 23 - 11) * 0.004, 89.8 + seq * 0.006], 1), False, -1)]
+    cuts = cutlines.cut_pieces(line, M)
+    tree = cutlines.Tree(np.concatenate([line[0][0][:-1], line[0][0][1:]], 1).T, flat=True)
+    assert cuts and all(np.isfinite(c).all() and c[:, 0].max() < -71.5 for c in cuts)
+    assert min(cutlines.nearest(c, tree, 3 * M)[0].min() for c in cuts) > M * 0.99
+
+
 def test_cut_lines_by_file(spark, sf_dir):
     from tilewright.plans import registry
 
