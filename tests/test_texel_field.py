@@ -133,3 +133,40 @@ def test_only_islands_or_only_a_coast(spark):
         got, g = texels(f, "A")
         for (i, j), v in got.items():
             assert v == pytest.approx(signed(g["west"] + i * g["lon_step"], g["south"] + j * g["lat_step"], shore, rings, 12.112), abs=2e-6)
+
+
+def test_a_block_with_very_many_segments_in_bounded_memory():
+    import tracemalloc
+
+    import numpy as np
+
+    n = 40_000
+    t = np.arange(n + 1) * 2 * np.pi / n
+    ring = np.stack([-71.75 + 0.05 * np.cos(t), -32.7 + 0.05 * np.sin(t)])
+    segs = np.r_[ring[:, :-1], ring[:, 1:]]
+    lons, lats = -71.9 + np.arange(257) * 0.0009, -32.8 + np.arange(257) * 0.0007
+    tracemalloc.start()
+    km = tf._nearest(lons, lats, segs, 12.112)
+    land = tf._land(lons, lats, segs, np.zeros(n, int), {}, False)
+    assert tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
+    rows = slice(None, None, 64)
+    x, y = (a.ravel() for a in np.meshgrid(lons[rows], lats[rows]))
+    every = np.concatenate([tf._distance(x[:, None], y[:, None], segs[:, k : k + 5_000, None].transpose(0, 2, 1)).min(1)[None] for k in range(0, n, 5_000)]).min(0)
+    assert np.array_equal(km[rows, rows].ravel(), np.minimum(every, 12.112))
+    inside = np.hypot((lons - -71.75)[None, :], (lats - -32.7)[:, None])
+    assert land[inside < 0.0499].all() and not land[inside > 0.0501].any()
+
+
+def test_points_of_a_block_in_parts(spark, monkeypatch):
+    from tilewright.operators import lines
+
+    ring = spark.createDataFrame([(0, -71.1, -33.1, -70.9, -33.1), (0, -70.9, -33.1, -71.0, -32.9), (0, -71.0, -32.9, -71.1, -33.1)], "line long, a_lon double, a_lat double, b_lon double, b_lat double")
+    box = spark.createDataFrame([(-71.2, -70.8, -33.2, -32.8)], "w double, e double, s double, n double")
+    field = tf.build(box, [], None, ring, texel_km=0.5).cache()
+    points = spark.createDataFrame([(k, -71.2 + k * 0.0007, -33.2 + k % 97 * 0.004) for k in range(500)], "k long, lon double, lat double")
+    whole = {r["k"]: r["km"] for r in tf.at_points(points, field, []).collect()}
+    monkeypatch.setattr(tf, "POINTS", 60)
+    parts = tf.at_points(points, field, [])
+    assert {r["k"]: r["km"] for r in parts.collect()} == whole and len(whole) == 500
+    assert abs(whole[0] - lines.signed(points.limit(1), ["k"], None, ring, 12.112).first()["km"]) < 0.5
