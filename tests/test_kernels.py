@@ -353,3 +353,34 @@ def test_chain_takes_every_stroke(spark):
             rest.remove(k)
             chain = [*chain, (k, e == -1)] if late else [(k, e == 0), *chain]
         assert chain == [k[2:] for k in sorted(got) if k[0] == line]
+
+
+def test_chain_of_many_strokes_meets_few_ends():
+    """Chained by a grid of the free ends: the greedy rule, without all ends at every step."""
+    from tilewright.operators import strokes
+
+    rng = np.random.default_rng(4)
+    for n, grain in ((1, 1), (2, 1), (150, 10), (150, 0.001)):
+        ends = np.round(rng.random((n, 2, 2)) * 100 / grain) * grain  # of the coarse ones many lie on one place
+        order, free = [(0, False)], np.arange(n) > 0
+        end = lambda k, flip, last: ends[k][int(last != flip)]
+        while free.any():
+            away = np.stack([end(*order[-1], True), end(*order[0], False)])[None, :, None] - ends[:, None]  # noqa: B023
+            d = np.where(free[:, None, None], np.hypot(away[..., 0], away[..., 1]), np.inf)
+            at, head, last = (int(k) for k in np.unravel_index(d.argmin(), d.shape))
+            free[at] = False
+            order = [(at, not last), *order] if head else [*order, (at, bool(last))]
+        assert strokes._chained(ends) == order
+    met = []
+
+    class Counted(strokes._Free):
+        def nearest(self, x, y):
+            met.append(min(self.laid, 50))
+            return super().nearest(x, y)
+
+    was, strokes._Free = strokes._Free, Counted
+    try:
+        assert sorted(k for k, _ in strokes._chained(rng.random((5_000, 2, 2)))) == list(range(5_000))
+    finally:
+        strokes._Free = was
+    assert len(met) < 2 * 5_000

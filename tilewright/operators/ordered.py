@@ -41,13 +41,14 @@ def stretches(rows: DataFrame, gap: float = 0.02, least: int = 20) -> DataFrame:
     return t.where(F.col("n") >= least)
 
 
-def longest_join(points: DataFrame, rings: bool = False) -> DataFrame:
-    """Per line the widest gap in kilometres between strokes as they are chained; of rings also that which closes them."""
+def longest_join(points: DataFrame, rings: bool = False, order: DataFrame | None = None) -> DataFrame:
+    """Per line the widest gap in kilometres between strokes as they are chained; of rings also that which closes them. order: of strokes.chain_order, if it is there."""
     from tilewright.operators.lines import KM_NORTH, _east
-    from tilewright.operators.strokes import chain
+    from tilewright.operators.strokes import chain_order
 
-    place = lambda pick: pick(F.struct("lat", "lon"), F.col("seq"))
-    ends = chain(points).groupBy("line", "place").agg(place(F.min_by).alias("a"), place(F.max_by).alias("b"))
+    end = lambda n: F.struct(F.col(f"{n}_lat").alias("lat"), F.col(f"{n}_lon").alias("lon"))
+    turned = lambda n, m: F.when(F.col("flipped"), end(m)).otherwise(end(n))
+    ends = (chain_order(points) if order is None else order).select("line", "place", turned("first", "last").alias("a"), turned("last", "first").alias("b"))
     km = lambda p, q: F.sqrt(F.pow((q["lon"] - p["lon"]) * _east((q["lat"] + p["lat"]) / 2), F.lit(2.0)) + F.pow((q["lat"] - p["lat"]) * KM_NORTH, F.lit(2.0)))
     gaps = ends.withColumn("gap", km(F.lag("b").over(Window.partitionBy("line").orderBy("place")), F.col("a")))
     out = gaps.groupBy("line").agg(F.max("gap").alias("gap"), F.min_by("a", "place").alias("_first"), F.max_by("b", "place").alias("_last"))

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tilewright.operators import lines, ordered, raster
+from tilewright.operators import lines, ordered, raster, strokes
 from tilewright.plans.registry import query
 from tilewright.plans.scalars import gx, quadkey
 from tilewright.plans.views import get
-from tilewright.session import table
+from tilewright.session import stored, table
 
 
 @query("win_rank_priority", "y b, x b, r b, priority b", "SELECT y, x, r, priority FROM (SELECT *, row_number() OVER (PARTITION BY y, x ORDER BY priority) AS k FROM (SELECT 0 AS priority, y, x, r, have FROM raster UNION ALL SELECT 1, y, 63 - x, g, true FROM raster) WHERE have) WHERE k = 1")
@@ -85,7 +85,8 @@ def win_segments(spark, d):
 @query("win_longest_join", "line b, ring l, gap d")
 def win_longest_join(spark, d):
     t = get(spark, d, "stroke_point").withColumn("line", F.col("stroke") % 5)
-    return ordered.longest_join(t).withColumn("ring", F.lit(False)).unionByName(ordered.longest_join(t, rings=True).withColumn("ring", F.lit(True)))
+    order = stored(strokes.chain_order(t), "chain-order")  # both read it
+    return ordered.longest_join(t, order=order).withColumn("ring", F.lit(False)).unionByName(ordered.longest_join(t, rings=True, order=order).withColumn("ring", F.lit(True)))
 
 
 MORPH = "(SELECT t.y, t.x, {f}(s.have) AS have FROM {src} t JOIN {src} s ON abs(s.y - t.y) <= {r} AND abs(s.x - t.x) <= {r} GROUP BY t.y, t.x)".format
