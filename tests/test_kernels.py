@@ -384,3 +384,16 @@ def test_chain_of_many_strokes_meets_few_ends():
     finally:
         strokes._Free = was
     assert len(met) < 2 * 5_000
+
+
+def test_crowded_boxes_meet_once(spark):
+    from tilewright.operators import rangejoin
+
+    rng = np.random.default_rng(6)
+    low = np.round(rng.uniform(-3, 3, (300, 2)), 1)  # many edges are equal
+    high = low + np.round(rng.uniform(0.1, 3, (300, 2)), 1)
+    t = spark.createDataFrame([(k, *map(float, (w, e, s, n))) for k, ((w, s), (e, n)) in enumerate(zip(low, high, strict=True))], "k long, w double, e double, s double, n double")
+    met = rangejoin.crowded_box_join(t, t, 0.5, [F.col("a.k").alias("j"), F.col("b.k").alias("k")])
+    got = sorted(tuple(r) for r in met.collect())
+    hit = (low[:, None] < high[None]).all(2) & (low[None] < high[:, None]).all(2)
+    assert got == sorted(map(tuple, np.argwhere(hit).tolist()))
