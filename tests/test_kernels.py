@@ -397,3 +397,15 @@ def test_crowded_boxes_meet_once(spark):
     got = sorted(tuple(r) for r in met.collect())
     hit = (low[:, None] < high[None]).all(2) & (low[None] < high[:, None]).all(2)
     assert got == sorted(map(tuple, np.argwhere(hit).tolist()))
+
+
+def test_pairs_of_squares_and_files_are_not_shuffled(spark):
+    """What a square gets is told where it meets a file; only squares go on to those that meet none, twins and empty ones too."""
+    from tilewright.operators import lines
+
+    files = spark.createDataFrame([(1, 7, True, 0.0, 20.0, 1.0, 2.0, 1.0, 2.0), (1, 8, False, 0.0, 0.0, 5.0, 6.0, 5.0, 6.0)], "file long, line long, has_coast boolean, lo double, hi double, rw double, re double, rs double, rn double")
+    rows = [(1, 1, 1.0, 1.5, 1.0, 1.5), (2, 1, 5.0, 5.5, 5.0, 5.5), (3, 1, 9.0, 9.5, 30.0, 30.5), (3, 1, 9.0, 9.5, 30.0, 30.5), (4, 2, 1.0, 1.5, 1.0, 1.5), (5, 1, 0.0, 0.5, None, 0.5), (6, 1, 0.0, 0.5, 19.8, 20.4)]
+    out = lines.for_squares(spark.createDataFrame(rows, "square long, file long, w double, e double, s double, n double"), files, ["file"])
+    got = sorted((r["square"], r["line"] or 0, r["part"]) for r in out.collect())
+    assert got == [(1, 7, "coast and islands"), (2, 7, "coast"), (2, 8, "islands"), (3, 0, "none"), (3, 0, "none"), (4, 0, "none"), (5, 0, "none"), (6, 7, "outside")]
+    assert out._jdf.queryExecution().optimizedPlan().nodeName() == "Union"
