@@ -101,3 +101,39 @@ def test_without_lines_all_is_sampled(spark, parts):
     cut = convert.image_blocks(spark.createDataFrame(images, "priority long, rgb binary, height int, width int, x double, y double, step_x double, step_y double"), side=16)
     rows = convert.sampled(tiles, LEVEL, cut, N).collect()
     assert rows and all(len(r["rgb"]) == N * N * 3 for r in rows)
+
+
+def test_many_images_over_each_other_are_composed_before_the_shuffle(spark, monkeypatch):
+    """Two hundred images at two places, mostly black: as with all their blocks in one group, and few rows are brought together."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(200):
+        a = rng.integers(1, 255, (32, 32, 3)).astype(np.uint8)
+        a[rng.random((32, 32)) < 0.97] = 0
+        rows.append((k * 7 % 200, a.tobytes(), 32, 32, -71.5 + k % 2 * 0.03, -32.5, 0.1 / 32, -0.2 / 32))
+    images = spark.createDataFrame(rows, "priority long, rgb binary, height int, width int, x double, y double, step_x double, step_y double")
+    cut = convert.image_blocks(images, side=16).cache()
+    tx, ty = (spark.range(1).select(f(F.lit(v), LEVEL).alias("t")).first()["t"] for f, v in ((grid.tile_x, -71.45), (grid.tile_y, -32.55)))
+    tiles = spark.createDataFrame([(tx, ty)], "tx long, ty long")
+    tiles = tiles.select("tx", "ty", *[c.alias(k) for k, c in grid.square_edges("tx", "ty", LEVEL).items()])
+    get = lambda: [tuple(r) for r in convert.sampled(tiles, LEVEL, cut, N, black_is_missing=True).collect()]
+    composed = convert.sampled(tiles, LEVEL, cut, N, black_is_missing=True)
+    assert "thinned" in composed._jdf.queryExecution().optimizedPlan().toString()
+    got = get()
+    monkeypatch.setattr(convert, "THIN", 0)
+    assert got == get() and len(got) == 1
+    # pixel by pixel
+    e = {k: v for k, v in tiles.first().asDict().items()}
+    rgb, have = np.frombuffer(got[0][3], np.uint8).reshape(N, N, 3), np.frombuffer(got[0][4], np.uint8).reshape(N, N)
+    tone, by = np.array(colour.curve(), np.uint8), sorted(rows)
+    for i in range(0, N, 5):
+        lat = 180 / grid.K * math.atan(grid.K * (2 * (ty + 1 - (i + 0.5) / N) / 2**LEVEL - 1))
+        for j in range(0, N, 5):
+            lon, want = e["w"] + (e["e"] - e["w"]) * (j + 0.5) / N, None
+            for _, data, _, _, x, y, step_x, step_y in by:
+                c, r = math.floor((lon - x) / step_x), math.floor(convert._row_of(lat, y, step_y, 32, False))
+                p = np.frombuffer(data, np.uint8).reshape(32, 32, 3)[r, c] if 0 <= c < 32 and 0 <= r < 32 else np.zeros(3, np.uint8)
+                if p.any():
+                    want = tone[p]
+                    break
+            assert bool(have[i, j]) == (want is not None) and (want is None or (rgb[i, j] == want).all())

@@ -3,7 +3,8 @@
 Images are cut into blocks, so that a tile is sent only the blocks that it overlaps; an image itself is a
 row while it is cut, as Spark's image source gives it whole. Tiles and blocks meet by cells of their
 boxes; each tile of the deepest level is sampled from its blocks in one task, coarser levels are halved
-from it, one shuffle on the parent's key each.
+from it, one shuffle on the parent's key each. Blocks that meet a small tile are composed where they meet it,
+as far as that makes them fewer bytes: however many images lie over each other, a tile gets a few pictures.
 
 Where there is a coast or lakes, stored fields (operators.texel_field) decide about a tile before it
 meets any block: past the margin or wholly in a lake it is none, and goes; on one side of all lines it is
@@ -25,6 +26,10 @@ from tilewright.session import stored
 BLOCK = "priority long, x double, y double, step_x double, step_y double, height long, row long, col long, rows long, cols long, rgb binary, w double, e double, s double, n double"
 
 
+#: No source; bytes of a tile's composed pixels up to which blocks are composed before they are brought together.
+NONE, THIN = np.iinfo(np.int64).max, 1 << 20
+
+
 def _mercator(lat):
     return np.log(np.tan(np.pi / 4 + np.asarray(lat, float) * np.pi / 360))
 
@@ -180,6 +185,57 @@ def sampled(
     """
     tone = np.array(colour.curve(), np.uint8)
     columns = [f.split()[0] for f in BLOCK.split(", ")][:11]
+    own = [c for c in columns if c not in ("priority", "rgb")]
+    thin = n * n * 19 <= THIN
+
+    def places(tx: int, ty: int):
+        lon = (2 * (tx + (np.arange(n) + 0.5) / n) / 2**level - 1) * 180
+        return lon, 180 / grid.K * np.arctan(grid.K * (2 * (ty + 1 - (np.arange(n) + 0.5) / n) / 2**level - 1))
+
+    def composed(pdf, lon, lat):
+        """Of each pixel the first source by priority, then by the block's row and column: its colour, priority (NONE: no source) and block."""
+        rgb, best, block = np.zeros((n, n, 3), np.uint8), np.full((n, n), NONE), np.zeros((n, n), np.int64)
+
+        def offer(where, part, priority, of, seen):
+            now, held = best[where], block[where]
+            take = seen & ((priority < now) | ((priority == now) & (of < held)))
+            rgb[where] = np.where(take[..., None], part, rgb[where])
+            best[where], block[where] = np.where(take, priority, now), np.where(take, of, held)
+
+        if thin:
+            done = pdf["priorities"].notna().to_numpy()
+            for r in pdf[done].itertuples():
+                priority = np.frombuffer(r.priorities, np.int64).reshape(n, n)
+                offer(np.ix_(np.arange(n), np.arange(n)), np.frombuffer(r.rgb, np.uint8).reshape(n, n, 3), priority, np.frombuffer(r.blocks, np.int64).reshape(n, n), priority < NONE)
+            pdf = pdf[~done]
+        # blocks of one place are looked up together, the first by priority in front
+        for (x, y, step_x, step_y, height, row, col, rows, cols), g in pdf.sort_values("priority", kind="stable").groupby(own, sort=False):
+            c = np.floor((lon - x) / step_x).astype(int) - col
+            r = np.floor(_row_of(lat, y, step_y, height, linear)).astype(int) - row
+            i, j = np.flatnonzero((c >= 0) & (c < cols)), np.flatnonzero((r >= 0) & (r < rows))
+            if not len(i) or not len(j):
+                continue
+            some = max(1, (16 << 20) // (rows * cols * 3))  # bounded memory
+            for at in range(0, len(g), some):
+                part = np.frombuffer(b"".join(g["rgb"].iloc[at : at + some]), np.uint8).reshape(-1, rows, cols, 3)[:, r[j][:, None], c[i]]
+                seen = part.any(-1) if black_is_missing else np.ones(part.shape[:3], bool)
+                k = seen.argmax(0)
+                pick = k, np.arange(len(j))[:, None], np.arange(len(i))
+                offer(np.ix_(j, i), part[pick], g["priority"].to_numpy()[at : at + some][k], np.int64(row << 32 | col), seen[pick])
+        return rgb, best, block
+
+    def thinned(batches):
+        """What of a batch a tile can have, if that is less than the blocks themselves."""
+        import pandas as pd
+
+        for pdf in batches:
+            pdf = pdf.assign(priorities=None, blocks=None)
+            for (tx, ty), g in pdf.groupby(["tx", "ty"], sort=False):
+                if g["rgb"].str.len().sum() <= n * n * 19:
+                    yield g
+                    continue
+                rgb, best, block = composed(g, *places(int(tx), int(ty)))
+                yield pd.DataFrame([{**{c: 0 for c in own}, "tx": tx, "ty": ty, "priority": 0, "rgb": rgb.tobytes(), "priorities": best.tobytes(), "blocks": block.tobytes()}])[list(pdf.columns)]
 
     def run(pdf, masks=None):
         import pandas as pd
@@ -187,8 +243,7 @@ def sampled(
         if not len(pdf):
             return pd.DataFrame({c.split()[0]: [] for c in blocks.TILE.split(", ")})
         tx, ty = int(pdf["tx"].iloc[0]), int(pdf["ty"].iloc[0])
-        lon = (2 * (tx + (np.arange(n) + 0.5) / n) / 2**level - 1) * 180
-        lat = 180 / grid.K * np.arctan(grid.K * (2 * (ty + 1 - (np.arange(n) + 0.5) / n) / 2**level - 1))
+        lon, lat = places(tx, ty)
         of = {} if masks is None else {kind: list(rows.itertuples()) for kind, rows in masks.groupby("kind")}
         free = np.ones((n, n), bool)
         if "coast" in of:
@@ -196,28 +251,18 @@ def sampled(
         if "lakes" in of:
             free &= ~(_signed(of["lakes"], lon, lat) <= 0)
         factors = next((f for f in (_factors(b, lon, lat) for b in of.get("water", [])) if f is not None), None)
-        rgb, have = np.zeros((n, n, 3), np.uint8), np.zeros((n, n), bool)
-        for b in pdf.sort_values(["priority", "row", "col"]).itertuples():
-            c = np.floor((lon - b.x) / b.step_x).astype(int) - b.col
-            r = np.floor(_row_of(lat, b.y, b.step_y, b.height, linear)).astype(int) - b.row
-            i, j = np.flatnonzero((c >= 0) & (c < b.cols)), np.flatnonzero((r >= 0) & (r < b.rows))
-            if len(i) and len(j):
-                where, part = np.ix_(j, i), np.frombuffer(b.rgb, np.uint8).reshape(b.rows, b.cols, 3)[np.ix_(r[j], c[i])]
-                take = free[where]
-                if black_is_missing:
-                    take &= part.any(-1)
-                if factors is not None:
-                    f = factors[where]
-                    part = np.clip(np.floor(part * f[..., :1] + f[..., 1:] + np.float32(0.5)), 0, 255).astype(np.uint8)
-                rgb[where] = np.where(take[..., None], part, rgb[where])
-                have[where] |= take
-                free[where] &= ~take
+        rgb, best, _ = composed(pdf, lon, lat)
+        have = free & (best < NONE)
         if masks is not None and not have.any():
             return pd.DataFrame({c.split()[0]: [] for c in blocks.TILE.split(", ")})
+        if factors is not None:
+            rgb = np.clip(np.floor(rgb * factors[..., :1] + factors[..., 1:] + np.float32(0.5)), 0, 255).astype(np.uint8)
         return pd.DataFrame({"level": [level], "tx": [tx], "ty": [ty], "rgb": [np.where(have[..., None], tone[rgb], 0).astype(np.uint8).tobytes()], "covered": [have.astype(np.uint8).tobytes()]})
 
     left = verdicts(wanted, level, coast, lakes, margin_km)
     met = rangejoin.box_join(left, cut, 360 / 2**level).select("a.tx", "a.ty", *[f"b.{c}" for c in columns])
+    if thin:
+        met = met.mapInPandas(thinned, f"tx long, ty long, {', '.join(BLOCK.split(', ')[:11])}, priorities binary, blocks binary")
     masks = _masks(left, level, coast, lakes, water)
     if masks is None:
         return met.groupBy("tx", "ty").applyInPandas(lambda pdf: run(pdf), blocks.TILE)
